@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, html_extract, line_frequency, warc
+from . import chat_format, html_extract, huffman_ids, line_frequency, mixing, partition_join, spaced_seed, toxic_segments, trie_unigram, warc
 from .common import new_path, staged, table
 
 
@@ -19,6 +19,23 @@ def op2_tag_path_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow, planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return mixing.draw(narrow, planned).select("doc_id", "source", "n_tokens", "weight", F.col("epoch").cast("long").alias("epoch"), "place")
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    huffman_ids.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), by_letters=True)
+    return huffman_ids.read_ids(spark, path)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql(
         "select cast(-7 as bigint) conv_id, cast(t as bigint) turn, r role, '</s>[INST] ok [/INST]' text from values (0, 'user'), (1, 'assistant') as v(t, r)"
@@ -39,13 +56,37 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_segments.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = partition_join.join(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_tag_path_ratio, op5_chat_format, op9_warc_revisits)}
+def op10_trie_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_frequency, op2_tag_path_ratio, op3_temperature_mixing, op4_huffman_ids, op5_chat_format, op6_toxic_segments,
+        op7_ngram_join, op8_spaced_seeds, op9_warc_revisits, op10_trie_unigram,
+    )
+}
 
 ORACLES = {
     "op5_chat_format": r"""
