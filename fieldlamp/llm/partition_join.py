@@ -9,10 +9,13 @@ commonest), and n is what the principle then needs: n + d = H + 1 + 2 * slack. A
 and for the band below.
 
 What is shuffled is packed: a task sorts the keys of about 24 MB of text, keeps one member a key (the others are
-linked to it in place), and sends slices of sorted 5-byte keys with 2-byte owners to the buckets of the key's high
-bits. Equal keys propose (first member, member) pairs; these are verified on whole texts. A pair whose verification
-fails brings in all pairs of that member within the key, so no link between different texts is lost, while families
-of near copies cost one pair a member. Exact copies are one class from the start.
+noted beside it), and sends slices of sorted 5-byte keys with 2-byte owners to the buckets of the key's high
+bits. Exact copies are one class from the start. The member of a key that holds most shared keys is its hub, and
+(hub, member) pairs are verified on whole texts, so families of near copies cost a pair a member. If x is not linked with its
+hub, it may still be linked with another member y. Their differences from the hub then have to share elements: x and
+y differ in |dx| + |dy| - 2 |dx & dy| elements, which is too many if dx and dy are disjoint, as dx alone is too many. So
+differences are joined on the rarest elements of dx (as many as the threshold asks for) and compared exactly; no link
+between different texts is lost, and no pair is formed that shares nothing beyond its hub.
 
 Skew: a key held by a third of all rows sends one entry a piece of text. Verification gathers a first member
 with parts of its partners of about ``CHUNK`` shingles. Components come from labels that take the smallest neighbour
@@ -34,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import mix64, new_path, small_batches, staged, words_of_batch
 
@@ -222,14 +225,17 @@ def _local(batches):
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(nodes)))], ["key", "nodes"])
 
 
+TRIED = "hub long, rep long, n long, linked boolean, delta array<long>"
+
+
 def _verify(width: int, percent: int):
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("linked", pa.bool_())])
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("delta", pa.list_(pa.int64()))])
 
     def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         sets = shingle_sets(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), width)
         hub = group[0].as_py()
-        own, rest = None, {}
+        own, rest = np.zeros(0, np.uint64), {}
         for rep, f1, f2, s in zip(table.column("rep").to_pylist(), table.column("f1").to_pylist(), table.column("f2").to_pylist(), sets):
             if fingerprint(s) != (f1, f2):
                 continue  # another row of the same doc_id
@@ -239,22 +245,23 @@ def _verify(width: int, percent: int):
                 rest[rep] = s
         rows = []
         for rep, s in rest.items():
-            both = 0 if own is None else len(np.intersect1d(own, s, assume_unique=True))
-            union = (0 if own is None else len(own)) + len(s) - both
-            rows.append((hub, rep, own is not None and 100 * both >= percent * union))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], []), schema)], schema=schema)
+            delta = np.setxor1d(own, s, assume_unique=True)
+            both = (len(own) + len(s) - len(delta)) // 2
+            rows.append((hub, rep, len(s), 100 * both >= percent * (both + len(delta)), delta.astype(np.int64)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], [], [], []), schema)], schema=schema)
 
     return run
 
 
 def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(hub, rep, linked) of pairs (hub, rep, n): n is the size of rep's set."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("parts"))
-    members = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
+    """Pairs (hub, rep) with the size of rep's set, whether they are linked, and the elements that only one of them has."""
+    sized = pairs.join(classes.select("rep", "n"), "rep")
+    parts = sized.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("parts"))
+    members = sized.join(parts, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
     hubs = members.select("hub", "part", F.col("hub").alias("rep")).distinct()
     roles = members.unionByName(hubs).join(classes.select("rep", "f1", "f2"), "rep")
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return roles.join(texts, "rep").groupBy("hub", "part").applyInArrow(_verify(width, percent), "hub long, rep long, linked boolean")
+    return roles.join(texts, "rep").groupBy("hub", "part").applyInArrow(_verify(width, percent), TRIED)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,52 +289,50 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows.mapInArrow(_index(width, percent, bits), INDEX).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     index = spark.read.schema(INDEX).parquet(path)
     docs = index.filter("kind = 'doc'").select("node", "doc_id", "n", "f1", "f2")
-    classes = staged(docs.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    nodes = staged(docs.filter("node is not null").join(classes.drop("n"), ["f1", "f2"]).filter("rep is not null").select("node", "rep", "n"), "nodes")
+    classes = staged(docs.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).filter("rep is not null"), "classes")
+    nodes = docs.filter("node is not null").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("node", "rep")
     across = index.filter("kind = 'bucket'").select("bucket", "node", "keys", "owners").groupBy("bucket").applyInArrow(_groups, "key long, nodes array<long>")
     local = index.filter("kind = 'local'").select("key", "node", "owners").mapInArrow(_local, "key long, nodes array<long>")
-    groups = staged(across.unionByName(local), "groups")
-
-    def classed(pairs, a, b):
-        x = pairs.join(nodes.select(F.col("node").alias(a), F.col("rep").alias("hub"), F.col("n").alias("hub_n")), a)
-        x = x.join(nodes.select(F.col("node").alias(b), "rep", "n"), b).filter("hub <> rep")
-        return x.filter(F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n"))
-
-    def one_way(pairs):
-        """One row an unordered pair."""
-        return pairs.groupBy(F.least("hub", "rep").alias("x"), F.greatest("hub", "rep").alias("y")).agg(F.min(F.struct("hub", "rep", "n")).alias("p")).select("p.*")
-
-    stars = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes"))).alias("b")).distinct()
-    tried = staged(verified(rows, one_way(classed(stars, "a", "b")), classes, width, percent), "verified")
+    held = across.unionByName(local).select("key", F.explode("nodes").alias("node")).join(nodes, "node").select("key", "rep").distinct()
+    held = staged(held, "held-keys")
+    ranks = held.join(held.groupBy("rep").agg(F.count(F.lit(1)).alias("keys")), "rep")
+    hubs = ranks.groupBy("key").agg(F.max(F.struct("keys", "rep"))["rep"].alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    stars = held.join(hubs.select("key", "hub"), "key").filter("hub <> rep").select("hub", "rep").distinct()
+    tried = staged(verified(rows, stars, classes, width, percent), "verified")
     links = tried.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     labels = components(links)
-    failed = tried.filter("not linked")
-    if failed.limit(1).count():
-        more = remaining(groups, nodes, failed, tried, labels, percent)
-        tried2 = staged(verified(rows, one_way(more), classes, width, percent), "verified")
-        links2 = tried2.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        if links2.limit(1).count():
-            labels = components(links.unionByName(links2))
+    if tried.filter("not linked").limit(1).count():
+        more = staged(further_links(tried, labels, percent), "further-links")
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     named = docs.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
     found = named.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     return found.select("doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def remaining(groups: DataFrame, nodes: DataFrame, failed: DataFrame, tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, rep, n) that share a key in which a member's verification failed, lie in two components, and
-    have not been tried."""
-    held = groups.select("key", F.col("nodes")[0].alias("leader"), F.explode("nodes").alias("node")).join(nodes, "node")
-    held = held.join(nodes.select(F.col("node").alias("leader"), F.col("rep").alias("leader_rep")), "leader", "left")
-    held = held.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    held = staged(held.select("key", "rep", "n", "leader_rep", "component").distinct(), "held")
-    either = failed.select("hub", "rep").unionByName(failed.select(F.col("rep").alias("hub"), F.col("hub").alias("rep")))
-    bad = held.join(either.select(F.col("hub").alias("leader_rep"), "rep"), ["leader_rep", "rep"], "left_semi")
-    bad = bad.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")).distinct()
-    pairs = bad.join(held.select("key", "rep", "n", "component").distinct(), "key").filter("component <> hub_component")
-    pairs = pairs.filter(F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")).select("hub", "rep", "n").distinct()
-    done = tried.select("hub", "rep").unionByName(tried.select(F.col("rep").alias("hub"), F.col("hub").alias("rep")))
-    return pairs.join(done, ["hub", "rep"], "left_anti")
+def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one hub, of which one at least is not linked with the hub, by their differences from it."""
+    failed = tried.filter("not linked")
+    members = tried.join(failed.select("hub").distinct(), "hub", "left_semi")
+    elements = members.select("hub", "rep", F.explode("delta").alias("e"))
+    common = elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    most = F.floor(F.col("n") * (100 - percent) / percent)
+    failing = failed.select("hub", "rep", F.size("delta").alias("d"), F.greatest(F.lit(1), F.size("delta") - most).alias("need"), F.posexplode("delta").alias("at", "e"))
+    # elements that no other member has are the rarest, so the prefix begins with them
+    order = Window.partitionBy("hub", "rep").orderBy(F.coalesce("holders", F.lit(1)), "e")
+    ranked = failing.join(common, ["hub", "e"], "left").withColumn("place", F.row_number().over(order))
+    probes = ranked.filter(F.col("holders").isNotNull() & (F.col("place") <= F.col("d") - F.col("need") + 1)).select("hub", "e", F.col("rep").alias("x"))
+    met = probes.join(elements.withColumnRenamed("rep", "y"), ["hub", "e"]).filter("x <> y")
+    met = met.select("hub", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
+    apart = met.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    apart = apart.filter(F.coalesce("x_component", "x") != F.coalesce("y_component", "y")).select("hub", "x", "y")
+    one = lambda side: members.select("hub", F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("delta").alias(f"{side}_delta"))
+    both = apart.join(one("x"), ["hub", "x"]).join(one("y"), ["hub", "y"])
+    differ = F.size("x_delta") + F.size("y_delta") - 2 * F.size(F.array_intersect("x_delta", "y_delta"))
+    shared = (F.col("x_n") + F.col("y_n") - differ) / 2
+    return both.filter(100 * shared >= percent * (shared + differ)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
