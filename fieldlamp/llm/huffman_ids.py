@@ -17,52 +17,79 @@ columns are ignored; an empty table gives empty files and no rows.
 
 from __future__ import annotations
 
-import re
+import functools
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import small_batches, staged, words_of_batch
 
 MAX_BITS, EVERY = 18, 256
-KNOWN_MOST = 600_000  # words that a worker remembers before it starts anew; no word is left out by it
-PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+KNOWN_MOST = 1_000_000  # words that a worker remembers before it starts anew; no word is left out by it
+PLAIN = r"^(?P<a>[A-Za-z]+)(?P<b>[.,;:!?]*)$"
 
 
 class WordEncoder:
-    """Ids of words (texts without ASCII white space) by the tokenizers library. Letters of ASCII are lower-cased and
-    trailing punctuation is encoded apart only if the tokenizer does the same, which by_letters says."""
+    """Ids of words (texts without ASCII white space) by the tokenizers library. With by_letters, words of ASCII letters are
+    lower-cased and their trailing punctuation is encoded apart; the tokenizer has to do the same."""
 
-    def __init__(self, path: str, by_letters: bool):
+    def __init__(self, path: str, by_letters: bool, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_letters = Tokenizer.from_file(path), by_letters
+        self.tokenizer, self.by_letters, self.end_id = Tokenizer.from_file(path), by_letters, end_id
         self.clear()
 
-    def clear(self):
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode_new(self, words: list[str]) -> None:
-        for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[x] = np.array(e.ids, np.uint32)
-
-    def ids_of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) + len(words) > KNOWN_MOST:
-            self.clear()
-        known, parts = self.known, None
+    def clear(self) -> None:
+        """The known words; entry 0 is the end of a document, entry 1 is nothing."""
+        self.known: dict[str, int] = {"": 1}
+        self.flat, self.used = np.array([self.end_id], np.uint32), 1
+        self.starts, self.sizes = np.array([0, 0]), np.array([1, 0])
+
+    def add(self, words: list[str]) -> None:
+        flat, sizes = [], []
+        for i in range(0, len(words), 4000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 4000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        n, new = np.concatenate(sizes), np.concatenate(flat)
+        self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(n) - n])
+        self.sizes = np.concatenate([self.sizes, n])
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(new), np.uint32)])
+        self.flat[self.used : self.used + len(new)] = new
+        self.used += len(new)
+
+    def entries(self, words: pa.Array) -> np.ndarray:
+        """Entries of distinct words: (n, 2), of the letters and of the punctuation after them."""
         if self.by_letters:
-            parts = {w: (m[1].lower(), m[2]) for w in words if w not in known and (m := PLAIN.fullmatch(w))}
-            need = dict.fromkeys(x for p in parts.values() for x in p if x and x not in known)
-            need.update(dict.fromkeys(w for w in words if w not in known and w not in parts))
+            parts = pc.extract_regex(words, PLAIN)
+            plain = pc.is_valid(parts)
+            first = pc.if_else(plain, pc.ascii_lower(pc.struct_field(parts, "a")), words)
+            second = pc.if_else(plain, pc.struct_field(parts, "b"), "")
         else:
-            need = dict.fromkeys(w for w in words if w not in known)
-        self.encode_new(list(need))
-        for w, (a, b) in (parts or {}).items():
-            known[w] = np.concatenate([known[a], known[b]]) if b else known[a]
-        return [known[w] for w in words]
+            first, second = words, pa.array([""] * len(words), words.type)
+        coded = [x.dictionary_encode() for x in (first, second)]
+        distinct = [x.dictionary.to_pylist() for x in coded]
+        if len(self.known) + sum(map(len, distinct)) > KNOWN_MOST:
+            self.clear()
+        known = self.known
+        if new := list(dict.fromkeys(w for d in distinct for w in d if w not in known)):
+            self.add(new)
+        return np.stack([np.fromiter(map(known.__getitem__, d), np.int64, len(d))[x.indices.to_numpy()] for d, x in zip(distinct, coded)], 1)
+
+
+@functools.cache
+def encoder(path: str, by_letters: bool, end_id: int) -> WordEncoder:
+    """One a worker process, so that tasks share what it knows."""
+    return WordEncoder(path, by_letters, end_id)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,45 +99,51 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _encode(path: str, by_letters: bool, end_id: int):
+def _encode(path: str, by_letters: bool, end_id: int, kind: str):
     def run(batches):
-        encoder = WordEncoder(path, by_letters)
+        own = encoder(path, by_letters, end_id)
         for piece in small_batches(batches, "text", 16 << 20):
             begin, words = words_of_batch(piece.column("text"))
-            ids = encoder.ids_of(words.dictionary.to_pylist())
-            ids.append(np.array([end_id], np.uint32))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            starts, flat = np.cumsum(lengths) - lengths, np.concatenate(ids)
-            ends = begin[1:] + np.arange(1, len(begin))  # each document's words and its end id
-            order = np.full(int(ends[-1]) if len(ends) else 0, len(ids) - 1, np.int64)
-            order[np.delete(np.arange(len(order)), ends - 1)] = words.indices.to_numpy()
-            n = lengths[order]
-            tokens = flat[gather(starts[order], n)].astype("<u4")
-            cut = np.concatenate([[0], np.cumsum(n)[ends - 1]]) * 4
+            of = own.entries(words.dictionary)
+            ends = 2 * begin[1:] + np.arange(1, len(begin))  # each word's two entries, and each document's end
+            order = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+            order[np.delete(np.arange(len(order)), ends - 1)] = of[words.indices.to_numpy()].reshape(-1)
+            n = own.sizes[order]
+            tokens = own.flat[gather(own.starts[order], n)].astype(kind)
+            cut = np.concatenate([[0], np.cumsum(n)[ends - 1]]) * tokens.itemsize
             data = tokens.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([data[a:b] for a, b in zip(cut, cut[1:])], pa.binary()), pa.array(np.diff(cut) // 4)], ["doc_id", "ids", "n_tokens"]
+                [piece.column("doc_id"), pa.array([data[a:b] for a, b in zip(cut, cut[1:])], pa.binary()), pa.array(np.diff(cut) // tokens.itemsize)], ["doc_id", "ids", "n_tokens"]
             )
 
     return run
 
 
-def token_ids(documents: DataFrame, tokenizer: str, by_letters: bool, end_id: int = 1) -> DataFrame:
-    """(doc_id, ids as little-endian unsigned 32-bit integers, n_tokens)."""
+def id_kind(tokenizer: str) -> str:
+    """The narrowest integers that hold a tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def token_ids(documents: DataFrame, tokenizer: str, by_letters: bool, end_id: int, kind: str) -> DataFrame:
+    """(doc_id, ids as little-endian integers, n_tokens)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(tokenizer, by_letters, end_id), "doc_id long, ids binary, n_tokens long")
+    return rows.mapInArrow(_encode(tokenizer, by_letters, end_id, kind), "doc_id long, ids binary, n_tokens long")
 
 
-def _counts(batches):
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for x in small_batches([batch], "ids"):
-            c = np.bincount(np.frombuffer(b"".join(x.column("ids").to_pylist()), "<u4"))
+def _counts(kind: str):
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for x in small_batches(batches, "ids", 16 << 20):
+            c = np.bincount(np.frombuffer(b"".join(x.column("ids").to_pylist()), kind))
             if len(c) > len(total):
                 c, total = total, c
             total[: len(c)] += c
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+
+    return run
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -198,15 +231,15 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray
 BLOCKS = "shard int, block int, n_tokens long, bits binary, checkpoints binary, doc_ids array<long>, doc_tokens array<long>"
 
 
-def _pack(lengths: np.ndarray, block_tokens: int):
+def _pack(lengths: np.ndarray, block_tokens: int, kind: str):
     def run(batches):
         codes, shard = canonical_codes(lengths), TaskContext.get().partitionId()
-        held, block, total = [], 0, 0
+        held, block, total, width = [], 0, 0, np.dtype(kind).itemsize
 
         def row():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
             bits, checkpoints = pack(ids, codes, lengths)
-            cells = [shard, block, len(ids), bits, checkpoints.tobytes(), [i for i, _ in held], [len(x) // 4 for _, x in held]]
+            cells = [shard, block, len(ids), bits, checkpoints.tobytes(), [i for i, _ in held], [len(x) // width for _, x in held]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             names = ["shard", "block", "n_tokens", "bits", "checkpoints", "doc_ids", "doc_tokens"]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names)
@@ -214,7 +247,7 @@ def _pack(lengths: np.ndarray, block_tokens: int):
         for batch in batches:
             for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 held.append((i, x.as_py()))
-                total += len(held[-1][1]) // 4
+                total += len(held[-1][1]) // width
                 if total >= block_tokens:
                     yield row()
                     held, block, total = [], block + 1, 0
@@ -229,8 +262,9 @@ def write_ids(
 ) -> None:
     """Files under path: blocks (in ascending doc_id by shard, block and place) and codes (id, length)."""
     spark = documents.sparkSession
-    ids = staged(token_ids(documents, tokenizer, by_letters, end_id), "token-ids")
-    counts = ids.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    kind = id_kind(tokenizer)
+    ids = staged(token_ids(documents, tokenizer, by_letters, end_id, kind), "token-ids")
+    counts = ids.select("ids").mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     size = max((r.id for r in counts), default=-1) + 1
     table = np.zeros(size, np.int64)
     for r in counts:
@@ -240,7 +274,7 @@ def write_ids(
     spark.createDataFrame(used, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
     shards = max(1, -(-int(table.sum()) // shard_tokens))
     dealt = ids.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(_pack(lengths, block_tokens), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(_pack(lengths, block_tokens, kind), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _read(lengths: np.ndarray, with_ids: bool):

@@ -2,7 +2,7 @@
 
 Tokens are the first 8 letters of words, and every prefix of 3 letters or more is a feature. One pass counts tokens in
 all documents and in toxic and clean labelled ones; log-odds of the features have a Dirichlet prior proportional to
-the whole corpus. A feature counts as evidence if the log-odds less two standard deviations stays above
+the whole corpus. A feature counts as evidence if the log-odds less ``deviations`` standard deviations stays above
 ``least_weight``; a token weighs what its best feature does, every other word a small loss (the log-odds of a word that
 is no evidence). The maximal scoring segments of a document, all of them, come from one linear scan (Ruzzo and
 Tompa) over its evidence, with gaps as single losses. By extreme-value theory n * exp(-S) segments of score S are
@@ -91,7 +91,7 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return got.doc_id.to_numpy(np.int64), (got.toxic.to_numpy() > 0).astype(np.int64)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_weight: float = 1.5, prior: float = 2000.0, lexicon_most: int = LEXICON_MOST) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_weight: float = 1.5, prior: float = 2000.0, deviations: float = 2.0, lexicon_most: int = LEXICON_MOST) -> Model:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids, toxic = training_rows(labels, sample)
     counts = texts.mapInArrow(_counts(ids, toxic), "token string, n long, toxic long, clean long")
@@ -108,7 +108,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     a = F.col("n") * F.lit(prior / total.n)
     odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
     sd = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    weight = odds("toxic", total.toxic) - odds("clean", total.clean) - 2 * sd
+    weight = odds("toxic", total.toxic) - odds("clean", total.clean) - deviations * sd
     evidence = sums.withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
     weights = staged(feature.join(evidence, "feature").groupBy("token").agg(F.max("weight").alias("weight"), F.first("toxic").alias("toxic"), F.first("clean").alias("clean")), "weights")
     sizes = weights.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()

@@ -189,14 +189,14 @@ def test_toxicity_on_held_out_rows(spark):
     rows = [(i, text(i % 5 == 0), "l") for i in range(600)] + [(None, None, "l"), (9999, "", "l"), (9998, " \n", "l")]
     df = spark.createDataFrame(rows, "doc_id long, text string, statistic string").repartition(4)
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(5, None), (None, 1), (77777, 1)], "doc_id long, toxic int")
-    got = T.score(df, labels, lexicon_most=1000).collect()
+    got = T.score(df, labels, prior=50.0, lexicon_most=1000).collect()
     assert all((r.predicted == 1) == (r.doc_id is not None and r.doc_id % 5 == 0 and r.doc_id < 9000) for r in got)
     import zlib
 
     assert all(r.held_out == (zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 3 == 1) for r in got)
-    joined = {r.doc_id: (r.score, r.n_passages) for r in T.score(df, labels, lexicon_most=0).collect()}
+    joined = {r.doc_id: (r.score, r.n_passages) for r in T.score(df, labels, prior=50.0, lexicon_most=0).collect()}
     assert all(abs(joined[r.doc_id][0] - r.score) < 1e-9 and joined[r.doc_id][1] == r.n_passages for r in got)
-    kept = T.keep_clean(df, labels)
+    kept = T.keep_clean(df, labels, prior=50.0)
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _, _ in rows if i is None or i % 5 or i > 9000)
     assert {r.score for r in T.score(df, labels.limit(0)).collect()} == {T.score(df.limit(1), labels.limit(0)).first().score}
     assert T.score(df.limit(0), labels).count() == 0
