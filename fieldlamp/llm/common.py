@@ -61,10 +61,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """A copy of a slice that begins later than its buffers: some string kernels read such slices wrongly."""
+    return texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
+
+
 def words_of_batch(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Words of every text of a batch: (start of each text's words, with the end appended; the words,
     dictionary-encoded). Null texts have none. The split is on ASCII white space alone."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(pc.fill_null(compact(texts).cast(pa.large_string()), ""))
     flat, parent = split.values, np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     if split.offsets[0].as_py() or len(flat) != len(parent):
         flat = flat.slice(split.offsets[0].as_py(), len(parent))
@@ -84,10 +89,10 @@ def small_batches(batches, column: str, most_bytes: int = 24 << 20):
         begin, total = 0, 0
         for i, n in enumerate(size):
             if total and total + n > most_bytes:
-                yield batch.slice(begin, i - begin)
+                yield batch.take(pa.array(np.arange(begin, i))) if begin else batch.slice(0, i)
                 begin, total = i, 0
             total += int(n)
-        yield batch.slice(begin)
+        yield batch.take(pa.array(np.arange(begin, batch.num_rows))) if begin else batch
 
 
 def salt(column, n: int):

@@ -39,7 +39,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mix64, new_path, small_batches, staged, words_of_batch
+from .common import compact, mix64, new_path, small_batches, staged, words_of_batch
 
 CHUNK = 100_000
 REST_BITS = 40
@@ -117,7 +117,7 @@ def set_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    begin, words = words_of_batch(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    begin, words = words_of_batch(pc.ascii_lower(pc.fill_null(compact(texts).cast(pa.large_string()), "")))
     distinct = words.dictionary.to_pylist()
     h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in distinct), np.uint64, len(distinct))[words.indices.to_numpy()]
     with np.errstate(over="ignore"):

@@ -200,3 +200,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _, _ in rows if i is None or i % 5 or i > 9000)
     assert {r.score for r in T.score(df, labels.limit(0)).collect()} == {T.score(df.limit(1), labels.limit(0)).first().score}
     assert T.score(df.limit(0), labels).count() == 0
+
+
+def test_texts_of_a_sliced_batch_are_read_right():
+    import pyarrow as pa
+
+    from fieldlamp.llm.common import small_batches
+
+    texts = [f"Élan {i} été {'x' * (i % 7)} Zwölf {i % 3}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    whole = [s.tolist() for s in J.shingle_sets(batch.column("text"), 2)]
+    assert [s.tolist() for s in J.shingle_sets(batch.column("text").slice(50), 2)] == whole[50:]
+    pieces = [s.tolist() for p in small_batches([batch], "text", 300) for s in J.shingle_sets(p.column("text"), 2)]
+    assert pieces == whole
