@@ -4,8 +4,8 @@ Shingles are hashed; a document is the set of its hashes. Sizes are cut into ban
 band or in neighbours. For a band, the universe of hashes is partitioned into ``n`` ranges (segments). Two linked sets
 differ in at most H elements, so by the pigeonhole principle some segment of the two is equal, or differs in one
 element if the segment is indexed with its one-deletion neighbourhood. Allocation is by cost, per band: ``d`` segments
-take deletions (each stands for two), every set may leave out its ``slack`` smallest segments (whose keys are the
-commonest), and n is what the principle then needs: n + d = H + 1 + 2 * slack. A set is indexed for its own band
+take deletions (each stands for two), every set may leave out its ``slack`` smallest segments (the keys of
+empty ones are the commonest), and n is what the principle then needs: n + d = H + 1 + 2 * slack. A set is indexed for its own band
 and for the band below.
 
 What is shuffled is packed: a task sorts the keys of about 24 MB of text, keeps one member a key (the others are
@@ -56,24 +56,39 @@ class Band:
     slack: int
 
 
+def common_keys(size: int, n: int, d: int, slack: int) -> float:
+    """Keys of a set that say nothing of its elements, as expected: those of empty segments beyond the slack, and of segments
+    that a deletion empties. Each brings the set to a hub that it has nothing to do with, so its text is read once more."""
+    if n == 1:
+        return float(size <= 1) * d
+    none = (1 - 1 / n) ** size
+    one = size / (n - 1) * none
+    mean, excess = (n - d) * none, 0.0
+    term = math.exp(-mean)
+    for k in range(1, int(mean + 8 * math.sqrt(mean)) + 12):
+        term *= mean / k
+        excess += max(0, k - slack) * term
+    return excess + d * (2 * none + one)
+
+
 @functools.cache
 def band(index: int, percent: int) -> Band:
     lo = 1 if index == 0 else band(index - 1, percent).hi + 1
     hi = lo * 100 // percent
     most = hi * (100 - percent) // percent  # elements in which two linked sets of this band can differ
-    best = None
-    for slack in range(0, most + 2):
+    best, slack = None, 0
+    while slack < most + 2:
         for d in range(0, min(4, most) + 1):
             n = most + 1 + 2 * slack - d
             if n < max(1, d):
+                break
+            keys = n - slack + d * lo / n
+            if best and keys >= best[0]:
                 continue
-            mean = lo / n
-            small = n * math.exp(-mean) * (1 + mean)  # segments of at most one element
-            cost = n + d * mean + 40 * max(0.0, small - slack)
+            cost = keys + 1.5 * lo * common_keys(lo, n, d, slack)
             if best is None or cost < best[0]:
                 best = (cost, n, d, slack)
-        if best and slack > 4 and n > 2 * best[1]:
-            break
+        slack += 1 + slack // 12
     return Band(lo, hi, *best[1:])
 
 
@@ -322,12 +337,21 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     # elements that no other member has are the rarest, so the prefix begins with them
     order = Window.partitionBy("hub", "rep").orderBy(F.coalesce("holders", F.lit(1)), "e")
     ranked = failing.join(common, ["hub", "e"], "left").withColumn("place", F.row_number().over(order))
-    probes = ranked.filter(F.col("holders").isNotNull() & (F.col("place") <= F.col("d") - F.col("need") + 1)).select("hub", "e", F.col("rep").alias("x"))
-    met = probes.join(elements.withColumnRenamed("rep", "y"), ["hub", "e"]).filter("x <> y")
-    met = met.select("hub", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component"))
-    apart = met.join(of("x"), "x", "left").join(of("y"), "y", "left")
-    apart = apart.filter(F.coalesce("x_component", "x") != F.coalesce("y_component", "y")).select("hub", "x", "y")
+    of = labels.select(F.col("id").alias("rep"), "component")
+    sized = members.join(of, "rep", "left").select("hub", "rep", "n", F.size("delta").alias("d"), F.coalesce("component", "rep").alias("c"))
+    side = lambda rows, name: rows.join(sized, ["hub", "rep"]).select("hub", "e", *[F.col(x).alias(f"{name}_{x}") for x in ("rep", "n", "d", "c")])
+    probes = side(ranked.filter(F.col("holders").isNotNull() & (F.col("place") <= F.col("d") - F.col("need") + 1)).select("hub", "rep", "e"), "x")
+    held = side(elements.join(probes.select("hub", "e").distinct(), ["hub", "e"], "left_semi"), "y")
+    # sets of too different sizes, or too differently far from the hub, differ too much
+    near = (probes["x_c"] != held["y_c"]) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    near &= (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
+    met = probes.join(held, (probes["hub"] == held["hub"]) & (probes["e"] == held["e"]) & near).select(probes["hub"], "x_rep", "y_rep", *[f"{x}_{c}" for x in "xy" for c in "nd"])
+    # of the elements that x and y have to share, all but need - 1 lie among x's probes
+    differ = F.floor((100 - percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
+    shared = F.ceil((F.col("x_d") + F.col("y_d") - differ) / 2)
+    need = F.greatest(F.lit(1), F.col("x_d") - F.floor(F.col("x_n") * (100 - percent) / percent))
+    counted = met.groupBy("hub", "x_rep", "y_rep", "x_n", "x_d", "y_n", "y_d").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > shared - need)
+    apart = counted.select("hub", F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
     one = lambda side: members.select("hub", F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("delta").alias(f"{side}_delta"))
     both = apart.join(one("x"), ["hub", "x"]).join(one("y"), ["hub", "y"])
     differ = F.size("x_delta") + F.size("y_delta") - 2 * F.size(F.array_intersect("x_delta", "y_delta"))
