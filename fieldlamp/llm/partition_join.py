@@ -39,7 +39,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import compact, mix64, new_path, small_batches, staged, words_of_batch
+from .common import compact, mix64, new_path, remove_path, small_batches, staged, words_of_batch
 
 CHUNK = 100_000
 REST_BITS = 40
@@ -85,7 +85,7 @@ def band(index: int, percent: int) -> Band:
             keys = n - slack + d * lo / n
             if best and keys >= best[0]:
                 continue
-            cost = keys + 1.5 * lo * common_keys(lo, n, d, slack)
+            cost = keys + 5 * lo * common_keys(lo, n, d, slack)
             if best is None or cost < best[0]:
                 best = (cost, n, d, slack)
         slack += 1 + slack // 12
@@ -310,6 +310,8 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     local = index.filter("kind = 'local'").select("key", "node", "owners").mapInArrow(_local, "key long, nodes array<long>")
     held = across.unionByName(local).select("key", F.explode("nodes").alias("node")).join(nodes, "node").select("key", "rep").distinct()
     held = staged(held, "held-keys")
+    for kind in ("bucket", "local"):
+        remove_path(spark, f"{path}/kind={kind}")
     ranks = held.join(held.groupBy("rep").agg(F.count(F.lit(1)).alias("keys")), "rep")
     hubs = ranks.groupBy("key").agg(F.max(F.struct("keys", "rep"))["rep"].alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     stars = held.join(hubs.select("key", "hub"), "key").filter("hub <> rep").select("hub", "rep").distinct()
@@ -328,24 +330,26 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one hub, of which one at least is not linked with the hub, by their differences from it."""
-    failed = tried.filter("not linked")
-    members = tried.join(failed.select("hub").distinct(), "hub", "left_semi")
-    elements = members.select("hub", "rep", F.explode("delta").alias("e"))
-    common = elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    most = F.floor(F.col("n") * (100 - percent) / percent)
-    failing = failed.select("hub", "rep", F.size("delta").alias("d"), F.greatest(F.lit(1), F.size("delta") - most).alias("need"), F.posexplode("delta").alias("at", "e"))
-    # elements that no other member has are the rarest, so the prefix begins with them
-    order = Window.partitionBy("hub", "rep").orderBy(F.coalesce("holders", F.lit(1)), "e")
-    ranked = failing.join(common, ["hub", "e"], "left").withColumn("place", F.row_number().over(order))
+    full = tried.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max((~F.col("linked")).cast("int")).alias("failed")).filter("members > 1 and failed = 1")
+    members = tried.join(full.select("hub"), "hub", "left_semi").withColumn("m", F.monotonically_increasing_id())
+    members = staged(members, "members")
+    # an element of a hub is a hash of both; if two share one, the exact comparison still decides
+    elements = members.select("m", F.explode("delta").alias("e"), "hub").select("m", F.xxhash64("hub", "e").alias("e"))
+    shared = elements.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("e"))).filter("holders > 1")
+    shared = staged(shared, "shared-elements")
     of = labels.select(F.col("id").alias("rep"), "component")
-    sized = members.join(of, "rep", "left").select("hub", "rep", "n", F.size("delta").alias("d"), F.coalesce("component", "rep").alias("c"))
-    side = lambda rows, name: rows.join(sized, ["hub", "rep"]).select("hub", "e", *[F.col(x).alias(f"{name}_{x}") for x in ("rep", "n", "d", "c")])
-    probes = side(ranked.filter(F.col("holders").isNotNull() & (F.col("place") <= F.col("d") - F.col("need") + 1)).select("hub", "rep", "e"), "x")
-    held = side(elements.join(probes.select("hub", "e").distinct(), ["hub", "e"], "left_semi"), "y")
+    sized = members.join(of, "rep", "left").select("m", "hub", "rep", "n", "linked", F.size("delta").alias("d"), F.coalesce("component", "rep").alias("c"))
+    side = lambda rows, name: rows.select("e", *[F.col(x).alias(f"{name}_{x}") for x in ("hub", "rep", "n", "d", "c")])
+    named = shared.join(sized, "m")
+    # elements that no other member has are the rarest, so a member's prefix begins with them
+    order = Window.partitionBy("m").orderBy("holders", "e")
+    ranked = named.filter("not linked").withColumn("place", F.row_number().over(order) + F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("m")))
+    need = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
+    probes, held = side(ranked.filter(F.col("place") <= F.col("d") - need + 1), "x"), side(named, "y")
     # sets of too different sizes, or too differently far from the hub, differ too much
-    near = (probes["x_c"] != held["y_c"]) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    near = (F.col("x_c") != F.col("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
     near &= (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
-    met = probes.join(held, (probes["hub"] == held["hub"]) & (probes["e"] == held["e"]) & near).select(probes["hub"], "x_rep", "y_rep", *[f"{x}_{c}" for x in "xy" for c in "nd"])
+    met = probes.join(held, (probes["e"] == held["e"]) & (F.col("x_hub") == F.col("y_hub")) & near).select(F.col("x_hub").alias("hub"), "x_rep", "y_rep", *[f"{x}_{c}" for x in "xy" for c in "nd"])
     # of the elements that x and y have to share, all but need - 1 lie among x's probes
     differ = F.floor((100 - percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
     shared = F.ceil((F.col("x_d") + F.col("y_d") - differ) / 2)
