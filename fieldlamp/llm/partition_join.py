@@ -14,7 +14,7 @@ bits. Exact copies are one class from the start. The member of a key that holds
 (hub, member) pairs are verified on whole texts, so families of near copies cost a pair a member. If x is not linked with its
 hub, it may still be linked with another member y. Their differences from the hub then have to share elements: x and
 y differ in |dx| + |dy| - 2 |dx & dy| elements, which is too many if dx and dy are disjoint, as dx alone is too many. So
-differences are joined on the rarest elements of dx (as many as the threshold asks for) and compared exactly; no link
+differences are joined on the rarest elements of dx and dy (as many as the threshold asks for) and compared exactly; no link
 between different texts is lost, and no pair is formed that shares nothing beyond its hub.
 
 Skew: a key held by a third of all rows sends one entry a piece of text. Verification gathers a first member
@@ -339,23 +339,23 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     shared = staged(shared, "shared-elements")
     of = labels.select(F.col("id").alias("rep"), "component")
     sized = members.join(of, "rep", "left").select("m", "hub", "rep", "n", "linked", F.size("delta").alias("d"), F.coalesce("component", "rep").alias("c"))
-    side = lambda rows, name: rows.select("e", *[F.col(x).alias(f"{name}_{x}") for x in ("hub", "rep", "n", "d", "c")])
+    side = lambda rows, name: rows.select("e", *[F.col(x).alias(f"{name}_{x}") for x in ("hub", "rep", "n", "d", "c", "place")])
     named = shared.join(sized, "m")
     # elements that no other member has are the rarest, so a member's prefix begins with them
     order = Window.partitionBy("m").orderBy("holders", "e")
-    ranked = named.filter("not linked").withColumn("place", F.row_number().over(order) + F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("m")))
+    ranked = named.withColumn("place", F.row_number().over(order) + F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("m")))
+    # the least that a member shares with any linked one bounds its prefix
     need = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
-    probes, held = side(ranked.filter(F.col("place") <= F.col("d") - need + 1), "x"), side(named, "y")
-    # sets of too different sizes, or too differently far from the hub, differ too much
-    near = (F.col("x_c") != F.col("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
-    near &= (100 + percent) * F.abs(F.col("x_d") - F.col("y_d")) <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
-    met = probes.join(held, (probes["e"] == held["e"]) & (F.col("x_hub") == F.col("y_hub")) & near).select(F.col("x_hub").alias("hub"), "x_rep", "y_rep", *[f"{x}_{c}" for x in "xy" for c in "nd"])
-    # of the elements that x and y have to share, all but need - 1 lie among x's probes
+    ranked = staged(ranked.filter(F.col("place") <= F.col("d") - need + 1), "prefixes")
+    probes, held = side(ranked.filter("not linked"), "x"), side(ranked, "y")
+    # sets of too different sizes, or too differently far from the hub, differ too much; of others, the prefixes by rarity meet
     differ = F.floor((100 - percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
-    shared = F.ceil((F.col("x_d") + F.col("y_d") - differ) / 2)
-    need = F.greatest(F.lit(1), F.col("x_d") - F.floor(F.col("x_n") * (100 - percent) / percent))
-    counted = met.groupBy("hub", "x_rep", "y_rep", "x_n", "x_d", "y_n", "y_d").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > shared - need)
-    apart = counted.select("hub", F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
+    least = F.greatest(F.lit(1), F.ceil((F.col("x_d") + F.col("y_d") - differ) / 2))
+    near = (F.col("x_c") != F.col("y_c")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (least <= F.least("x_d", "y_d"))
+    near &= (F.col("x_place") <= F.col("x_d") - least + 1) & (F.col("y_place") <= F.col("y_d") - least + 1)
+    near &= 1 + F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place")) >= least
+    met = probes.join(held, (probes["e"] == held["e"]) & (F.col("x_hub") == F.col("y_hub")) & near)
+    apart = met.select(F.col("x_hub").alias("hub"), F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
     one = lambda side: members.select("hub", F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("delta").alias(f"{side}_delta"))
     both = apart.join(one("x"), ["hub", "x"]).join(one("y"), ["hub", "y"])
     differ = F.size("x_delta") + F.size("y_delta") - 2 * F.size(F.array_intersect("x_delta", "y_delta"))
