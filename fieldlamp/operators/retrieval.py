@@ -68,10 +68,11 @@ def bm25(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, key:
     return scored.join(q.select("qid", "term"), "term").groupBy("qid", key).agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def top(scored: DataFrame, k: int, by: str = "score", key: str = "doc_id", part: str = "qid") -> DataFrame:
-    """The k best rows of each query, ranked; ties by key."""
+def top(scored: DataFrame, k: int | None, by: str = "score", key: str = "doc_id", part: str = "qid") -> DataFrame:
+    """The k best rows of each query, all without k, ranked; ties by key."""
     w = Window.partitionBy(part).orderBy(F.desc(by), key)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def and_then_or(strict: DataFrame, loose: DataFrame, below: int, k: int, key: str = "doc_id") -> DataFrame:

@@ -166,10 +166,11 @@ rel as (
   select *, round(1.0 / (5 + rank) * (1 + 1.2 * it + 0.5 * ib) * case when it = 0 and ib = 0 then 0.45 when ib = 0 and it <= 0.5 and ideas >= 2 then 0.6 else 1.0 end, 6) score from ev)"""
 
 
-def relevant(spark, d) -> DataFrame:
-    """(qid, doc_id, source, score) of the 40 best by BM25 of each query, rescored by evidence."""
+def relevant(spark, d, limit: int | None = 40) -> DataFrame:
+    """(qid, doc_id, source, rank, score) of the ``limit`` best by BM25 of each query, of every scored document without
+    one, rescored by evidence."""
     q, _, s = scored(spark, d)
-    hits = S.top(s, 40).select("qid", "doc_id", "rank").join(q, "qid").join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    hits = S.top(s, limit).select("qid", "doc_id", "rank").join(q, "qid").join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
     t = T.all_tokens(F.col("text"))
     share = lambda have: F.size(F.array_intersect(F.col("terms"), have)) / F.size("terms")
     hits = hits.withColumn("it", share(F.slice(t, 1, 8))).withColumn("ib", share(t))
@@ -178,56 +179,68 @@ def relevant(spark, d) -> DataFrame:
 
 
 BASE = f"with {BATCH}, {POSTS}, {BM25}, {RELEVANT}"
+BASE_ALL = BASE.replace(RANKED, RANKED.replace(" qualify rank <= 40", ""))
 
 
-@query("o63_relevance_multiplier", f"{BASE} select qid, doc_id, source, rank, score from rel")
-def relevance_multiplier(spark, d):
-    return relevant(spark, d)
+def ranking(name: str, sql: str):
+    """NAME works on the 40 best by BM25, as its SQL does; NAME_all on every scored document, so that only limits which
+    are the query's own feature cut."""
 
+    def add(f):
+        query(f"{name}_all", sql.replace(BASE, BASE_ALL))(lambda spark, d: f(spark, d, None))
+        return query(name, sql)(f)
 
-@query("o69_dedupe_best", f"{BASE} select qid, doc_id, source, score from rel qualify row_number() over (partition by qid, source order by score desc, doc_id) = 1")
-def dedupe_best(spark, d):
-    return R.dedupe(relevant(spark, d), ["qid", "source"]).drop("rank")
+    return add
 
 
-@query("o70_dedupe_titles", f"""{BASE}, k as (select rel.*, array_to_string(title, ' ') title from rel join titled using (qid, doc_id))
+@ranking("o63_relevance_multiplier", f"{BASE} select qid, doc_id, source, rank, score from rel")
+def relevance_multiplier(spark, d, limit: int | None = 40):
+    return relevant(spark, d, limit)
+
+
+@ranking("o69_dedupe_best", f"{BASE} select qid, doc_id, source, score from rel qualify row_number() over (partition by qid, source order by score desc, doc_id) = 1")
+def dedupe_best(spark, d, limit: int | None = 40):
+    return R.dedupe(relevant(spark, d, limit), ["qid", "source"]).drop("rank")
+
+
+@ranking("o70_dedupe_titles", f"""{BASE}, k as (select rel.*, array_to_string(title, ' ') title from rel join titled using (qid, doc_id))
 select qid, doc_id, source, score from k qualify row_number() over (partition by qid, source, title order by score desc, doc_id) = 1""")
-def dedupe_titles(spark, d):
+def dedupe_titles(spark, d, limit: int | None = 40):
     titles = table(spark, d, "documents").select("doc_id", F.array_join(F.slice(T.all_tokens(F.col("text")), 1, 8), " ").alias("title"))
-    return R.dedupe(relevant(spark, d).join(titles, "doc_id"), ["qid", "source", "title"]).select("qid", "doc_id", "source", "score")
+    return R.dedupe(relevant(spark, d, limit).join(titles, "doc_id"), ["qid", "source", "title"]).select("qid", "doc_id", "source", "score")
 
 
 DIVERSE = "div as (select qid, doc_id, source, round(score * case when nth > 3 then power(0.85, nth - 3) else 1 end, 6) score from (select *, row_number() over (partition by qid, source order by score desc, doc_id) nth from rel))"
 
 
-@query("o71_diversify_decay", f"{BASE}, {DIVERSE} select qid, doc_id, source, score from div")
-def diversify_decay(spark, d):
-    return R.diversify(relevant(spark, d), ["qid"]).drop("rank")
+@ranking("o71_diversify_decay", f"{BASE}, {DIVERSE} select qid, doc_id, source, score from div")
+def diversify_decay(spark, d, limit: int | None = 40):
+    return R.diversify(relevant(spark, d, limit), ["qid"]).drop("rank")
 
 
-@query("o72_facet_counts", f"{BASE} select qid, source, count(*) n from rel group by all")
-def facet_counts(spark, d):
-    return R.facets(relevant(spark, d), ["qid"])
+@ranking("o72_facet_counts", f"{BASE} select qid, source, count(*) n from rel group by all")
+def facet_counts(spark, d, limit: int | None = 40):
+    return R.facets(relevant(spark, d, limit), ["qid"])
 
 
-@query("o74_rescue_cap", f"""{BASE}, r as (select *, source = 'src3' k, row_number() over (partition by qid order by score desc, doc_id) place, row_number() over (partition by qid, source = 'src3' order by score desc, doc_id) own from rel)
+@ranking("o74_rescue_cap", f"""{BASE}, r as (select *, source = 'src3' k, row_number() over (partition by qid order by score desc, doc_id) place, row_number() over (partition by qid, source = 'src3' order by score desc, doc_id) own from rel)
 select qid, doc_id, place from r where place <= 10 or (k and own <= 2)""")
-def rescue_cap(spark, d):
-    rows = relevant(spark, d).drop("rank")
+def rescue_cap(spark, d, limit: int | None = 40):
+    rows = relevant(spark, d, limit).drop("rank")
     return R.rescue(rows, ["qid"], F.col("source") == "src3", c=R.RankConfig(limit=10, rescued=2)).select("qid", "doc_id", F.col("rank").alias("place"))
 
 
-@query("o73_source_filter_limit", f"{BASE}, {DIVERSE} select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) place from div where source in ('src0', 'src1', 'src2') qualify place <= 5")
-def source_filter(spark, d):
-    rows = R.diversify(relevant(spark, d), ["qid"]).drop("rank").filter(F.col("source").isin("src0", "src1", "src2"))
+@ranking("o73_source_filter_limit", f"{BASE}, {DIVERSE} select qid, doc_id, row_number() over (partition by qid order by score desc, doc_id) place from div where source in ('src0', 'src1', 'src2') qualify place <= 5")
+def source_filter(spark, d, limit: int | None = 40):
+    rows = R.diversify(relevant(spark, d, limit), ["qid"]).drop("rank").filter(F.col("source").isin("src0", "src1", "src2"))
     return S.top(rows, 5).select("qid", "doc_id", F.col("rank").alias("place"))
 
 
-@query("o75_zero_evidence_drop", f"{BASE} select qid, doc_id from rel where it > 0")
-def zero_evidence(spark, d):
+@ranking("o75_zero_evidence_drop", f"{BASE} select qid, doc_id from rel where it > 0")
+def zero_evidence(spark, d, limit: int | None = 40):
     q = batch(spark, d)
     titles = table(spark, d, "documents").select("doc_id", F.slice(T.all_tokens(F.col("text")), 1, 8).alias("title"))
-    return relevant(spark, d).join(q, "qid").join(titles, "doc_id").filter(F.arrays_overlap("terms", "title")).select("qid", "doc_id")
+    return relevant(spark, d, limit).join(q, "qid").join(titles, "doc_id").filter(F.arrays_overlap("terms", "title")).select("qid", "doc_id")
 
 
 @query("o76_suggest_prefix", """with p as (select distinct left(lower(p_name), 3) pre from part where p_partkey % 50 = 0), c as (select pre, p_partkey as id, lower(p_name) title, 1 kind from p join part on starts_with(lower(p_name), pre) union all select pre, s_suppkey, lower(s_name), 2 from p join supplier on starts_with(lower(s_name), pre)),
@@ -242,10 +255,10 @@ def suggest(spark, d):
     return c.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 10").select("pre", "title", "place")
 
 
-@query("o78_interleave", f"{BASE}, l as (select qid, doc_id, source, row_number() over (partition by qid, source order by score desc, doc_id) r from rel) select qid, doc_id, row_number() over (partition by qid order by r, source) place from l")
-def interleave(spark, d):
+@ranking("o78_interleave", f"{BASE}, l as (select qid, doc_id, source, row_number() over (partition by qid, source order by score desc, doc_id) r from rel) select qid, doc_id, row_number() over (partition by qid order by r, source) place from l")
+def interleave(spark, d, limit: int | None = 40):
     w = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "doc_id")
-    rows = relevant(spark, d).drop("rank").withColumn("rank", F.row_number().over(w))
+    rows = relevant(spark, d, limit).drop("rank").withColumn("rank", F.row_number().over(w))
     return R.interleave(rows, ["qid"], "source").select("qid", "doc_id", "place")
 
 
@@ -350,7 +363,7 @@ def condition_coverage(spark, d):
     return c.select("id", F.round(cov, 6).alias("coverage"), F.round(F.when(F.col("cond") == 0, 0.25).otherwise(1.0) * cov, 6).alias("score"))
 
 
-@query("flagship_hybrid_search", f"""{BASE}, {DIVERSE},
+@ranking("flagship_hybrid_search", f"""{BASE}, {DIVERSE},
 seed as (select qid, doc_id v from rel where rank = 1),
 e as (select vec_id, embedding e from embeddings),
 qs as (select qid, vec_id own, e from seed join e on vec_id = v),
@@ -359,11 +372,11 @@ near as (select qid, doc_id, cos, row_number() over (partition by qid order by c
 f as (select coalesce(w.qid, n.qid) qid, coalesce(w.doc_id, n.doc_id) doc_id, score, case when cos >= case when score is not null then 0.25 else 0.3 end then 2.0 / (5 + near_rank) * case when score is not null then 0.5 else 1 end else 0 end bonus from div w full join near n on w.qid = n.qid and w.doc_id = n.doc_id),
 g as (select qid, doc_id, round(coalesce(score, 0) + coalesce(bonus, 0), 6) fused from f where score is not null or bonus > 0)
 select qid, doc_id, fused, row_number() over (partition by qid order by fused desc, doc_id) rank from g qualify rank <= 20""")
-def hybrid_search(spark, d):
+def hybrid_search(spark, d, limit: int | None = 40):
     """Keywords by BM25, evidence and diversity; neighbours of each query's best document; fused by rank."""
     from ..operators import vectors as V
 
-    rel = written(relevant(spark, d), "relevant")
+    rel = written(relevant(spark, d, limit), "relevant")
     words = R.diversify(rel, ["qid"]).select("qid", "doc_id", "score")
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     seed = rel.filter("rank = 1").join(vec, "doc_id").select("qid", "embedding")
