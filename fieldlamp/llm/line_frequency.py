@@ -1,9 +1,10 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (lower case, digits to 0, runs of white space to one space, trimmed) and hashed to 64 bits; per
-host the documents that hold a line are counted; lines in more than ``max_docs`` documents of their host are taken
-out, and a document that loses more than ``max_removed`` of its words, or keeps fewer than ``min_words``, is depleted
-and rejected. In-document signals (words, symbols, repeated lines, repeated word windows) come from the same pass.
+host the documents that hold a line are counted; lines in more than ``max_docs`` and more than ``max_percent`` % of the
+documents of their host are taken out, so that more documents of the same kind change no verdict once a host has
+100 ``max_docs`` / ``max_percent``, and a document that loses more than ``max_removed`` of its words, or keeps fewer
+than ``min_words``, is depleted and rejected. In-document signals (words, symbols, repeated lines, repeated word windows) come from the same pass.
 
 Scale: one pass over the texts leaves 12 bytes a line. Counts are pre-aggregated before their shuffle, and a line that
 a third of all documents hold meets its count through a salted join: only lines above the limit are replicated, each
@@ -84,7 +85,7 @@ def _signals(width: int):
 
 
 def judge(
-    documents: DataFrame, host: str = "source", max_docs: int = 10, max_removed: float = 0.5, min_words: int = 20,
+    documents: DataFrame, host: str = "source", max_docs: int = 10, max_percent: int = 2, max_removed: float = 0.5, min_words: int = 20,
     width: int = 8, max_repeat_percent: int = 30,
 ) -> DataFrame:
     """Per row of documents (doc_id, text and the host column): signals, base_failed, removed_lines, removed_words, kept."""
@@ -96,8 +97,13 @@ def judge(
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("docs"))
         .filter(F.col("docs") > max_docs)
+        .withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
     )
-    above = counts.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    large = signals.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")).filter(max_percent * F.col("host_docs") > 100 * max_docs).select("host", "host_docs", salts)
+    own = counts["host"].eqNullSafe(large["host"]) & (counts["salt"] == large["salt"])
+    counts = counts.join(large, own, "left").filter(large["host_docs"].isNull() | (100 * F.col("docs") > max_percent * large["host_docs"])).select(counts["host"], "line")
+    above = counts.select("host", "line", salts)
     held = signals.select(
         "row", "host", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")
     ).select("row", "host", "salt", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))

@@ -36,6 +36,18 @@ def test_common_lines_deplete_only_their_host(spark):
     assert all(kept[i] == (False, 1) for i in range(12)) and all(kept[100 + i] == (True, 0) for i in range(3))
 
 
+def test_the_limit_grows_with_the_host(spark):
+    word = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    own = lambda i: " ".join(f"w{word(i)}x{chr(97 + j)}" for j in range(30))
+    line = lambda x: " ".join(f"{x}{chr(97 + j)}" for j in range(40))
+    for n in (1000, 3000):
+        of = lambda i: [line("menu")] * (i % 100 < 3) + [line("quote")] * (i % 100 == 50) + [line("pair")] * (i % 50 == 20)  # noqa: E731, B023
+        rows = [(i, "\n".join([*of(i), own(i)]), None) for i in range(n)]
+        out = line_frequency.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        lost = {r.doc_id for r in out if r.removed_lines}
+        assert lost == {i for i in range(n) if i % 100 < 3} == {r.doc_id for r in out if not r.kept}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_frequency.judge(df).count() == 0
