@@ -40,11 +40,17 @@ def boolean(posts: DataFrame, queries: DataFrame, mode: str = "and", key: str =
     return (m.filter("found = n_terms") if mode == "and" else m).select("qid", key)
 
 
-def phrase(pos: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents with two words beside each other: pairs(qid, first, second)."""
-    a = pos.join(pairs, pos["term"] == pairs["first"]).select("qid", key, "second", (F.col("pos") + 1).alias("pos"))
-    b = pos.select(F.col(key), "pos", F.col("term").alias("second"))
-    return a.join(b, [key, "pos", "second"]).groupBy("qid", key).agg(F.count(F.lit(1)).alias("n"))
+def phrase(pos: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """How often documents hold phrases of any length, word beside word: terms(qid, ord, term), ord from 0. A phrase
+    meets the positions of its rarest word; the others are then looked up in their places."""
+    held = pos.join(terms.select("term").distinct(), "term")
+    held_by = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "ord", "term"))
+    rare = terms.join(held_by, "term", "left").groupBy("qid").agg(rarest.alias("r"), F.count(F.lit(1)).alias("n_terms"))
+    starts = pos.join(rare.select("qid", "n_terms", "r.ord", "r.term"), "term").select("qid", key, "n_terms", (F.col("pos") - F.col("ord")).alias("start"))
+    wanted = starts.filter("start >= 0").distinct().join(terms, "qid").withColumn("pos", F.col("start") + F.col("ord")).drop("ord")
+    met = wanted.join(held, [key, "pos", "term"]).groupBy("qid", key, "start", "n_terms").agg(F.count_distinct("pos").alias("found"))
+    return met.filter("found = n_terms").groupBy("qid", key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def prefix(posts: DataFrame, prefixes: DataFrame, key: str = "doc_id", size: int = 3) -> DataFrame:

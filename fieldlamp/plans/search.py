@@ -89,7 +89,14 @@ def prefix_match(spark, d):
 @query("o25_phrase_match", f"with p as (select item_id qid, {tok('text')} t from benchmark), pairs as (select qid, t[1] a, t[2] b from p where len(t) > 1), dt as (select doc_id, {tok('text')} t from documents), pos as (select doc_id, unnest(t) term, generate_subscripts(t, 1) pos from dt) select qid, x.doc_id, count(*) n from pos x join pairs on x.term = a join pos y on y.doc_id = x.doc_id and y.pos = x.pos + 1 and y.term = b group by all")
 def phrase_match(spark, d):
     t = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.all_tokens(F.col("text")).alias("t")).filter("size(t) > 1")
-    return S.phrase(S.positions(table(spark, d, "documents")), t.select("qid", F.col("t")[0].alias("first"), F.col("t")[1].alias("second")))
+    return S.phrase(S.positions(table(spark, d, "documents")), t.select("qid", F.posexplode(F.slice("t", 1, 2)).alias("ord", "term")))
+
+
+@query("o25_phrase_match_all", f"with p as (select item_id qid, {tok('text')} p from benchmark), dt as (select doc_id, {tok('text')} t from documents), pos as (select doc_id, t, unnest(generate_series(1, len(t))) s from dt) select qid, doc_id, count(*) n from pos join p on t[s] = p[1] where t[s:s + len(p) - 1] = p group by all")
+def phrase_match_all(spark, d):
+    """Whole passages."""
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(T.all_tokens(F.col("text"))).alias("ord", "term"))
+    return S.phrase(S.positions(table(spark, d, "documents")), t)
 
 
 @query("o55_bm25_topk", f"with {BATCH}, {POSTS}, {BM25} select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from scored qualify rank <= 10")
