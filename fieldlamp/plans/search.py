@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import text as T
-from ..operators import ranking as R, retrieval as S
+from ..functions import injury_words as W, text as T
+from ..operators import intent as I, ranking as R, retrieval as S
 from ..session import table, written
 from .registry import query
 
@@ -70,6 +70,15 @@ def content_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(T.content_terms(F.col("text")), " ").alias("terms"))
 
 
+STOP_ALL = ", ".join(f"'{w}'" for w in sorted(W.STOPWORDS))
+
+
+@query("o21_content_terms_all", f"with a as (select item_id, {tok('text')} t from benchmark), b as (select item_id, {DISTINCT.format('t')} t from a), c as (select *, list_filter(t, lambda x: x not in ({STOP_ALL})) c from b) select item_id, array_to_string(case when len(c) > 0 then c else t end, ' ') terms from c")
+def content_terms_all(spark, d):
+    """With the reference's whole list of stopwords."""
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.content_terms(F.col("text"), sorted(W.STOPWORDS)), " ").alias("terms"))
+
+
 @query("o23_boolean_and", f"with {BATCH}, {POSTS} select qid, doc_id from posts join q using (term) group by qid, doc_id, n_terms having count(distinct term) = n_terms")
 def boolean_and(spark, d):
     return S.boolean(S.postings(table(spark, d, "documents")), batch(spark, d), "and")
@@ -370,6 +379,33 @@ def condition_coverage(spark, d):
     return c.select("id", F.round(cov, 6).alias("coverage"), F.round(F.when(F.col("cond") == 0, 0.25).otherwise(1.0) * cov, 6).alias("score"))
 
 
+def texts_of(spark, d) -> DataFrame:
+    """(kind, id, text) of every passage and document."""
+    items = table(spark, d, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text")
+    return items.unionByName(table(spark, d, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text"))
+
+
+@query("o22_expand_groups_all")
+def expand_groups_all(spark, d):
+    x = texts_of(spark, d).withColumn("key", F.struct("kind", "id"))
+    return I.expanded(x, "key").select("key.*", "ord", "g")
+
+
+@query("o30_intent_flags_all")
+def intent_flags_all(spark, d):
+    x = texts_of(spark, d).withColumn("key", F.struct("kind", "id"))
+    return I.flags(x, "key").select("key.*", "conditions", "locations", "modifiers", "confidence", "purpose")
+
+
+@query("o82_condition_coverage_all")
+def condition_coverage_all(spark, d):
+    """Of passages that describe an injury, in every document that BM25 scores for them."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("raw"))
+    hurt = I.flags(items, "qid", "raw").filter("confidence = 'confirmed' and purpose = 'care' and size(conditions) > 0").select("qid")
+    hits = scored(spark, d)[2].join(hurt, "qid").join(items, "qid").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return I.covered(hits, F.col("raw"), F.col("text"))
+
+
 @ranking("flagship_hybrid_search", f"""{BASE}, {DIVERSE},
 seed as (select qid, doc_id v from rel where rank = 1),
 e as (select vec_id, embedding e from embeddings),
