@@ -259,11 +259,14 @@ def zero_evidence(spark, d, limit: int | None = 40):
     return relevant(spark, d, limit).join(q, "qid").join(titles, "doc_id").filter(F.arrays_overlap("terms", "title")).select("qid", "doc_id")
 
 
-@query("o76_suggest_prefix", """with p as (select distinct left(lower(p_name), 3) pre from part where p_partkey % 50 = 0), c as (select pre, p_partkey as id, lower(p_name) title, 1 kind from p join part on starts_with(lower(p_name), pre) union all select pre, s_suppkey, lower(s_name), 2 from p join supplier on starts_with(lower(s_name), pre)),
-u as (select *, row_number() over (partition by pre, title order by kind, id) nth from c) select pre, title, row_number() over (partition by pre order by kind, length(title), title) place from u where nth = 1 qualify place <= 10""")
-def suggest(spark, d):
+SUGGEST = """with p as (select distinct left(lower(p_name), 3) pre from part where p_partkey % 50 = 0), c as (select pre, p_partkey as id, lower(p_name) title, 1 kind from p join part on starts_with(lower(p_name), pre) union all select pre, s_suppkey, lower(s_name), 2 from p join supplier on starts_with(lower(s_name), pre)),
+u as (select *, row_number() over (partition by pre, title order by kind, id) nth from c) select pre, title, row_number() over (partition by pre order by kind, length(title), title) place from u where nth = 1 qualify place <= 10"""
+
+
+@query("o76_suggest_prefix", SUGGEST)
+def suggest(spark, d, some: str = "p_partkey % 50 = 0"):
     part, sup = table(spark, d, "part"), table(spark, d, "supplier")
-    p = part.filter("p_partkey % 50 = 0").select(F.left(F.lower("p_name"), F.lit(3)).alias("pre")).distinct()
+    p = part.filter(some).select(F.left(F.lower("p_name"), F.lit(3)).alias("pre")).distinct()
     names = part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("title"), F.lit(1).alias("kind")).unionByName(sup.select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("title"), F.lit(2).alias("kind")))
     c = names.withColumn("pre", F.left("title", F.lit(3))).join(p, "pre")
     c = c.withColumn("nth", F.row_number().over(Window.partitionBy("pre", "title").orderBy("kind", "id"))).filter("nth = 1")
@@ -271,6 +274,12 @@ def suggest(spark, d):
     return c.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 10").select("pre", "title", "place")
 
 
+@query("o76_suggest_prefix_all", SUGGEST.replace(" where p_partkey % 50 = 0", ""))
+def suggest_all(spark, d):
+    """For the prefixes of all parts."""
+    return suggest(spark, d, "true")
+
+
 @ranking("o78_interleave", f"{BASE}, l as (select qid, doc_id, source, row_number() over (partition by qid, source order by score desc, doc_id) r from rel) select qid, doc_id, row_number() over (partition by qid order by r, source) place from l")
 def interleave(spark, d, limit: int | None = 40):
     w = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "doc_id")
