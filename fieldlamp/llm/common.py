@@ -1,53 +1,17 @@
-"""What the operators of this package share: table reading, staging in the shared folder, hashing."""
+"""What the operators of this package share: hashing, words and pieces of batches; tables and staging come from the session module."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Words of the contracts: runs of anything but ASCII white space.
-ASCII_WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is the session's spark.checkpoint.dir; only where that
-    is unset (tests, one machine) a folder of this machine is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="fieldlamp-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
 
+from ..session import bounded, new_path, remove_path, save, scratch, table, unstage, written as staged
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["bounded", "new_path", "remove_path", "save", "scratch", "table", "unstage", "staged", "ASCII_WORD", "mix64", "compact", "words_of_batch", "small_batches"]
 
-
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, lost executors
-    cost no recomputation, and every consumer reads the same rows."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder that no later read needs."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Words of the contracts: runs of anything but ASCII white space.
+ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -79,7 +43,7 @@ def words_of_batch(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return np.concatenate([[0], np.cumsum(counts)]), flat.dictionary_encode()
 
 
-def small_batches(batches, column: str, most_bytes: int = 24 << 20):
+def small_batches(batches, column: str, most_bytes: int = 8 << 20):
     """Cut record batches so that the texts of a piece stay near most_bytes; a single longer text is a piece
     of its own."""
     for batch in batches:
@@ -93,7 +57,3 @@ def small_batches(batches, column: str, most_bytes: int = 24 << 20):
                 begin, total = i, 0
             total += int(n)
         yield batch.take(pa.array(np.arange(begin, batch.num_rows))) if begin else batch
-
-
-def salt(column, n: int):
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")

@@ -8,22 +8,24 @@ take deletions (each stands for two), every set may leave out its ``slack`` smal
 empty ones are the commonest), and n is what the principle then needs: n + d = H + 1 + 2 * slack. A set is indexed for its own band
 and for the band below.
 
-What is shuffled is packed: a task sorts the keys of about 24 MB of text, keeps one member a key (the others are
+What is shuffled is packed: a task sorts the keys of about 8 MB of text, keeps one member a key (the others are
 noted beside it), and sends slices of sorted 5-byte keys with 2-byte owners to the buckets of the key's high
-bits. Exact copies are one class from the start. The member of a key that holds most shared keys is its hub, and
-(hub, member) pairs are verified on whole texts, so families of near copies cost a pair a member. If x is not linked with its
-hub, it may still be linked with another member y. Their differences from the hub then have to share elements: x and
-y differ in |dx| + |dy| - 2 |dx & dy| elements, which is too many if dx and dy are disjoint, as dx alone is too many. So
-differences are joined on the rarest elements of dx and dy (as many as the threshold asks for) and compared exactly; no link
-between different texts is lost, and no pair is formed that shares nothing beyond its hub.
+bits. Texts with equal sets are one class from the start, and all that follows is between classes. The class of a key
+that holds most shared keys is its hub, and (hub, member) pairs are verified on whole texts, so families of near copies
+cost a pair a member. If x is not linked with its hub, it may still be linked with another member y. Their differences
+from the hub then have to share elements: x and y differ in |dx| + |dy| - 2 |dx & dy| elements, which is too many if dx
+and dy are disjoint, as dx alone is too many. So differences are joined on the rarest elements of dx and dy (as many as
+the threshold asks for) and compared exactly; no link between different texts is lost, and no pair is formed that shares
+nothing beyond its hub. Differences are kept only of parts of hubs in which a member failed.
 
 Skew: a key held by a third of all rows sends one entry a piece of text. Verification gathers a first member
 with parts of its partners of about ``CHUNK`` shingles. Components come from labels that take the smallest neighbour
-and jump, with each round written to the shared folder.
+and jump, with each round written to the shared folder. Staged files are deleted after their last reader.
 
-Defined results: null or empty texts have empty sets and link with nothing; texts with fewer words than a shingle are
-one shingle; rows that repeat a doc_id are one node; rows without doc_id link through copies only and get their class's
-id, null if it has none; ties cannot change the result; other columns are ignored; empty tables give an empty table.
+Defined results: null or empty texts have empty sets and link with nothing, whatever their doc_id; texts with fewer
+words than a shingle are one shingle; the rows of a doc_id are one node, so if its texts differ it links with the
+partners of each; rows without doc_id link through copies only and get their class's component, null if no row of it
+has an id; ties cannot change the result; other columns are ignored; empty tables give an empty table.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import compact, mix64, new_path, remove_path, small_batches, staged, words_of_batch
+from .common import bounded, compact, mix64, small_batches, staged, unstage, words_of_batch
 
 CHUNK = 100_000
 REST_BITS = 40
@@ -159,8 +161,8 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
         return int(np.sum(mix64(s + GOLD)).astype(np.int64)), int(np.sum(mix64(s ^ GOLD)).astype(np.int64))
 
 
-INDEX = "kind string, node long, doc_id long, n long, f1 long, f2 long, bucket int, key long, keys binary, owners binary"
-INDEX_ARROW = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
+INDEX = "kind string, node long, doc_id long, h long, n long, f1 long, f2 long, bucket int, key long, keys binary, owners binary"
+INDEX_ARROW = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
                          ("bucket", pa.int32()), ("key", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())])
 
 
@@ -184,7 +186,7 @@ def _index(width: int, percent: int, bits: int):
                         first.setdefault(p, i)
                 base = at << 16
                 nodes = [base + i if first.get(p) == i else None for i, p in enumerate(prints)]
-                yield _table("doc", piece.num_rows, node=nodes, doc_id=piece.column("doc_id"), n=[len(s) for s in sets], f1=[p[0] for p in prints], f2=[p[1] for p in prints])
+                yield _table("doc", piece.num_rows, node=nodes, doc_id=piece.column("doc_id"), h=piece.column("h"), n=[len(s) for s in sets], f1=[p[0] for p in prints], f2=[p[1] for p in prints])
                 found = [(i, set_keys(sets[i], percent)) for i in first.values()]
                 if not found:
                     continue
@@ -201,10 +203,10 @@ def _index(width: int, percent: int, bits: int):
                 if len(shared):
                     yield _table("local", len(shared), node=[base] * len(shared), key=keys[starts[shared]].astype(np.int64), owners=[owners[a : a + n].tobytes() for a, n in zip(starts[shared], sizes[shared])])
                 keys, owners = keys[starts], owners[starts]
-                cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(REST_BITS))
                 planes = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-                full = np.flatnonzero(np.diff(cuts))
-                spans = [(int(cuts[x]), int(cuts[x + 1])) for x in full]
+                buckets = (keys >> np.uint64(REST_BITS)).astype(np.int64)
+                begins = np.flatnonzero(np.diff(buckets, prepend=-1))
+                full, spans = buckets[begins], list(zip(begins.tolist(), [*begins[1:].tolist(), len(keys)]))
                 yield _table("bucket", len(full), node=[base] * len(full), bucket=full, keys=[planes[a:z].T.tobytes() for a, z in spans], owners=[owners[a:z].tobytes() for a, z in spans])
 
     return run
@@ -250,33 +252,30 @@ def _verify(width: int, percent: int):
         table = table.combine_chunks()
         sets = shingle_sets(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), width)
         hub = group[0].as_py()
-        own, rest = np.zeros(0, np.uint64), {}
-        for rep, f1, f2, s in zip(table.column("rep").to_pylist(), table.column("f1").to_pylist(), table.column("f2").to_pylist(), sets):
-            if fingerprint(s) != (f1, f2):
-                continue  # another row of the same doc_id
-            if rep == hub:
-                own = s
-            else:
-                rest[rep] = s
+        by_class = dict(zip(table.column("rep").to_pylist(), sets))
+        own = by_class.pop(hub, np.zeros(0, np.uint64))
         rows = []
-        for rep, s in rest.items():
+        for rep, s in by_class.items():
             delta = np.setxor1d(own, s, assume_unique=True)
             both = (len(own) + len(s) - len(delta)) // 2
             rows.append((hub, rep, len(s), 100 * both >= percent * (both + len(delta)), delta.astype(np.int64)))
+        alone = table.num_rows > 0 and table.column("parts")[0].as_py() == 1
+        if alone and (len(rows) < 2 or all(r[3] for r in rows)):  # nobody will ask for these differences
+            rows = [(*r[:4], None) for r in rows]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], [], [], []), schema)], schema=schema)
 
     return run
 
 
-def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (hub, rep) with the size of rep's set, whether they are linked, and the elements that only one of them has."""
+def verified(texts: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (hub, rep) of classes with the size of rep's set, whether they are linked, and the elements that only one of
+    them has (null where no member of the hub failed, or it has no other). texts: (doc_id, h, text), one row a pair of these."""
     sized = pairs.join(classes.select("rep", "n"), "rep")
     parts = sized.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("parts"))
-    members = sized.join(parts, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
-    hubs = members.select("hub", "part", F.col("hub").alias("rep")).distinct()
-    roles = members.unionByName(hubs).join(classes.select("rep", "f1", "f2"), "rep")
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return roles.join(texts, "rep").groupBy("hub", "part").applyInArrow(_verify(width, percent), TRIED)
+    members = sized.join(parts, "hub").select("hub", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
+    hubs = members.select("hub", "parts", "part", F.col("hub").alias("rep")).distinct()
+    roles = members.unionByName(hubs).join(classes.select("rep", "doc_id", "h"), "rep")
+    return roles.join(texts, ["doc_id", "h"]).groupBy("hub", "part").applyInArrow(_verify(width, percent), TRIED)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,43 +288,57 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(seen, "id").select("id", F.least("component", "c").alias("component"), F.col("component").alias("before"))
         jump = nearer.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = staged(nearer.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "before"), "cc-labels")
-        labels = new.select("id", "component")
+        unstage(labels)
+        labels = new
         if not new.filter("component <> before").limit(1).count():
+            unstage(both)
             return labels
 
 
 def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest doc_id with the same set."""
-    spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded(documents.sparkSession)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    bits = min(20, max(6, math.ceil(math.log2(max(size, 1) / (4 << 20)))))
-    path = new_path(spark, "partition-index")
-    rows.mapInArrow(_index(width, percent, bits), INDEX).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    index = spark.read.schema(INDEX).parquet(path)
-    docs = index.filter("kind = 'doc'").select("node", "doc_id", "n", "f1", "f2")
-    classes = staged(docs.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).filter("rep is not null"), "classes")
-    nodes = docs.filter("node is not null").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("node", "rep")
+    bits = min(63 - REST_BITS, max(6, math.ceil(math.log2(max(size, 1) / (4 << 20)))))
+    index = staged(rows.mapInArrow(_index(width, percent, bits), INDEX), "partition-index")
+    docs = staged(index.filter("kind = 'doc'").select("node", "doc_id", "h", "n", "f1", "f2"), "partition-docs")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h")))
+    sets = docs.filter("n > 0").groupBy("f1", "f2").agg(first.alias("first"), F.first("n").alias("n")).select("f1", "f2", "n", "first.doc_id", "first.h")
+    classes = staged(sets.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    named = classes.filter("doc_id is not null")
+    nodes = docs.filter("node is not null").join(named.select("f1", "f2", "rep"), ["f1", "f2"]).select("node", "rep")
     across = index.filter("kind = 'bucket'").select("bucket", "node", "keys", "owners").groupBy("bucket").applyInArrow(_groups, "key long, nodes array<long>")
     local = index.filter("kind = 'local'").select("key", "node", "owners").mapInArrow(_local, "key long, nodes array<long>")
-    held = across.unionByName(local).select("key", F.explode("nodes").alias("node")).join(nodes, "node").select("key", "rep").distinct()
-    held = staged(held, "held-keys")
-    for kind in ("bucket", "local"):
-        remove_path(spark, f"{path}/kind={kind}")
+    held = staged(across.unionByName(local).select("key", F.explode("nodes").alias("node")).join(nodes, "node").select("key", "rep").distinct(), "held-keys")
+    unstage(index)
     ranks = held.join(held.groupBy("rep").agg(F.count(F.lit(1)).alias("keys")), "rep")
     hubs = ranks.groupBy("key").agg(F.max(F.struct("keys", "rep"))["rep"].alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    stars = held.join(hubs.select("key", "hub"), "key").filter("hub <> rep").select("hub", "rep").distinct()
-    tried = staged(verified(rows, stars, classes, width, percent), "verified")
-    links = tried.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    stars = staged(held.join(hubs.select("key", "hub"), "key").filter("hub <> rep").select("hub", "rep").distinct(), "hub-members")
+    unstage(held)
+    texts = rows.filter("doc_id is not null")
+    if docs.groupBy("doc_id", "h").count().filter("count > 1 and doc_id is not null").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id", "h"])
+    tried = staged(verified(texts, stars, named, width, percent), "verified")
+    unstage(stars)
+    owners = docs.filter("n > 0").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep")
+    several = owners.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
+    one_id = owners.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    links = tried.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(one_id)
     labels = components(links)
     if tried.filter("not linked").limit(1).count():
-        more = staged(further_links(tried, labels, percent), "further-links")
+        more = further_links(tried, labels, percent)
         if more.limit(1).count():
+            unstage(labels)
             labels = components(links.unionByName(more))
-    named = docs.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
-    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"))
-    found = named.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
-    return found.select("doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        unstage(more)
+    unstage(tried)
+    of = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = of.join(least, "component").select("f1", "f2", F.col("doc_id").alias("class_id"), "component_id")
+    found = docs.join(classes, ["f1", "f2"], "left")
+    full = F.col("n") > 0
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(full, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -335,8 +348,8 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     members = staged(members, "members")
     # an element of a hub is a hash of both; if two share one, the exact comparison still decides
     elements = members.select("m", F.explode("delta").alias("e"), "hub").select("m", F.xxhash64("hub", "e").alias("e"))
-    shared = elements.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("e"))).filter("holders > 1")
-    shared = staged(shared, "shared-elements")
+    holders = elements.groupBy("e").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    shared = staged(elements.join(holders, "e"), "shared-elements")
     of = labels.select(F.col("id").alias("rep"), "component")
     sized = members.join(of, "rep", "left").select("m", "hub", "rep", "n", "linked", F.size("delta").alias("d"), F.coalesce("component", "rep").alias("c"))
     side = lambda rows, name: rows.select("e", *[F.col(x).alias(f"{name}_{x}") for x in ("hub", "rep", "n", "d", "c", "place")])
@@ -347,6 +360,7 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     # the least that a member shares with any linked one bounds its prefix
     need = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
     ranked = staged(ranked.filter(F.col("place") <= F.col("d") - need + 1), "prefixes")
+    unstage(shared)
     probes, held = side(ranked.filter("not linked"), "x"), side(ranked, "y")
     # sets of too different sizes, or too differently far from the hub, differ too much; of others, the prefixes by rarity meet
     differ = F.floor((100 - percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
@@ -359,8 +373,10 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     one = lambda side: members.select("hub", F.col("rep").alias(side), F.col("n").alias(f"{side}_n"), F.col("delta").alias(f"{side}_delta"))
     both = apart.join(one("x"), ["hub", "x"]).join(one("y"), ["hub", "y"])
     differ = F.size("x_delta") + F.size("y_delta") - 2 * F.size(F.array_intersect("x_delta", "y_delta"))
-    shared = (F.col("x_n") + F.col("y_n") - differ) / 2
-    return both.filter(100 * shared >= percent * (shared + differ)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    shared_n = (F.col("x_n") + F.col("y_n") - differ) / 2
+    found = staged(both.filter(100 * shared_n >= percent * (shared_n + differ)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "further-links")
+    unstage(members, ranked)
+    return found
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -67,6 +67,29 @@ def test_join_edge_cases(spark):
     assert kept == ["3", "9", "None", "None"]
 
 
+def test_join_of_a_doc_id_with_two_texts(spark):
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    near = " ".join([*WORDS[1:60], "new"])
+    rows = [(5, a), (5, b), (6, near), (7, b + " more"), (8, " ".join(WORDS[200:260])), (5, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order * 2, "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in J.join(df, 3, 90).collect()}
+        assert got == {(5, 58): 5, (6, 58): 5, (7, 59): 5, (8, 58): 8, (5, 0): 5}
+
+
+def test_join_leaves_nothing_but_what_is_read(spark):
+    """Staged files of finished steps are gone: what is left is smaller than the index was."""
+    import os
+
+    from fieldlamp.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    J.join(spark.createDataFrame(near_copies(4), "doc_id long, text string"), 3, 90).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"partition-docs", "classes", "cc-labels"}
+
+
 def test_pigeonhole_of_segments():
     """Linked sets share a key, for every band near the sizes."""
     import numpy as np
