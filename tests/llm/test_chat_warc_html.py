@@ -64,5 +64,5 @@ def test_html_main_text(spark):
 def test_path_ratios_prefer_prose():
     prose = "Prose, with commas, and a full stop. " * 8
     page = f"<body><div><ul><li>one</li><li>two</li></ul></div><div><p>{prose}</p><p>{prose}</p></div><div><span>tail</span></div></body>"
-    blocks = html_extract.blocks_of(page)
-    assert [blocks[i][1] for i in html_extract.select(blocks)] == [prose.strip()] * 2
+    _, blocks = html_extract.blocks_of(page)
+    assert [blocks[i].text for i in html_extract.content_nodes(blocks)] == [prose.strip()] * 2
