@@ -51,3 +51,52 @@ def test_the_limit_grows_with_the_host(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_frequency.judge(df).count() == 0
+
+
+def brute_removed(rows, max_docs, max_percent):
+    """Per row the lines that go, by counting distinct documents of each host."""
+    docs = {}
+    for n, (i, text, host) in enumerate(rows):
+        lines = docs.setdefault(host, {}).setdefault(("row", n) if i is None else i, set())
+        lines.update(line_frequency.normal_line(x) for x in (text or "").split("\n") if x.strip(line_frequency.WHITE))
+    out = []
+    for _, text, host in rows:
+        gone = set()
+        for x in (text or "").split("\n"):
+            k = sum(line_frequency.normal_line(x) in lines for lines in docs[host].values())
+            if x.strip(line_frequency.WHITE) and k > max_docs and 100 * k > max_percent * len(docs[host]):
+                gone.add(x)
+        out.append("\n".join(x for x in (text or "").split("\n") if x not in gone))
+    return out
+
+
+def test_verdicts_and_clean_texts_against_brute_force(spark):
+    import random
+
+    random.seed(3)
+    lines = [f"line {chr(97 + k)} " + "word " * random.randint(1, 30) for k in range(25)]
+    text = lambda: "\n".join(random.choice(lines) for _ in range(random.randint(0, 6))) + "\n\n" + " ".join(f"u{random.random()}" for _ in range(random.randint(0, 40)))
+    rows = [(random.choice([None, *range(60)]), text(), random.choice(["a", "a", "a", "b", None])) for _ in range(150)]
+    rows += [(7, "only in one document\n" + text(), "a")] * 11 + [(7, "only in one document\nonce more", "a"), (3, None, "b"), (4, "", "b")]
+    df = spark.createDataFrame([(*r, "x", n) for n, r in enumerate(rows)], "doc_id long, text string, source string, host string, row int").repartition(4)
+    want = brute_removed(rows, 3, 5)
+    kept = []
+    for r in line_frequency.judge(df.withColumn("doc_id", df.doc_id), max_docs=3, max_percent=5).collect():
+        kept.append((r.doc_id, r.n_words, r.removed_words, r.kept))
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    expected = []
+    for (i, t, _), left in zip(rows, want):
+        n, gone = words(t), words(t) - words(left)
+        failed = n < 20 or 100 * brute(t)[4] > 30 * n
+        expected.append((i, n, gone, not failed and not (gone > 0.5 * n or n - gone < 20)))
+    assert sorted(kept, key=str) == sorted(expected, key=str) and any(x[3] and x[2] for x in expected)
+    out = line_frequency.clean(df, max_docs=3, max_percent=5)
+    assert out.columns == df.columns
+    assert {r.row: r.text for r in out.collect()} == {n: want[n] for n, x in enumerate(expected) if x[3]}
+
+
+def test_one_document_in_many_rows_holds_its_lines_once(spark):
+    line = "a line of this document " * 8
+    df = spark.createDataFrame([(5, f"{line}\n{'own word ' * 3}", "s")] * 11, "doc_id long, text string, source string")
+    assert {r.removed_lines for r in line_frequency.judge(df).collect()} == {0}
+    assert line_frequency.clean(df.limit(0)).count() == 0
