@@ -1,22 +1,26 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens are the first 8 letters of words, and every prefix of 3 letters or more is a feature. One pass counts tokens in
-all documents and in toxic and clean labelled ones; log-odds of the features have a Dirichlet prior proportional to
-the whole corpus. A feature counts as evidence if the log-odds less ``deviations`` standard deviations stays above
-``least_weight``; a token weighs what its best feature does, every other word a small loss (the log-odds of a word that
-is no evidence). The maximal scoring segments of a document, all of them, come from one linear scan (Ruzzo and
-Tompa) over its evidence, with gaps as single losses. By extreme-value theory n * exp(-S) segments of score S are
-expected in n words of clean text; the segments of a document are aggregated as the log of the sum of exp(S) / n, and a
-logistic function of it, fitted on a histogram of all training documents, gives the score.
+Tokens are runs of letters, lower-cased, wherever they stand in a word; a run longer than ``LONGEST`` is several tokens.
+Every prefix of 3 letters or more, and the whole token, is a feature. One pass counts the documents that hold a token,
+among all documents and among toxic and clean labelled ones (a word that one document repeats is one observation);
+log-odds of the features have a Dirichlet prior proportional to the whole corpus. A feature counts as evidence if the
+log-odds less ``deviations`` standard deviations stays above ``least_weight``; as the deviation falls with the counts,
+few labels keep the features that are clearest. A token weighs what its best feature does, every other token a
+small loss (the log-odds of a token that is no evidence). The maximal scoring segments of a document, all of them, come
+from one linear scan (Ruzzo and Tompa) over its evidence, with gaps as single losses. By extreme-value theory
+n * exp(-S) segments of score S are expected in n tokens of clean text; the segments of a document are aggregated as the
+log of the sum of exp(S) / n, and a logistic function of it, fitted on a histogram of all training documents, gives the
+score.
 
 The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels of the
-test tables); the counts behind the prior cover every document. Weights of up to ``LEXICON_MOST`` tokens go to
-the executors as a dictionary; beyond that, words meet their weights in a join.
+test tables), which are broadcast up to ``BROADCAST_MOST`` rows; the counts behind the prior cover every document. Weights of up to ``LEXICON_MOST`` tokens go to the executors as a dictionary; beyond that, tokens meet their
+weights in a join; a test shows that both give the same scores.
 
 Defined results: a null or wordless text has no segments and the score of a clean document; a null doc_id hashes as the
 empty string; labels of unknown documents, null labels and further labels of a document are ignored (the largest
 counts); without toxic or clean training rows every score is 0; repeated rows are scored alike; other columns, whatever
-their names, are ignored, and pass through ``keep_clean``; an empty table gives an empty table.
+their names, are ignored, and pass through ``keep_clean``; an empty table gives an empty table. Passages are given in
+words of the text.
 """
 
 from __future__ import annotations
@@ -28,14 +32,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, staged, words_of_batch
+from .common import bounded, small_batches, staged, unstage, words_of_batch
 
 SAMPLE, LEXICON_MOST = 150_000, 200_000
+BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
-SHORTEST, LONGEST = 3, 8
+SHORTEST, LONGEST = 3, 16
 NOTHING = -12.0  # the statistic of a document without evidence
-LOW, HIGH, STEP = -12.0, 20.0, 0.25  # the histogram's bins
+LOW, HIGH, STEP = -12.0, 20.0, 0.25  # the histogram's bins; what lies beyond counts in the outermost
 
 
 def fold(doc_id: Column) -> Column:
@@ -44,18 +50,24 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(3)).cast("int")
 
 
-def token_of(word: str) -> str:
-    """The first letters of the first run of letters."""
-    m = LETTERS.search(word)
-    return m[0].lower()[:LONGEST] if m else ""
+def tokens_of(word: str) -> list[str]:
+    """All runs of letters of a word, cut after LONGEST letters; one empty token if it has none."""
+    return [m[i : i + LONGEST] for m in LETTERS.findall(word.lower()) for i in range(0, len(m), LONGEST)] or [""]
 
 
-def tokens_of_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Where each text's words begin (and the end), their token codes, and the tokens."""
+def tokens_of_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Where each text's tokens begin (and the end), their codes, the word of its text that each stands in, and the tokens."""
     begin, words = words_of_batch(texts)
     codes: dict[str, int] = {}
-    of = np.fromiter((codes.setdefault(token_of(w), len(codes)) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-    return begin, of[words.indices.to_numpy()], list(codes)
+    of = [[codes.setdefault(t, len(codes)) for t in tokens_of(w)] for w in words.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, of), np.int64, len(of))
+    flat, starts = np.fromiter((c for x in of for c in x), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+    entries = words.indices.to_numpy()
+    n = sizes[entries]
+    ends = np.cumsum(n)
+    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+    place = np.repeat(np.arange(len(entries)) - np.repeat(begin[:-1], np.diff(begin)), n)
+    return np.concatenate([[0], ends])[begin], flat[np.repeat(starts[entries], n) + within], place, list(codes)
 
 
 @dataclass(frozen=True)
@@ -66,44 +78,39 @@ class Model:
     shift: float = -100.0
 
 
-def _counts(ids: np.ndarray, toxic: np.ndarray):
-    def run(batches):
-        for piece in small_batches(batches, "text"):
-            begin, codes, tokens = tokens_of_batch(piece.column("text"))
-            of = np.repeat(np.arange(piece.num_rows), np.diff(begin))
-            doc = piece.column("doc_id").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-            label = np.full(len(doc), -1)
-            if len(ids):
-                at = np.searchsorted(ids, doc)
-                at[at == len(ids)] = 0
-                label = np.where(ids[at] == doc, toxic[at], -1)
-            n = [np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label[of] == 1, label[of] == 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array(x, pa.int64()) for x in n)], ["token", "n", "toxic", "clean"])
-
-    return run
+def _counts(batches):
+    for piece in small_batches(batches, "text"):
+        begin, codes, _, tokens = tokens_of_batch(piece.column("text"))
+        of = np.repeat(np.arange(piece.num_rows), np.diff(begin))
+        held = np.unique(of * max(1, len(tokens)) + codes)
+        of, codes = held // max(1, len(tokens)), held % max(1, len(tokens))
+        label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
+        n = [np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array(x, pa.int64()) for x in n)], ["token", "n", "toxic", "clean"])
 
 
-def training_rows(labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """doc_id and label of the rows to learn from, sample at most."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
-    rows = rows.filter(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas().sort_values("doc_id")
-    return got.doc_id.to_numpy(np.int64), (got.toxic.to_numpy() > 0).astype(np.int64)
+def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(known, label) of the rows to learn from, sample at most."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("known"), F.col("toxic").cast("int").alias("toxic")).filter("known is not null and toxic is not null")
+    rows = rows.filter(fold(F.col("known")) != 1).groupBy("known").agg((F.max("toxic") > 0).cast("int").alias("label"))
+    return staged(rows.orderBy(F.xxhash64("known"), "known").limit(sample), "training-rows")
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_weight: float = 1.5, prior: float = 2000.0, deviations: float = 2.0, lexicon_most: int = LEXICON_MOST) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_weight: float = 2.0, prior: float = 2000.0, deviations: float = 1.0, lexicon_most: int = LEXICON_MOST) -> Model:
+    bounded(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids, toxic = training_rows(labels, sample)
-    counts = texts.mapInArrow(_counts(ids, toxic), "token string, n long, toxic long, clean long")
-    counts = counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
-    counts = staged(counts, "tokens")
+    known = training_rows(labels, sample)
+    known = F.broadcast(known) if sample <= BROADCAST_MOST else known
+    marked = texts.join(known, texts["doc_id"] == known["known"], "left").select("text", "label")
+    counts = marked.mapInArrow(_counts, "token string, n long, toxic long, clean long")
+    counts = staged(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]), "tokens")
     total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "toxic", "clean")]).first()
     if not total.toxic or not total.clean:
         return Model({}, 0.0)
     lengths = F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.char_length("token")))
     feature = counts.filter(F.col("token") != "").select(
         "token", "n", "toxic", "clean", F.explode(lengths).alias("k")
-    ).withColumn("feature", F.expr("concat(left(token, k), case when char_length(token) < k then '_' else '' end)"))
+    ).withColumn("feature", F.expr("concat(left(token, k), case when char_length(token) > k then '_' else '' end)"))
     sums = feature.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).filter("toxic > 1")
     a = F.col("n") * F.lit(prior / total.n)
     odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
@@ -111,16 +118,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     weight = odds("toxic", total.toxic) - odds("clean", total.clean) - deviations * sd
     evidence = sums.withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
     weights = staged(feature.join(evidence, "feature").groupBy("token").agg(F.max("weight").alias("weight"), F.first("toxic").alias("toxic"), F.first("clean").alias("clean")), "weights")
+    unstage(counts)
     sizes = weights.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     if not sizes.n:
         return Model({}, 0.0)
     loss = -math.log((1 - sizes.toxic / total.toxic) / (1 - sizes.clean / total.clean)) if sizes.toxic < total.toxic else 1.0
     words = {r.token: r.weight for r in weights.select("token", "weight").collect()} if sizes.n <= lexicon_most else weights.select("token", "weight")
     model = Model(words, max(loss, 1e-3))
-    known = documents.sparkSession.createDataFrame(list(zip(ids.tolist(), toxic.tolist())), "doc_id long, label int")
-    learnt = statistics(texts, model, F.col("doc_id")).select(F.col("key").alias("doc_id"), "statistic").join(known, "doc_id")
-    bins = learnt.groupBy(F.floor((F.col("statistic") - LOW) / STEP).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()
-    slope, shift = logistic([(LOW + (r.b + 0.5) * STEP, r.n, r.y) for r in bins])
+    learnt = statistics(texts.join(known, texts["doc_id"] == known["known"]), model, F.col("label")).select(F.col("key").alias("label"), "statistic")
+    inside = F.least(F.greatest(F.col("statistic"), F.lit(LOW)), F.lit(HIGH - STEP))
+    bins = learnt.groupBy(F.floor((inside - LOW) / STEP).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()
+    slope, shift = logistic([(LOW + (r.b + 0.5) * STEP, r.n, r.y) for r in bins]) if bins else (0.0, -100.0)
     return Model(words, model.loss, slope, shift)
 
 
@@ -162,70 +170,68 @@ def segments(places: list[int], weights: list[float], loss: float) -> list[tuple
 
 
 def statistic_of(found: list[tuple[int, int, float]], n: int) -> float:
-    """log(sum of exp(score) / n), within the histogram."""
+    """log(sum of exp(score) / n), NOTHING at least."""
     if not found:
         return NOTHING
     top = max(s for _, _, s in found)
-    return min(max(top + math.log(sum(math.exp(s - top) for _, _, s in found)) - math.log(n), LOW), HIGH - STEP)
+    return max(top + math.log(sum(math.exp(s - top) for _, _, s in found)) - math.log(n), NOTHING)
 
 
 OUT = "statistic double, n_passages long, passages array<struct<first:int,last:int,score:double>>"
 PASSAGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
 
-def _rows(found: list[list[tuple[int, int, float]]], sizes) -> list[pa.Array]:
-    """statistic, number of significant passages, and these."""
-    kept = [[dict(first=a, last=b, score=s) for a, b, s in x if n * math.exp(-s) < 0.05] for x, n in zip(found, sizes)]
+def _rows(found: list[list[tuple[int, int, float]]], sizes, words) -> list[pa.Array]:
+    """statistic, number of significant passages, and these in words. words: per text, the words of its evidence by place."""
+    kept = [[dict(first=w[a], last=w[b], score=s) for a, b, s in x if n * math.exp(-s) < 0.05] for x, n, w in zip(found, sizes, words)]
     return [pa.array([statistic_of(x, n) for x, n in zip(found, sizes)], pa.float64()), pa.array(map(len, kept), pa.int64()), pa.array(kept, PASSAGES)]
 
 
 def _scan(weights: dict[str, float], loss: float):
     def run(batches):
-        for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["i", "text"])
-            for t in small_batches([texts], "text"):
-                piece = batch.slice(t.column("i")[0].as_py(), t.num_rows)
-                begin, codes, tokens = tokens_of_batch(piece.column("text"))
-                w = np.array([weights.get(x, 0.0) for x in tokens] or [0.0])[codes] if len(codes) else np.zeros(0)
-                hits = np.flatnonzero(w)
-                cut = np.searchsorted(hits, begin)
-                found = [segments((hits[a:z] - s).tolist(), w[hits[a:z]].tolist(), loss) if z > a else [] for a, z, s in zip(cut, cut[1:], begin)]
-                yield pa.RecordBatch.from_arrays([piece.column("key"), *_rows(found, np.diff(begin))], ["key", "statistic", "n_passages", "passages"])
+        for piece in small_batches(batches, "text"):
+            begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
+            w = np.array([weights.get(x, 0.0) for x in tokens] or [0.0])[codes] if len(codes) else np.zeros(0)
+            hits = np.flatnonzero(w)
+            cut = np.searchsorted(hits, begin)
+            at = [(hits[a:z] - s).tolist() for a, z, s in zip(cut, cut[1:], begin)]
+            found = [segments(x, w[hits[a:z]].tolist(), loss) if x else [] for x, a, z in zip(at, cut, cut[1:])]
+            words = [dict(zip(x, word[hits[a:z]].tolist())) for x, a, z in zip(at, cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([piece.column("key"), *_rows(found, np.diff(begin), words)], ["key", "statistic", "n_passages", "passages"])
 
     return run
 
 
 def _words(batches):
-    for batch in batches:
-        texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["i", "text"])
-        for t in small_batches([texts], "text"):
-            piece = batch.slice(t.column("i")[0].as_py(), t.num_rows)
-            begin, codes, tokens = tokens_of_batch(piece.column("text"))
-            sizes = np.diff(begin)
-            of = np.repeat(np.arange(piece.num_rows), sizes)
-            places = pa.array(np.arange(len(codes)) - begin[:-1][of], pa.int32())
-            yield pa.RecordBatch.from_arrays([piece.column("row").take(pa.array(of)), places, pa.array(tokens, pa.string()).take(pa.array(codes))], ["row", "place", "token"])
+    for piece in small_batches(batches, "text"):
+        begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
+        of = np.repeat(np.arange(piece.num_rows), np.diff(begin))
+        places = pa.array(np.arange(len(codes)) - begin[:-1][of], pa.int32())
+        yield pa.RecordBatch.from_arrays([piece.column("row").take(pa.array(of)), places, pa.array(word, pa.int32()), pa.array(tokens, pa.string()).take(pa.array(codes))], ["row", "place", "word", "token"])
 
 
 def _scan_joined(loss: float):
     def run(batches):
         for batch in batches:
-            found = [segments([h["place"] for h in x], [h["weight"] for h in x], loss) for x in (y or [] for y in batch.column("hits").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *_rows(found, batch.column("n").to_pylist())], ["key", "statistic", "n_passages", "passages"])
+            hits = [y or [] for y in batch.column("hits").to_pylist()]
+            found = [segments([h["place"] for h in x], [h["weight"] for h in x], loss) for x in hits]
+            words = [{h["place"]: h["word"] for h in x} for x in hits]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *_rows(found, batch.column("n").to_pylist(), words)], ["key", "statistic", "n_passages", "passages"])
 
     return run
 
 
 def statistics(documents: DataFrame, model: Model, key: Column) -> DataFrame:
     """(key, statistic, n_passages, passages) of every row of documents; key may be a struct."""
+    bounded(documents.sparkSession)
     rows = documents.select(key.alias("key"), F.col("text").cast("string").alias("text"))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, {OUT}"
+    schema = StructType([rows.schema["key"], *StructType.fromDDL(OUT)])
     if isinstance(model.weights, dict):
         return rows.mapInArrow(_scan(model.weights, model.loss), schema)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    words = rows.select("row", "text").mapInArrow(_words, "row long, place int, token string")
+    words = rows.select("row", "text").mapInArrow(_words, "row long, place int, word int, token string")
     sizes = words.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    hits = words.join(model.weights, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "weight"))).alias("hits"))
+    hits = words.join(model.weights, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "word", "weight"))).alias("hits"))
     whole = rows.drop("text").join(sizes, "row", "left").join(hits, "row", "left").select("key", "hits", F.coalesce("n", F.lit(0)).alias("n"))
     return whole.mapInArrow(_scan_joined(model.loss), schema)
 
