@@ -1,20 +1,21 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
-Texts are lower-cased words of letters and digits. Fixed masks select WEIGHT of SPAN successive words and ignore the
+Texts are lower-cased words of letters and digits. Fixed masks select some of SPAN successive words and ignore the
 others; every window of every text is hashed under each mask, and equal hashes of a test item and a training document
 propose an alignment. An overlap is verified on the words around the hit: some WINDOW words at that alignment
-must agree in at least ``NEED`` places. The masks find every such overlap (a unit test tries all placements of two
-substitutions in WINDOW words).
-
-Scale: what the join shuffles is not all window hashes. The test hashes set bits of a fixed 256 KB table (two bits a
-hash); document windows that miss a bit are left inside the scan. The table only filters: however full it gets, the
-join on hashes decides. Hits of a passage that a third of all documents share meet in the hash join, where
-Spark splits skewed partitions; verification goes back to one row a document.
-
-Defined results: a null text has no words; items with fewer than SPAN words cannot be found, and items shorter than
-WINDOW need the same share of agreement over their whole length; repeated items and rows give a pair each way (a pair
-of ids is returned once, with its best values); a null id stays a null id; other columns are ignored; empty tables
-give an empty table; long texts are scanned whole.
+must agree in at least ``NEED`` places. The masks find every such overlap: two substitutions in WINDOW words, and, with
+the two further masks that are used when there are items of fewer words, one substitution in SPAN to WINDOW - 1 words (a
+unit test tries all placements).
+
+Scale: what the join shuffles is not all window hashes. The test hashes set bits of a table (two bits a hash, ``BITS`` bits
+of room for each, 256 KB at least and 16 MB at most); document windows that miss a bit are left inside the scan. The
+table only filters: however full it gets, the join on hashes decides. Hits of a passage that a third of all documents
+share meet in the hash join, where Spark splits skewed partitions; verification goes back to one row a document.
+
+Defined results: a null text has no words; an overlap has SPAN words of item and document at least, so items with fewer
+words are never found; items shorter than WINDOW need the same share of agreement over their whole length; repeated
+items and rows give a pair each way (a pair of ids is returned once, with its best values); a null id stays a null id;
+other columns are ignored; empty tables give an empty table; long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import staged
 
-#: The masks, as the offsets that count.
+#: The masks, as the offsets that count; those of SHORT_MASKS are for items of SPAN to WINDOW - 1 words.
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
+SHORT_MASKS = ((2, 4, 5, 6, 7), (0, 1, 2, 3, 4, 5))
+ALL_MASKS = MASKS + SHORT_MASKS
 SPAN, WINDOW, NEED = 8, 13, 11
-TABLE_WORDS = 1 << 15  # of 64 bits
+LEAST_SLOTS, MOST_SLOTS, BITS = 1 << 15, 1 << 21, 32  # slots of 64 bits
 TOKEN = r"[\p{L}\p{N}]++"
 
 
@@ -39,7 +42,7 @@ def hashes(text: Column) -> Column:
 
 
 def seed(h: Column, i: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(h, i + F.lit(k)) for k in MASKS[mask]])
+    return F.xxhash64(F.lit(mask), *[F.get(h, i + F.lit(k)) for k in ALL_MASKS[mask]])
 
 
 def places(h: Column) -> Column:
@@ -47,17 +50,22 @@ def places(h: Column) -> Column:
     return F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - F.lit(SPAN))).otherwise(F.array().cast("array<int>"))
 
 
-def bit_table(index: DataFrame) -> DataFrame:
-    """One row: the table as array<long>. Its size is fixed."""
+def slots_for(hashes: int) -> int:
+    """A power of two."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << max(0, hashes * BITS // 64 - 1).bit_length()))
+
+
+def bit_table(index: DataFrame, slots: int) -> DataFrame:
+    """One row: the table as array<long>."""
     bits = index.select(F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("x"))
-    bits = bits.groupBy(slot(F.col("x")).alias("slot")).agg(F.bit_or(bit(F.col("x"))).alias("bits"))
-    every = index.sparkSession.range(TABLE_WORDS).select(F.col("id").cast("int").alias("slot"))
+    bits = bits.groupBy(slot(F.col("x"), slots).alias("slot")).agg(F.bit_or(bit(F.col("x"))).alias("bits"))
+    every = index.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     row = every.join(bits, "slot", "left").select("slot", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     return row.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "bits"))), lambda s: s["bits"]).alias("t"))
 
 
-def slot(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(TABLE_WORDS - 1)).cast("int")
+def slot(x: Column, slots: int) -> Column:
+    return F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(slots - 1)).cast("int")
 
 
 def bit(x: Column) -> Column:
@@ -71,18 +79,24 @@ def overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
         items.select(F.col("item_id").cast("long").alias("item_id"), hashes(F.col("text").cast("string")).alias("item")).withColumn("item_row", F.monotonically_increasing_id()),
         "seed-items",
     )
+
     def seeds(mask: int) -> Column:
-        return F.transform(places(F.col("item")), lambda i: F.struct(i.alias("at"), seed(F.col("item"), i, mask).alias("hash")))
+        found = F.transform(places(F.col("item")), lambda i: F.struct(i.alias("at"), seed(F.col("item"), i, mask).alias("hash")))
+        return found if mask < len(MASKS) else F.when(F.size("item") < WINDOW, found).otherwise(F.slice(found, 1, 0))
 
-    index = tests.select("item_row", F.explode(F.concat(*[seeds(m) for m in range(len(MASKS))])).alias("s"))
+    short = tests.filter(F.size("item").between(SPAN, WINDOW - 1)).limit(1).count()
+    masks = range(len(ALL_MASKS) if short else len(MASKS))
+    index = tests.select("item_row", F.explode(F.concat(*[seeds(m) for m in masks])).alias("s"))
     index = staged(index.select("item_row", F.col("s.at").alias("item_at"), F.col("s.hash").alias("hash")), "seed-index")
-    table = staged(bit_table(index), "seed-table").scalar()
+    slots = slots_for(index.count())
+    table = staged(bit_table(index, slots), "seed-table").scalar()
 
     def probable(x: Column) -> Column:
-        return F.get(F.col("t"), slot(x)).bitwiseAND(bit(x)) != F.lit(0).cast("long")
+        return F.get(F.col("t"), slot(x, slots)).bitwiseAND(bit(x)) != F.lit(0).cast("long")
 
     def hits(mask: int) -> Column:
         h = F.col("h")
+
         def found(i: Column) -> Column:
             x = seed(h, i, mask)
             return probable(x) & probable(F.shiftrightunsigned(x, 32))
@@ -90,7 +104,7 @@ def overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     # explode of one array keeps the optimizer from computing the words again within the lambdas
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(hashes(F.col("text").cast("string")))).alias("h"))
-    docs = docs.withColumn("t", table).select("doc_id", "h", F.explode(F.array(F.concat(*[hits(m) for m in range(len(MASKS))]))).alias("hits"))
+    docs = docs.withColumn("t", table).select("doc_id", "h", F.explode(F.array(F.concat(*[hits(m) for m in masks]))).alias("hits"))
     docs = staged(docs.filter(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "seed-hits")
     aligned = (
         docs.select("row", F.explode("hits").alias("s"))

@@ -114,6 +114,11 @@ def test_pigeonhole_of_segments():
 def test_masks_find_every_overlap():
     for bad in itertools.combinations(range(S.WINDOW), S.WINDOW - S.NEED):
         assert any(not set(bad) & {o + k for k in m} for m in S.MASKS for o in range(S.WINDOW - S.SPAN + 1))
+    for n in range(S.SPAN, S.WINDOW):
+        allowed = n - -(-S.NEED * n // S.WINDOW)
+        assert allowed == 1
+        for bad in range(n):
+            assert any(bad not in {o + k for k in m} for m in S.ALL_MASKS for o in range(n - S.SPAN + 1))
 
 
 def brute_overlap(doc, item):
@@ -122,6 +127,8 @@ def brute_overlap(doc, item):
     best = None
     for shift in range(-len(t), len(d)):
         agree = [int(d[i + shift] == t[i]) for i in range(len(t)) if 0 <= i + shift < len(d)]
+        if len(agree) < S.SPAN:
+            continue
         top = max((sum(agree[i : i + w]) for i in range(max(1, len(agree) - w + 1))), default=0)
         if w >= S.SPAN and top * S.WINDOW >= S.NEED * w:
             best = max(best or 0, top)
@@ -130,20 +137,21 @@ def brute_overlap(doc, item):
 
 def test_overlaps_against_all_alignments(spark):
     random.seed(8)
-    items = [(i, " ".join(random.choice(WORDS) for _ in range(n))) for i, n in enumerate([5, 13, 14, 25, 40, 60])] + [(50, None), (51, ""), (52, "W1, w2! w3? w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")]
+    items = [(i, " ".join(random.choice(WORDS) for _ in range(n))) for i, n in enumerate([5, 13, 14, 25, 40, 60, 8, 9, 10, 11, 12])] + [(50, None), (51, ""), (52, "W1, w2! w3? w4 w5 w6 w7 w8 w9 w10 w11 w12 w13")]
     docs = [(0, None), (1, ""), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 W13")]
-    for d in range(3, 60):
+    for d in range(3, 160):
         words = [random.choice(WORDS) for _ in range(random.randint(3, 60))]
-        part = items[random.randrange(6)][1].split()
+        part = items[random.randrange(11)][1].split()
         a = random.randrange(len(part))
         part = [random.choice(WORDS) if random.random() < 0.1 else w for w in part[a : a + random.choice([8, 13, 20, 60])]]
         docs.append((d, " ".join(words[:9] + part + words[9:])))
     docs.append((59, docs[59][1]))
+    docs += [(200 + k, " ".join([*WORDS[:3], *("other" if j == k else w for j, w in enumerate(items[6 + k % 5][1].split())), *WORDS[:2]])) for k in range(10)]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, hits int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.window_agreement for r in S.overlaps(df, bench).collect()}
     want = {(d, i): b for d, t in docs for i, x in items if (b := brute_overlap(t, x))}
-    assert {k: v for k, v in want.items() if len((dict(items)[k[1]] or "").split()) >= S.WINDOW} == {k: v for k, v in got.items() if len((dict(items)[k[1]] or "").split()) >= S.WINDOW}
+    assert got == want and {k[1] for k in want} >= set(range(1, 11))
     assert len(want) > 10
     left = sorted(r.doc_id for r in S.clean(df, bench).collect())
     assert left == sorted(d for d, _ in docs if d not in {k[0] for k in got})
@@ -225,6 +233,67 @@ def test_toxicity_on_held_out_rows(spark):
     assert T.score(df.limit(0), labels).count() == 0
 
 
+def test_every_run_of_letters_is_a_token():
+    import pyarrow as pa
+
+    assert T.tokens_of("x-Idiot") == ["x", "idiot"] and T.tokens_of("l'abruti,scum") == ["l", "abruti", "scum"]
+    assert T.tokens_of("12") == [""] and "".join(T.tokens_of("あ" * 40)) == "あ" * 40
+    texts = ["one 2 l'abruti", None, "", "x-idiot scum"]
+    begin, codes, word, tokens = T.tokens_of_batch(pa.array(texts))
+    got = [[(tokens[c], int(w)) for c, w in zip(codes[a:z], word[a:z])] for a, z in zip(begin, begin[1:])]
+    assert got == [[("one", 0), ("", 1), ("l", 2), ("abruti", 2)], [], [], [("x", 0), ("idiot", 0), ("scum", 1)]]
+
+
+def brute_counts(rows, labels):
+    """Documents that hold a token, by label."""
+    import zlib
+
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            known[i] = max(known.get(i, 0), y)
+    out = {}
+    for i, t in rows:
+        for x in {x for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") for x in T.tokens_of(w)}:
+            n = out.setdefault(x, [0, 0, 0])
+            n[0] += 1
+            n[1] += known.get(i) == 1
+            n[2] += known.get(i) == 0
+    return out
+
+
+def test_scores_against_their_definition(spark):
+    """The score of every row by counts, features, segments and statistic written down plainly."""
+    random.seed(12)
+    calm, rude = ["krala", "tranu", "plimo", "drost", "mnelu", "krasa"], ["zgrobix", "zgrobal", "x-vlunk"]
+    rows = [(i, " ".join(random.choice(rude) if i % 4 == 0 and random.random() < 0.2 else random.choice(calm) for _ in range(random.randint(0, 30)))) for i in range(200)]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 200, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    options = dict(prior=40.0, least_weight=0.5)
+    model = T.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), **options)
+    counts = brute_counts(rows, labels)
+    n, x, c = (sum(v[k] for v in counts.values()) for k in range(3))
+    feature = {}
+    of = lambda t: [t[:k] + ("_" if k < len(t) else "") for k in range(3, max(3, len(t)) + 1)] if t else []
+    for t, v in counts.items():
+        for f in of(t):
+            feature[f] = [a + b for a, b in zip(feature.get(f, [0, 0, 0]), v)]
+    weight = {}
+    for f, (m, y, z) in feature.items():
+        a = m * 40.0 / n
+        w = math.log((y + a) / (x + 40 - y - a)) - math.log((z + a) / (c + 40 - z - a)) - math.sqrt(1 / (y + a) + 1 / (z + a))
+        if y > 1 and w >= 0.5:
+            weight[f] = w
+    tokens = {t: max(weight[f] for f in of(t) if f in weight) for t in counts if any(f in weight for f in of(t))}
+    assert set(tokens) == set(model.weights) and all(abs(model.weights[t] - w) < 1e-9 for t, w in tokens.items())
+    got = {r.key: r.statistic for r in T.statistics(df, model, F.col("doc_id")).collect()}
+    for i, t in rows:
+        seq = [y for w in t.split() for y in T.tokens_of(w)]
+        found = brute_segments([tokens.get(y, -model.loss) for y in seq])
+        want = max(T.NOTHING, math.log(sum(math.exp(s) for _, _, s in found) / len(seq))) if found else T.NOTHING
+        assert abs(got[i] - want) < 1e-6
+
+
 def test_texts_of_a_sliced_batch_are_read_right():
     import pyarrow as pa
 
