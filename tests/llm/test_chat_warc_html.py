@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import io
 
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def test_warc_round_trip(spark):
     rows = [(5, "u", big), (3, "u\r\nX: 1", big), (3, "u", big), (None, None, big), (8, "v", "short"), (9, "v", "short"), (1, "w", None), (2, "w", ""), (6, "z", awkward), (7, "z", awkward), (4, "y", "q" * 200_000), (None, "n", "k" * 100), (None, "n", "k" * 100)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, salt string").repartition(3)
     path = new_path(spark, "warc-test")
-    warc.write_archives(df, path, file_records=3)
+    warc.write_archives(df, path, file_bytes=100_000)
     got = sorted(((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload) for r in warc.read_archives(spark, path, True).collect()), key=str)
     want = []
     for i, _, h in rows:
@@ -37,10 +39,30 @@ def test_warc_round_trip(spark):
         again = len(b) >= 100 and first is not None and i != first
         want.append((i or -1, "revisit" if again else "response", first if again else None, len(b), hashlib.sha256(b).hexdigest(), None if again else h or ""))
     assert got == sorted(want, key=str)
+    files = [x.content for x in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(files) > 1
+    records = []
+    for x in files:
+        own = list(warc.records_of(memoryview(x)))
+        assert own[0][0]["WARC-Type"] == "warcinfo" and [h for h, _ in own] == [h for h, _ in warc.parse_records(gzip.open(io.BytesIO(x)))]
+        assert x.count(b"\x1f\x8b\x08") >= len(own)
+        records += own[1:]
+    ids = {h["WARC-Record-ID"]: h for h, _ in records}
+    assert len(ids) == len(records) == len(rows)
+    for h, _ in records:
+        if h["WARC-Type"] == "revisit":
+            to = ids[h["WARC-Refers-To"]]
+            assert to["WARC-Type"] == "response" and (to["WARC-Target-URI"], to["WARC-Date"], to["WARC-Payload-Digest"]) == (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"], h["WARC-Payload-Digest"])
     warc.write_archives(df.limit(0), path + "-0")
     assert warc.read_archives(spark, path + "-0").count() == 0
 
 
+def test_a_record_of_many_megabytes_is_a_member():
+    block = bytes(17 << 20)
+    x = warc.member({"WARC-Type": "response", "WARC-Record-ID": "<a>"}, block) + b"\0" + warc.member({"WARC-Type": "response"}, b"next") + b"\0"
+    assert [b for _, b in warc.records_of(memoryview(x))] == [block, b"next"] == [b for _, b in warc.parse_records(gzip.open(io.BytesIO(x)))]
+
+
 def test_html_main_text(spark):
     long = "This is a sentence, with a clause; and it goes on. " * 6
     cases = {
