@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from ..session import bounded, new_path, remove_path, save, scratch, table, unstage, written as staged
 
-__all__ = ["bounded", "new_path", "remove_path", "save", "scratch", "table", "unstage", "staged", "ASCII_WORD", "mix64", "compact", "words_of_batch", "small_batches"]
+__all__ = ["bounded", "new_path", "remove_path", "save", "scratch", "table", "unstage", "staged", "ASCII_WORD", "mix64", "compact", "tokenizer_path", "words_of_batch", "small_batches"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
 
+def tokenizer_path(name: str) -> str:
+    """A tokenizer's file: a path, or the name of one of the installed public ones. Each process asks for itself."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -1,9 +1,10 @@
 """Token-id files in canonical, length-limited Huffman code.
 
-Writing: texts are encoded by words (the tokenizer drops white space and never looks across it, so each distinct word
-of a batch is encoded once); ids are counted over the whole corpus; package-merge gives code lengths of
-``MAX_BITS`` at most, which the canonical code turns into codes; documents are dealt by ranges of doc_id into shards,
-sorted, and packed into independent blocks of about ``block_tokens`` ids. A document is never cut, so a longer one is a
+Writing: a tokenizer whose definition drops white space and never looks across it encodes each distinct word of a batch
+once; one that also lower-cases and splits letters from punctuation, letters and punctuation apart; any other whole texts
+(``way_of`` reads the definition). Ids are counted over the whole corpus; package-merge gives code lengths of
+``MAX_BITS`` at most, which the canonical code turns into codes; documents are dealt by ranges of doc_id (and ids, if
+a doc_id is repeated) into shards, sorted, and packed into independent blocks of about ``block_tokens`` ids. A document is never cut, so a longer one is a
 block of its own. A block row has its bits, the bit offset of every ``EVERY``-th id, and its documents with their
 lengths; the code lengths are a small table beside the blocks.
 
@@ -11,13 +12,14 @@ Reading: each block is decoded by itself with one lookup table; all stretches be
 together, one id a step.
 
 What reaches the driver is the table of counts (one row an id of the vocabulary). Defined results: a null text is
-empty and has the end id alone; a null doc_id sorts first; rows that repeat a doc_id stay, ordered by their ids; other
+empty and has the end id alone; a null doc_id sorts first; rows that repeat a doc_id stay, ordered by their first HEAD bytes of ids, then a hash of all; other
 columns are ignored; an empty table gives empty files and no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from itertools import chain
@@ -28,22 +30,39 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import small_batches, staged, words_of_batch
+from .common import bounded, save, small_batches, staged, tokenizer_path, unstage, words_of_batch
 
 MAX_BITS, EVERY = 18, 256
-KNOWN_MOST = 1_000_000  # words that a worker remembers before it starts anew; no word is left out by it
+KNOWN_MOST = 300_000  # words that a worker remembers before it starts anew; no word is left out by it
+HEAD = 64
+#: The parts of a tokenizer's definition that make words independent.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMAL = ("NFC", "Replace", "Lowercase")
 PLAIN = r"^(?P<a>[A-Za-z]+)(?P<b>[.,;:!?]*)$"
 
 
+def way_of(path: str) -> str:
+    """How texts may be encoded by this tokenizer: by "letters", or as whole "texts"."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    steps = lambda x, key: (x or {}).get(key, [x] if x else [])
+    normal, split = steps(d.get("normalizer"), "normalizers"), steps(d.get("pre_tokenizer"), "pretokenizers")
+    same = tuple(x["type"] for x in normal) == NORMAL and len(split) == 2 and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"]
+    same = same and split[0]["type"] == "Split" and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    own = any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in d.get("added_tokens", []))
+    return "letters" if same and not own else "texts"
+
+
 class WordEncoder:
-    """Ids of words (texts without ASCII white space) by the tokenizers library. With by_letters, words of ASCII letters are
-    lower-cased and their trailing punctuation is encoded apart; the tokenizer has to do the same."""
+    """Ids of words (texts without ASCII white space) by the tokenizers library. Words of ASCII letters are lower-cased and
+    their trailing punctuation is encoded apart, as the tokenizer does."""
 
-    def __init__(self, path: str, by_letters: bool, end_id: int):
+    def __init__(self, name: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_letters, self.end_id = Tokenizer.from_file(path), by_letters, end_id
+        path = tokenizer_path(name)
+        self.tokenizer, self.way, self.end_id = Tokenizer.from_file(path), way_of(path), end_id
         self.clear()
 
     def clear(self) -> None:
@@ -69,13 +88,10 @@ class WordEncoder:
 
     def entries(self, words: pa.Array) -> np.ndarray:
         """Entries of distinct words: (n, 2), of the letters and of the punctuation after them."""
-        if self.by_letters:
-            parts = pc.extract_regex(words, PLAIN)
-            plain = pc.is_valid(parts)
-            first = pc.if_else(plain, pc.ascii_lower(pc.struct_field(parts, "a")), words)
-            second = pc.if_else(plain, pc.struct_field(parts, "b"), "")
-        else:
-            first, second = words, pa.array([""] * len(words), words.type)
+        parts = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(parts)
+        first = pc.if_else(plain, pc.ascii_lower(pc.struct_field(parts, "a")), words)
+        second = pc.if_else(plain, pc.struct_field(parts, "b"), "")
         coded = [x.dictionary_encode() for x in (first, second)]
         distinct = [x.dictionary.to_pylist() for x in coded]
         if len(self.known) + sum(map(len, distinct)) > KNOWN_MOST:
@@ -87,9 +103,9 @@ class WordEncoder:
 
 
 @functools.cache
-def encoder(path: str, by_letters: bool, end_id: int) -> WordEncoder:
+def encoder(name: str, end_id: int) -> WordEncoder:
     """One a worker process, so that tasks share what it knows."""
-    return WordEncoder(path, by_letters, end_id)
+    return WordEncoder(name, end_id)
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -99,18 +115,29 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _encode(path: str, by_letters: bool, end_id: int, kind: str):
+def _by_words(own: WordEncoder, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where each ends."""
+    begin, words = words_of_batch(texts)
+    of = own.entries(words.dictionary)
+    ends = 2 * begin[1:] + np.arange(1, len(begin))  # each word's two entries, and each document's end
+    order = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    order[np.delete(np.arange(len(order)), ends - 1)] = of[words.indices.to_numpy()].reshape(-1)
+    n = own.sizes[order]
+    return own.flat[gather(own.starts[order], n)].astype(kind), np.cumsum(n)[ends - 1]
+
+
+def _by_texts(own: WordEncoder, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = [[*e.ids, own.end_id] for e in own.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+    return np.fromiter(chain.from_iterable(ids), kind, sum(map(len, ids))), np.cumsum([len(x) for x in ids])
+
+
+def _encode(tokenizer: str, end_id: int, kind: str):
     def run(batches):
-        own = encoder(path, by_letters, end_id)
-        for piece in small_batches(batches, "text", 16 << 20):
-            begin, words = words_of_batch(piece.column("text"))
-            of = own.entries(words.dictionary)
-            ends = 2 * begin[1:] + np.arange(1, len(begin))  # each word's two entries, and each document's end
-            order = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-            order[np.delete(np.arange(len(order)), ends - 1)] = of[words.indices.to_numpy()].reshape(-1)
-            n = own.sizes[order]
-            tokens = own.flat[gather(own.starts[order], n)].astype(kind)
-            cut = np.concatenate([[0], np.cumsum(n)[ends - 1]]) * tokens.itemsize
+        own = encoder(tokenizer, end_id)
+        encode = _by_words if own.way == "letters" else _by_texts
+        for piece in small_batches(batches, "text", 4 << 20):
+            tokens, ends = encode(own, piece.column("text"), kind)
+            cut = np.concatenate([[0], ends]) * tokens.itemsize
             data = tokens.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array([data[a:b] for a, b in zip(cut, cut[1:])], pa.binary()), pa.array(np.diff(cut) // tokens.itemsize)], ["doc_id", "ids", "n_tokens"]
@@ -123,13 +150,14 @@ def id_kind(tokenizer: str) -> str:
     """The narrowest integers that hold a tokenizer's ids."""
     from tokenizers import Tokenizer
 
-    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else "<u4"
+    return "<u2" if max(Tokenizer.from_file(tokenizer_path(tokenizer)).get_vocab().values()) < 1 << 16 else "<u4"
 
 
-def token_ids(documents: DataFrame, tokenizer: str, by_letters: bool, end_id: int, kind: str) -> DataFrame:
+def token_ids(documents: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
     """(doc_id, ids as little-endian integers, n_tokens)."""
+    bounded(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(tokenizer, by_letters, end_id, kind), "doc_id long, ids binary, n_tokens long")
+    return rows.mapInArrow(_encode(tokenizer, end_id, kind), "doc_id long, ids binary, n_tokens long")
 
 
 def _counts(kind: str):
@@ -257,13 +285,12 @@ def _pack(lengths: np.ndarray, block_tokens: int, kind: str):
     return run
 
 
-def write_ids(
-    documents: DataFrame, path: str, tokenizer: str, by_letters: bool = False, end_id: int = 1, shard_tokens: int = 1 << 23, block_tokens: int = 1 << 18
-) -> None:
-    """Files under path: blocks (in ascending doc_id by shard, block and place) and codes (id, length)."""
+def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_tokens: int = 1 << 23, block_tokens: int = 1 << 18) -> None:
+    """Files under path: blocks (in ascending doc_id by shard, block and place) and codes (id, length). tokenizer: a file of
+    the tokenizers library, or the name of a public one."""
     spark = documents.sparkSession
     kind = id_kind(tokenizer)
-    ids = staged(token_ids(documents, tokenizer, by_letters, end_id, kind), "token-ids")
+    ids = staged(token_ids(documents, tokenizer, end_id, kind), "token-ids")
     counts = ids.select("ids").mapInArrow(_counts(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     size = max((r.id for r in counts), default=-1) + 1
     table = np.zeros(size, np.int64)
@@ -273,8 +300,11 @@ def write_ids(
     used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
     shards = max(1, -(-int(table.sum()) // shard_tokens))
-    dealt = ids.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(_pack(lengths, block_tokens, kind), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    keyed = ids.select("doc_id", "ids", F.substring("ids", 1, HEAD).alias("head"), F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "head", "hash", "row"]
+    dealt = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    save(dealt.mapInArrow(_pack(lengths, block_tokens, kind), BLOCKS), f"{path}/blocks")
+    unstage(ids)
 
 
 def _read(lengths: np.ndarray, with_ids: bool):
@@ -302,7 +332,11 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         lengths[r.id] = r.length
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    many = F.floor(F.col("shard") / F.lit(1024)).alias("many")
+    groups = shards.groupBy(many).agg(F.sum("n").alias("group_n"))  # so that a row a shard doesn't meet in one task
+    groups = groups.select("many", (F.sum("group_n").over(Window.orderBy("many")) - F.col("group_n")).alias("group_start"))
+    upto = F.sum("n").over(Window.partitionBy("many").orderBy("shard")) - F.col("n")
+    shards = shards.select("shard", "n", many).withColumn("upto", upto).join(groups, "many").select("shard", (F.col("group_start") + F.col("upto")).alias("shard_start"))
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")
     starts = blocks.select("shard", "block", "n_tokens").withColumn("block_start", within).drop("n_tokens").join(shards, "shard")
     docs = blocks.mapInArrow(_read(lengths, with_ids), "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long, ids binary")

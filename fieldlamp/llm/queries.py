@@ -24,15 +24,9 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(narrow, planned).select("doc_id", "source", "n_tokens", "weight", F.col("epoch").cast("long").alias("epoch"), "place")
 
 
-def tokenizer_file(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "ids")
-    huffman_ids.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), by_letters=True)
+    huffman_ids.write_ids(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json")
     return huffman_ids.read_ids(spark, path)
 
 
@@ -77,7 +71,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_trie_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return trie_unigram.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
 QUERIES = {

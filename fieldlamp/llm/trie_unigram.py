@@ -7,7 +7,7 @@ its number of tokens, and a document's count is the sum over its words. Ties of
 that no piece covers costs one token a byte.
 
 The vocabulary is a public one and is not trained here: its pieces in their order, with Zipf log-probabilities of
-their ranks. Nothing is shuffled, tries live for one piece of about 12 MB, words of more than LONG characters are
+their ranks. Nothing is shuffled, tries live for one piece of about 8 MB, words of more than LONG characters are
 scored one by one. Defined results: a null or blank text has 0 tokens; rows are independent, so repeated rows and ids
 give repeated results; other columns are ignored; an empty table gives an empty table.
 """
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, small_batches, words_of_batch
+from .common import bounded, mix64, small_batches, tokenizer_path, words_of_batch
 
 MARK = "▁"
 LONG = 64
@@ -48,7 +48,7 @@ class Unigram:
     def from_sentencepiece(cls, path: str) -> Unigram:
         import sentencepiece
 
-        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        p = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(path))
         normal = [i for i in range(p.vocab_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
         return cls({p.id_to_piece(i): -math.log(k + 2.7) for k, i in enumerate(normal)})
 
@@ -132,11 +132,12 @@ def count_tokens(documents: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         unigram = Unigram.from_sentencepiece(model)
-        for piece in small_batches(batches, "text", 12 << 20):
+        for piece in small_batches(batches, "text"):
             begin, words = words_of_batch(piece.column("text"))
             each = unigram.counts([MARK + w for w in words.dictionary.to_pylist()])
             upto = np.concatenate([[0], np.cumsum(each[words.indices.to_numpy()])]) if len(words) else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(begin), pa.int64()), pa.array(np.diff(upto[begin]), pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
+    bounded(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")

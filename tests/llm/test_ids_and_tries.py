@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlamp.llm import huffman_ids as H, trie_unigram as U
-from fieldlamp.llm.common import new_path
-from fieldlamp.llm.queries import tokenizer_file
+from fieldlamp.llm.common import new_path, tokenizer_path
 
 TEXTS = ["Hello, world's end!! don't STOP.", None, "", " \t\n", "İstanbul ΟΔΟΣ naïve café́ ﬁ x y a\x1cb", "<|endoftext|> a<|startoftext|>b <|ENDoftext|>", "trash### 12ab34 …“quoted”… a.b,c",
          "日本語 テキスト 😀😀 مرحبا", "word " * 3000, "é ́e", "don't.! it's, x's y'LL", "z" * 5000]
@@ -16,11 +15,11 @@ TEXTS = ["Hello, world's end!! don't STOP.", None, "", " \t\n", "İstanbul ΟΔ
 def test_files_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
-    path = tokenizer_file("word_bpe_49k.json")
+    path = tokenizer_path("word_bpe_49k.json")
     rows = [(i * 3 - 4, t, i) for i, t in enumerate(TEXTS)] + [(None, "no id", 0), (2, TEXTS[2], 0), (2, "again", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(4)
     out = new_path(spark, "ids-test")
-    H.write_ids(df, out, path, by_letters=True, shard_tokens=700, block_tokens=100)
+    H.write_ids(df, out, path, shard_tokens=700, block_tokens=100)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in H.read_ids(spark, out).collect())
     t = Tokenizer.from_file(path)
     want = []
@@ -35,6 +34,28 @@ def test_files_equal_the_tokenizer(spark):
     assert H.read_ids(spark, out + "-0").count() == 0
 
 
+def test_a_tokenizer_that_looks_across_white_space_gets_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    name = "byte_bpe_50k.json"
+    assert H.way_of(tokenizer_path(name)) == "texts" and H.way_of(tokenizer_path("word_bpe_49k.json")) == "letters"
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    out = new_path(spark, "ids-texts")
+    H.write_ids(df, out, name, end_id=50256)
+    t = Tokenizer.from_file(tokenizer_path(name))
+    want = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 50256], "<u4").tobytes() for i, x in enumerate(TEXTS)}
+    assert {r.doc_id: bytes(r.ids) for r in H.read_ids(spark, out, with_ids=True).collect()} == want
+
+
+def test_rows_of_one_doc_id_are_dealt_to_many_shards(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"text number {i % 40} " * 5) for i in range(400)], "doc_id long, text string").repartition(4)
+    out = new_path(spark, "ids-repeated")
+    H.write_ids(df, out, "word_bpe_49k.json", shard_tokens=500, block_tokens=100)
+    got = H.read_ids(spark, out).orderBy("start").collect()
+    assert len(got) == 400 and spark.read.parquet(out + "/blocks").groupBy("shard").count().count() > 8
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and [r.doc_id for r in got] == [None] * 200 + [7] * 200
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
 def test_huffman_round_trip(n):
     rng = np.random.default_rng(n)
@@ -86,7 +107,7 @@ def test_trie_counts_against_all_segmentations():
 
 
 def test_trie_counts_of_documents(spark):
-    path = tokenizer_file("piece_bpe_32k.model")
+    path = tokenizer_path("piece_bpe_32k.model")
     u = U.Unigram.from_sentencepiece(path)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x"), (None, "a b", "x")], "doc_id long, text string, n_tokens string")
     got = U.count_tokens(df, path).collect()
@@ -101,7 +122,7 @@ def test_trie_equals_library_viterbi():
     """Scores of the library's own unigram model, over words that the pieces cover."""
     from tokenizers import models
 
-    u = U.Unigram.from_sentencepiece(tokenizer_file("piece_bpe_32k.model"))
+    u = U.Unigram.from_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
     model = models.Unigram([("<unk>", -100.0), *u.pieces.items()], 0, False)
     words = ["▁worthless", "▁internationalisation", "▁Éauouon", "▁the", "▁enunggebeit", "▁handlebars", "▁xylophone.", "▁2024-01-01"]
     for w, n in zip(words, u.counts(words)):
