@@ -5,6 +5,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 one's docs. All but the last return the columns of documents. The near-copy stage takes five words and a
 similarity of 0.8 or more; the mixing stage spends the token budget of its input, so it repeats documents of small
 sources and leaves out some of the largest.
+
+Defined results, each as its operator states them: a null text is clean, links with nothing, overlaps with nothing and has
+the end id alone; mixing takes no document of a source without tokens, so such documents end there; ties are broken by
+the smallest doc_id or a hash, never by the order of rows; rows that repeat doc_id and text become one in the second
+stage; rows without doc_id stay until mixing, which takes or leaves them together; an empty table gives an empty table;
+columns beyond doc_id, text and source pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,29 +18,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlamp.llm import huffman_ids, mixing, partition_join, spaced_seed, toxic_segments
-from fieldlamp.llm.common import new_path, staged, table
-from fieldlamp.llm.queries import tokenizer_file
+from fieldlamp.llm.common import new_path, save, scratch, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that are predicted toxic; without labels, all stay."""
     return toxic_segments.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id."""
     return partition_join.keep_one(docs, width=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that overlap a benchmark item."""
     return spaced_seed.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of sources takes it."""
     return mixing.mix(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the files."""
     path = new_path(spark, "pipeline-ids")
-    huffman_ids.write_ids(docs, path, tokenizer_file("word_bpe_49k.json"), by_letters=True)
+    huffman_ids.write_ids(docs, path, "word_bpe_49k.json")
     return huffman_ids.read_ids(spark, path)
 
 
@@ -51,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own staged files go once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            save(out, path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
