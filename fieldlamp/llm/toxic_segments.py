@@ -1,20 +1,23 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Tokens are runs of letters, lower-cased, wherever they stand in a word; a run longer than ``LONGEST`` is several tokens.
-Every prefix of 3 letters or more, and the whole token, is a feature. One pass counts the documents that hold a token,
-among all documents and among toxic and clean labelled ones (a word that one document repeats is one observation);
-log-odds of the features have a Dirichlet prior proportional to the whole corpus. A feature counts as evidence if the
-log-odds less ``deviations`` standard deviations stays above ``least_weight``; as the deviation falls with the counts,
-few labels keep the features that are clearest. A token weighs what its best feature does, every other token a
-small loss (the log-odds of a token that is no evidence). The maximal scoring segments of a document, all of them, come
+Every prefix of 3 letters or more, and the whole token, is a feature. A feature's count is that of the documents that hold
+its tokens (a word that one document repeats is one observation), summed over its tokens; log-odds of the features
+between toxic and clean labelled documents have a Dirichlet prior proportional to the whole corpus. A feature counts as
+evidence if the log-odds less ``deviations`` standard deviations stays above ``least_weight``; as the deviation falls with
+the counts, few labels keep the features that are clearest. A token weighs what its best feature does, every other token
+a small loss (the log-odds of a token that is no evidence). The maximal scoring segments of a document, all of them, come
 from one linear scan (Ruzzo and Tompa) over its evidence, with gaps as single losses. By extreme-value theory
 n * exp(-S) segments of score S are expected in n tokens of clean text; the segments of a document are aggregated as the
 log of the sum of exp(S) / n, and a logistic function of it, fitted on a histogram of all training documents, gives the
 score.
 
-The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels of the
-test tables), which are broadcast up to ``BROADCAST_MOST`` rows; the counts behind the prior cover every document. Weights of up to ``LEXICON_MOST`` tokens go to the executors as a dictionary; beyond that, tokens meet their
-weights in a join; a test shows that both give the same scores.
+Passes: the toxic training documents give the candidates (features of two of them or more); one pass over all documents counts
+these and only these, so what is shuffled is their counts; labelled documents give the loss and the histogram; the last
+pass scores. The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels
+of the test tables), which are broadcast up to ``BROADCAST_MOST`` rows; the counts behind the prior cover every document.
+Candidates and evidence of up to ``LEXICON_MOST`` features go to the executors as a dictionary; beyond that, features meet
+them in a join; a test shows that both give the same scores.
 
 Defined results: a null or wordless text has no segments and the score of a clean document; a null doc_id hashes as the
 empty string; labels of unknown documents, null labels and further labels of a document are ignored (the largest
@@ -39,7 +42,7 @@ from .common import bounded, small_batches, staged, unstage, words_of_batch
 SAMPLE, LEXICON_MOST = 150_000, 200_000
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
-SHORTEST, LONGEST = 3, 16
+SHORTEST, LONGEST = 3, 12
 NOTHING = -12.0  # the statistic of a document without evidence
 LOW, HIGH, STEP = -12.0, 20.0, 0.25  # the histogram's bins; what lies beyond counts in the outermost
 
@@ -70,23 +73,60 @@ def tokens_of_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate([[0], ends])[begin], flat[np.repeat(starts[entries], n) + within], place, list(codes)
 
 
+def features_of(token: str) -> list[str]:
+    """Prefixes of SHORTEST letters or more, and the token (with fewer letters too)."""
+    return [token[:k] + "_" for k in range(SHORTEST, len(token))] + [token] if token else []
+
+
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float] | DataFrame  # of tokens
+    weights: dict[str, float] | DataFrame  # of features
     loss: float
     slope: float = 0.0
     shift: float = -100.0
 
 
-def _counts(batches):
-    for piece in small_batches(batches, "text"):
-        begin, codes, _, tokens = tokens_of_batch(piece.column("text"))
-        of = np.repeat(np.arange(piece.num_rows), np.diff(begin))
-        held = np.unique(of * max(1, len(tokens)) + codes)
-        of, codes = held // max(1, len(tokens)), held % max(1, len(tokens))
-        label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
-        n = [np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array(x, pa.int64()) for x in n)], ["token", "n", "toxic", "clean"])
+def _held(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(document, token code) of all pairs that occur, and the tokens."""
+    begin, codes, _, tokens = tokens_of_batch(piece.column("text"))
+    held = np.unique(np.repeat(np.arange(piece.num_rows), np.diff(begin)) * max(1, len(tokens)) + codes)
+    return held // max(1, len(tokens)), held % max(1, len(tokens)), tokens
+
+
+COUNTED = "feature string, n long, toxic long, clean long"
+
+
+def _counts(wanted: set[str] | None):
+    """Documents by feature, among all, toxic and clean ones; the feature "" has the sums over all tokens. With wanted, only of
+    these features."""
+
+    def run(batches):
+        for piece in small_batches(batches, "text"):
+            of, codes, tokens = _held(piece)
+            label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
+            n = np.stack([np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]) if tokens else np.zeros((3, 0), np.int64)
+            found: dict[str, int] = {"": 0}
+            pairs = [(found.setdefault(f, len(found)), i) for i, t in enumerate(tokens) for f in features_of(t) if wanted is None or f in wanted]
+            at, of_token = np.array(pairs, np.int64).reshape(-1, 2).T
+            sums = [np.bincount(at, weights=x[of_token], minlength=len(found)).astype(np.int64) for x in n]
+            for x, total in zip(sums, n.sum(1)):
+                x[0] = total
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *map(pa.array, sums)], ["feature", "n", "toxic", "clean"])
+
+    return run
+
+
+def _evident(weights: dict[str, float]):
+    """Documents' tokens that are evidence, by label."""
+
+    def run(batches):
+        for piece in small_batches(batches, "text"):
+            of, codes, tokens = _held(piece)
+            known = np.array([any(f in weights for f in features_of(t)) for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
+            label = piece.column("label").to_numpy(zero_copy_only=False)[of]
+            yield pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([int((known & (label == y)).sum()) for y in (1, 0)])], ["label", "n"])
+
+    return run
 
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -100,36 +140,56 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     bounded(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = training_rows(labels, sample)
-    known = F.broadcast(known) if sample <= BROADCAST_MOST else known
-    marked = texts.join(known, texts["doc_id"] == known["known"], "left").select("text", "label")
-    counts = marked.mapInArrow(_counts, "token string, n long, toxic long, clean long")
-    counts = staged(counts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]), "tokens")
-    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "toxic", "clean")]).first()
-    if not total.toxic or not total.clean:
+    near = F.broadcast(known) if sample <= BROADCAST_MOST else known
+    labelled = texts.join(near, texts["doc_id"] == near["known"]).select("text", "label")
+    add = lambda rows, wanted: rows.mapInArrow(_counts(wanted), COUNTED).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    candidates = staged(add(labelled.filter("label = 1"), None).filter("toxic > 1").select("feature"), "toxic-features")
+    marked = texts.join(near, texts["doc_id"] == near["known"], "left").select("text", "label")
+    size = candidates.count()
+    if size <= lexicon_most:
+        counts = staged(add(marked, {r.feature for r in candidates.collect()}), "feature-counts")
+    else:
+        counts = staged(add(marked, None).join(candidates, "feature", "left_semi"), "feature-counts")
+    unstage(candidates)
+    total = counts.filter("feature = ''").first()
+    if not total or not total.toxic or not total.clean:
         return Model({}, 0.0)
-    lengths = F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.char_length("token")))
-    feature = counts.filter(F.col("token") != "").select(
-        "token", "n", "toxic", "clean", F.explode(lengths).alias("k")
-    ).withColumn("feature", F.expr("concat(left(token, k), case when char_length(token) > k then '_' else '' end)"))
-    sums = feature.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).filter("toxic > 1")
     a = F.col("n") * F.lit(prior / total.n)
     odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
     sd = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     weight = odds("toxic", total.toxic) - odds("clean", total.clean) - deviations * sd
-    evidence = sums.withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
-    weights = staged(feature.join(evidence, "feature").groupBy("token").agg(F.max("weight").alias("weight"), F.first("toxic").alias("toxic"), F.first("clean").alias("clean")), "weights")
+    evidence = counts.filter("feature <> '' and toxic > 1").withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
+    evidence = staged(evidence, "evidence")
     unstage(counts)
-    sizes = weights.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
-    if not sizes.n:
+    size = evidence.count()
+    if not size:
         return Model({}, 0.0)
-    loss = -math.log((1 - sizes.toxic / total.toxic) / (1 - sizes.clean / total.clean)) if sizes.toxic < total.toxic else 1.0
-    words = {r.token: r.weight for r in weights.select("token", "weight").collect()} if sizes.n <= lexicon_most else weights.select("token", "weight")
-    model = Model(words, max(loss, 1e-3))
-    learnt = statistics(texts.join(known, texts["doc_id"] == known["known"]), model, F.col("label")).select(F.col("key").alias("label"), "statistic")
+    weights = {r.feature: r.weight for r in evidence.collect()} if size <= lexicon_most else evidence
+    if size <= lexicon_most:
+        held = labelled.mapInArrow(_evident(weights), "label int, n long").groupBy("label").agg(F.sum("n").alias("n"))
+    else:
+        words = labelled.withColumn("row", F.monotonically_increasing_id())
+        words = staged(words, "labelled")
+        tokens = words.select("row", "text").mapInArrow(_words, WORDS).select("row", "token").distinct()
+        hit = exploded(tokens).join(evidence, "feature").select("row", "token").distinct()
+        held = hit.join(words.select("row", "label"), "row").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    held = {r.label: r.n for r in held.collect()}
+    toxic, clean = held.get(1, 0), held.get(0, 0)
+    loss = -math.log((1 - toxic / total.toxic) / (1 - clean / total.clean)) if toxic < total.toxic else 1.0
+    model = Model(weights, max(loss, 1e-3))
+    learnt = statistics(labelled, model, F.col("label")).select(F.col("key").alias("label"), "statistic")
     inside = F.least(F.greatest(F.col("statistic"), F.lit(LOW)), F.lit(HIGH - STEP))
     bins = learnt.groupBy(F.floor((inside - LOW) / STEP).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()
     slope, shift = logistic([(LOW + (r.b + 0.5) * STEP, r.n, r.y) for r in bins]) if bins else (0.0, -100.0)
-    return Model(words, model.loss, slope, shift)
+    return Model(weights, model.loss, slope, shift)
+
+
+def exploded(tokens: DataFrame) -> DataFrame:
+    """Rows of tokens with each of their features."""
+    n = F.char_length("token")
+    lengths = F.sequence(F.least(F.lit(SHORTEST), n), n)
+    rows = tokens.filter("token <> ''").select("*", F.explode(lengths).alias("k"))
+    return rows.withColumn("feature", F.expr("concat(left(token, k), case when char_length(token) > k then '_' else '' end)")).drop("k")
 
 
 def logistic(bins: list[tuple[float, int, int]], ridge: float = 1e-2) -> tuple[float, float]:
@@ -191,7 +251,8 @@ def _scan(weights: dict[str, float], loss: float):
     def run(batches):
         for piece in small_batches(batches, "text"):
             begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
-            w = np.array([weights.get(x, 0.0) for x in tokens] or [0.0])[codes] if len(codes) else np.zeros(0)
+            best = [max((weights[f] for f in features_of(t) if f in weights), default=0.0) for t in tokens]
+            w = np.array(best)[codes] if len(codes) else np.zeros(0)
             hits = np.flatnonzero(w)
             cut = np.searchsorted(hits, begin)
             at = [(hits[a:z] - s).tolist() for a, z, s in zip(cut, cut[1:], begin)]
@@ -202,6 +263,9 @@ def _scan(weights: dict[str, float], loss: float):
     return run
 
 
+WORDS = "row long, place int, word int, token string"
+
+
 def _words(batches):
     for piece in small_batches(batches, "text"):
         begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
@@ -229,9 +293,10 @@ def statistics(documents: DataFrame, model: Model, key: Column) -> DataFrame:
     if isinstance(model.weights, dict):
         return rows.mapInArrow(_scan(model.weights, model.loss), schema)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    words = rows.select("row", "text").mapInArrow(_words, "row long, place int, word int, token string")
+    words = rows.select("row", "text").mapInArrow(_words, WORDS)
     sizes = words.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    hits = words.join(model.weights, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "word", "weight"))).alias("hits"))
+    best = exploded(words).join(model.weights, "feature").groupBy("row", "place", "word").agg(F.max("weight").alias("weight"))
+    hits = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "word", "weight"))).alias("hits"))
     whole = rows.drop("text").join(sizes, "row", "left").join(hits, "row", "left").select("key", "hits", F.coalesce("n", F.lit(0)).alias("n"))
     return whole.mapInArrow(_scan_joined(model.loss), schema)
 
