@@ -16,7 +16,8 @@ cost a pair a member. If x is not linked with its hub, it may still be linked wi
 from the hub then have to share elements: x and y differ in |dx| + |dy| - 2 |dx & dy| elements, which is too many if dx
 and dy are disjoint, as dx alone is too many. So differences are joined on the rarest elements of dx and dy (as many as
 the threshold asks for) and compared exactly; no link between different texts is lost, and no pair is formed that shares
-nothing beyond its hub. Differences are kept only of parts of hubs in which a member failed.
+nothing beyond its hub. Where a hub's members fit one part, a failed member whose elements in the hub and elements outside it
+that any other member has are together too few for a link is done with at once; differences are kept only if others are left.
 
 Skew: a key held by a third of all rows sends one entry a piece of text. Verification gathers a first member
 with parts of its partners of about ``CHUNK`` shingles. Components come from labels that take the smallest neighbour
@@ -245,6 +246,20 @@ def _local(batches):
 TRIED = "hub long, rep long, n long, linked boolean, delta array<long>"
 
 
+def _done_with(hub: np.ndarray, sets: list[np.ndarray], linked: list[bool], percent: int) -> list[bool]:
+    """Which members of a hub need no further look, as they can't link with another member, or all links are known. A failed member
+    shares with another at most what it shares with the hub and what of the rest any other member has."""
+    failed = [i for i, x in enumerate(linked) if not x]
+    if len(sets) < 2 or not failed:
+        return [True] * len(sets)
+    outside = [np.setdiff1d(s, hub, assume_unique=True) for s in sets]
+    elements, holders = np.unique(np.concatenate(outside), return_counts=True)
+    held = elements[holders > 1]
+    most = {i: len(sets[i]) - len(outside[i]) + len(np.intersect1d(outside[i], held, assume_unique=True)) for i in failed}
+    open_ = {i for i, n in most.items() if 100 * n >= percent * len(sets[i])}
+    return [not open_ or (not x and i not in open_) for i, x in enumerate(linked)]
+
+
 def _verify(width: int, percent: int):
     schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("delta", pa.list_(pa.int64()))])
 
@@ -260,8 +275,9 @@ def _verify(width: int, percent: int):
             both = (len(own) + len(s) - len(delta)) // 2
             rows.append((hub, rep, len(s), 100 * both >= percent * (both + len(delta)), delta.astype(np.int64)))
         alone = table.num_rows > 0 and table.column("parts")[0].as_py() == 1
-        if alone and (len(rows) < 2 or all(r[3] for r in rows)):  # nobody will ask for these differences
-            rows = [(*r[:4], None) for r in rows]
+        if alone:
+            gone = _done_with(own, list(by_class.values()), [r[3] for r in rows], percent)
+            rows = [(*r[:4], None if x else r[4]) for r, x in zip(rows, gone)]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], [], [], []), schema)], schema=schema)
 
     return run
@@ -300,6 +316,8 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     bounded(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 50:  # Spark doesn't know
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(63 - REST_BITS, max(6, math.ceil(math.log2(max(size, 1) / (4 << 20)))))
     index = staged(rows.mapInArrow(_index(width, percent, bits), INDEX), "partition-index")
     docs = staged(index.filter("kind = 'doc'").select("node", "doc_id", "h", "n", "f1", "f2"), "partition-docs")
@@ -319,14 +337,14 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = rows.filter("doc_id is not null")
     if docs.groupBy("doc_id", "h").count().filter("count > 1 and doc_id is not null").limit(1).count():
         texts = texts.dropDuplicates(["doc_id", "h"])
-    tried = staged(verified(texts, stars, named, width, percent), "verified")
+    tried = staged(verified(texts, stars, named, width, percent).withColumn("m", F.monotonically_increasing_id()), "verified")
     unstage(stars)
     owners = docs.filter("n > 0").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep")
     several = owners.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z")
     one_id = owners.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = tried.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(one_id)
     labels = components(links)
-    if tried.filter("not linked").limit(1).count():
+    if tried.filter("not linked and delta is not null").limit(1).count():
         more = further_links(tried, labels, percent)
         if more.limit(1).count():
             unstage(labels)
@@ -343,9 +361,9 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one hub, of which one at least is not linked with the hub, by their differences from it."""
-    full = tried.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max((~F.col("linked")).cast("int")).alias("failed")).filter("members > 1 and failed = 1")
-    members = tried.join(full.select("hub"), "hub", "left_semi").withColumn("m", F.monotonically_increasing_id())
-    members = staged(members, "members")
+    known = tried.filter("delta is not null")
+    full = known.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max((~F.col("linked")).cast("int")).alias("failed")).filter("members > 1 and failed = 1")
+    members = known.join(full.select("hub"), "hub", "left_semi")
     # an element of a hub is a hash of both; if two share one, the exact comparison still decides
     elements = members.select("m", F.explode("delta").alias("e"), "hub").select("m", F.xxhash64("hub", "e").alias("e"))
     holders = elements.groupBy("e").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
@@ -375,7 +393,7 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     differ = F.size("x_delta") + F.size("y_delta") - 2 * F.size(F.array_intersect("x_delta", "y_delta"))
     shared_n = (F.col("x_n") + F.col("y_n") - differ) / 2
     found = staged(both.filter(100 * shared_n >= percent * (shared_n + differ)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "further-links")
-    unstage(members, ranked)
+    unstage(ranked)
     return found
 
 

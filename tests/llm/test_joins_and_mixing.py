@@ -274,7 +274,7 @@ def test_scores_against_their_definition(spark):
     counts = brute_counts(rows, labels)
     n, x, c = (sum(v[k] for v in counts.values()) for k in range(3))
     feature = {}
-    of = lambda t: [t[:k] + ("_" if k < len(t) else "") for k in range(3, max(3, len(t)) + 1)] if t else []
+    of = lambda t: [t[:k] + ("_" if k < len(t) else "") for k in range(min(3, len(t)), len(t) + 1)] if t else []
     for t, v in counts.items():
         for f in of(t):
             feature[f] = [a + b for a, b in zip(feature.get(f, [0, 0, 0]), v)]
@@ -285,7 +285,7 @@ def test_scores_against_their_definition(spark):
         if y > 1 and w >= 0.5:
             weight[f] = w
     tokens = {t: max(weight[f] for f in of(t) if f in weight) for t in counts if any(f in weight for f in of(t))}
-    assert set(tokens) == set(model.weights) and all(abs(model.weights[t] - w) < 1e-9 for t, w in tokens.items())
+    assert set(weight) == set(model.weights) and all(abs(model.weights[f] - w) < 1e-9 for f, w in weight.items())
     got = {r.key: r.statistic for r in T.statistics(df, model, F.col("doc_id")).collect()}
     for i, t in rows:
         seq = [y for w in t.split() for y in T.tokens_of(w)]
