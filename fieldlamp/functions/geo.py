@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: The mean radius of the earth, and the points of the compass.
 EARTH_M = 6_371_008.8
 POINTS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 
@@ -28,8 +29,9 @@ def compass(degrees: Column) -> Column:
 
 
 def naismith_minutes(metres: Column, climb: Column) -> Column:
-    """5 km an hour and ten minutes for 100 m of climb; one minute at least."""
-    return F.greatest(F.lit(1), F.ceil(metres / 5000 * 60 + climb / 10)).cast("long")
+    """5 km an hour and ten minutes for 100 m of climb; one minute at least, none for no distance. Descents count nothing."""
+    minutes = F.ceil(metres / 5000 * 60 + F.greatest(F.lit(0.0), climb) / 10)
+    return F.when(metres > 0, F.greatest(F.lit(1), minutes)).otherwise(0).cast("long")
 
 
 def tile(lat: Column, lon: Column, zoom: int) -> Column:
@@ -50,6 +52,45 @@ def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Col
     return crossings % 2 == 1
 
 
-def cell(lat: Column, lon: Column, degrees: float) -> Column:
-    """A grid cell, for equi-joins of near points."""
-    return F.struct(F.floor(lat / degrees).alias("y"), F.floor(lon / degrees).alias("x"))
+def boxes_meet(a: Column, b: Column) -> Column:
+    """Whether two boxes (west, south, east, north) share a point."""
+    return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
+
+
+def box_holds(box: Column, lat: Column, lon: Column) -> Column:
+    return lat.between(box["south"], box["north"]) & lon.between(box["west"], box["east"])
+
+
+def height_tile(lat: Column, lon: Column) -> Column:
+    """The name of the one-degree tile of heights that a point lies in."""
+    part = lambda x, up, down, n: F.concat(F.when(x >= 0, up).otherwise(down), F.lpad(F.abs(F.floor(x)).cast("string"), n, "0"))
+    return F.concat(part(lat, "N", "S", 2), part(lon, "E", "W", 3))
+
+
+def grid_letters(easting: Column, northing: Column) -> Column:
+    """The two letters of a 100 km square of the national grid; null outside it. Letters run from A at the north-west without I."""
+    e, n = F.floor(easting / 100_000).cast("int"), F.floor(northing / 100_000).cast("int")
+    letter = lambda x, y: F.substr(F.lit("ABCDEFGHJKLMNOPQRSTUVWXYZ"), (4 - y) * 5 + x + 1, F.lit(1))
+    five = lambda x: F.floor(x / 5).cast("int")
+    inside = (easting >= 0) & (easting < 700_000) & (northing >= 0) & (northing < 1_300_000)
+    return F.when(inside, F.concat(letter(five(e) + 2, five(n) + 1), letter(e % 5, n % 5)))
+
+
+def grid_reference(easting: Column, northing: Column, digits: int = 3) -> Column:
+    """Letters and digits, such as TQ 301 805."""
+    part = lambda x: F.lpad(F.floor(F.pmod(x, F.lit(100_000)) / 10 ** (5 - digits)).cast("string"), digits, "0")
+    return F.concat_ws(" ", grid_letters(easting, northing), F.when(grid_letters(easting, northing).isNotNull(), part(easting)), F.when(grid_letters(easting, northing).isNotNull(), part(northing)))
+
+
+def parse_grid(reference: Column) -> Column:
+    """(easting, northing) of the south-west corner of a reference of letters and an even number of digits; null for others."""
+    r = F.upper(F.regexp_replace(reference, r"\s+", ""))
+    digits = F.regexp_extract(r, r"^[A-HJ-Z]{2}((?:\d\d){1,5})$", 1)
+    half = (F.char_length(digits) / 2).cast("int")
+    place = lambda i: F.position(F.substr(r, F.lit(i), F.lit(1)), F.lit("ABCDEFGHJKLMNOPQRSTUVWXYZ")) - 1
+    x = lambda i: place(i) % 5
+    y = lambda i: 4 - F.floor(place(i) / 5)
+    metres = lambda s: s.try_cast("double") * F.pow(F.lit(10.0), 5 - half)
+    e = ((x(1) - 2) * 5 + x(2)) * 100_000 + metres(F.left(digits, half))
+    n = ((y(1) - 1) * 5 + y(2)) * 100_000 + metres(F.right(digits, half))
+    return F.when(digits != "", F.struct(e.cast("double").alias("easting"), n.cast("double").alias("northing")))

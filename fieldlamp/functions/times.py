@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: The length of a lunation in days and a new moon.
-SYNODIC_DAYS, NEW_MOON = 29.530588853, "2000-01-06 18:14:00"
-UNITS = {"m": 60, "h": 3600, "d": 86400}
+#: The length of a lunation in days, and a new moon (2000-01-06 18:14 UTC) in seconds.
+SYNODIC_DAYS, NEW_MOON_S = 29.530588853, 947182440.0
+#: Hours after which the dose rate of fallout has fallen to a tenth, a hundredth, a thousandth.
+FALLOUT_HOURS = (7, 49, 343)
 
 
 def duration_seconds(text: Column) -> Column:
@@ -35,7 +36,7 @@ def season(month: Column) -> Column:
 
 def moon_phase(ts: Column) -> Column:
     """0 at the new moon, to 1."""
-    days = (seconds(ts) - F.lit(947182440.0)) / 86400
+    days = (seconds(ts) - F.lit(NEW_MOON_S)) / 86400
     return F.pmod(days, F.lit(SYNODIC_DAYS)) / SYNODIC_DAYS
 
 
@@ -56,3 +57,37 @@ def next_daily(now: Column, times: list[str], zone: str) -> Column:
     day = F.to_date(local)
     options = [F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", F.date_add(day, k).cast("string"), F.lit(t))), zone) for k in (0, 1) for t in times]
     return F.array_min(F.filter(F.array(*options), lambda t: t > now.cast("timestamp")))
+
+
+def fallout(detonation: Column, now: Column) -> Column:
+    """Per mark of the seven-ten rule: hours, time, whether it is reached, seconds to go."""
+    def mark(hours: int) -> Column:
+        left = seconds(detonation) + hours * 3600 - seconds(now)
+        return F.struct(F.lit(hours).alias("hours"), F.timestamp_micros((F.unix_micros(detonation.cast("timestamp")) + hours * 3_600_000_000).cast("long")).alias("at"), (left <= 0).alias("reached"), F.greatest(F.lit(0), F.ceil(left)).cast("long").alias("left_s"))
+
+    return F.array(*map(mark, FALLOUT_HOURS))
+
+
+def countdown(s: Column) -> Column:
+    """h:mm:ss, or m:ss within an hour."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    return F.when(h > 0, F.concat_ws(":", h.cast("string"), two(m), two(s % 60))).otherwise(F.concat_ws(":", m.cast("string"), two(s % 60)))
+
+
+def beats(elapsed_s: Column, per_minute: int = 110) -> Column:
+    return F.greatest(F.lit(0), F.floor(elapsed_s / 60 * per_minute)).cast("long")
+
+
+def uk_date(d: Column) -> Column:
+    return F.date_format(d, "dd/MM/yyyy")
+
+
+def iso_date(text: Column) -> Column:
+    """A UK date as a date; null for what is none."""
+    return F.try_to_date(text, "d/M/yyyy")
+
+
+def relative(seconds_ago: Column) -> Column:
+    unit = lambda n, name: F.concat(F.floor(seconds_ago / n).cast("string"), F.lit(f" {name}"), F.when(F.floor(seconds_ago / n) == 1, " ago").otherwise("s ago"))
+    return F.when(seconds_ago < 60, "just now").when(seconds_ago < 3600, unit(60, "minute")).when(seconds_ago < 86400, unit(3600, "hour")).otherwise(unit(86400, "day"))

@@ -23,17 +23,17 @@ def edge_lines(pages: DataFrame, doc: str, page: str, text: str, share: float =
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 120, most_garble: float = 0.03) -> DataFrame:
-    """Words, share of garbled words, share of short lines, and whether a text is too damaged to use."""
-    ln = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
-    d = docs.select(key, F.explode(F.array(ln)).alias("ln"))
-    d = d.select(key, F.explode(F.array(F.struct(F.array_sort(F.transform("ln", F.char_length)).alias("widths"), T.words(F.array_join("ln", " ")).alias("w")))).alias("s")).select(key, "s.*")
-    wordish = F.filter("w", lambda t: F.char_length(F.regexp_replace(t, r"\P{L}", "")) >= 3)
-    d = d.select(key, "widths", F.size("w").cast("long").alias("words"), F.size(wordish).alias("wordish"), F.size(F.filter("w", lambda t: (F.char_length(F.regexp_replace(t, r"\P{L}", "")) >= 3) & T.is_garbled(t))).alias("garbled"))
-    typical = F.get("widths", F.floor(F.size("widths") / 2).cast("int"))
-    short = F.size(F.filter("widths", lambda x: x < 0.5 * typical))
-    out = d.select(
-        key, "words", F.round(F.when(F.col("wordish") > 0, F.col("garbled") / F.col("wordish")).otherwise(1.0), 6).alias("garble"),
-        F.round(F.when(F.size("widths") > 0, short / F.size("widths")).otherwise(1.0), 6).alias("short_share"),
+    """Words, share of garbled words, share of short lines, and whether a text is too damaged to use. A line is short below
+    half the middle length of its text."""
+    filled = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    parts = docs.select(key, F.explode(F.array(F.struct(F.array_sort(F.transform(filled, F.char_length)).alias("sizes"), T.words(F.col(text)).alias("words")))).alias("p"))
+    spelt = lambda w: F.regexp_count(w, F.lit(r"\p{L}")) >= 3
+    share = lambda part, of: F.round(F.coalesce(F.try_divide(part, of), F.lit(1.0)), 6)
+    middle = F.get("p.sizes", F.floor(F.size("p.sizes") / 2).cast("int"))
+    out = parts.select(
+        key, F.size("p.words").cast("long").alias("words"),
+        share(F.size(F.filter("p.words", lambda w: spelt(w) & T.is_garbled(w))), F.size(F.filter("p.words", spelt))).alias("garble"),
+        share(F.size(F.filter("p.sizes", lambda n: 2 * n < middle)), F.size("p.sizes")).alias("short_share"),
     )
     return out.withColumn("damaged", (F.col("words") < least_words) | (F.col("garble") > most_garble))
 
@@ -47,20 +47,25 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     head = F.startswith("line", F.lit("## ")) & ~F.col("inside")
     x = x.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("long")).over(w))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda s: s["line"]), "\n")
-    return x.groupBy(key, "section").agg(F.max(F.when(F.col("head"), F.substring("line", 4, 1 << 20))).alias("title"), F.trim(body).alias("body"))
+    return x.groupBy(key, "section").agg(F.max(F.when(F.col("head"), F.substr("line", F.lit(4)))).alias("title"), F.trim(body).alias("body"))
 
 
-def best_window(blocks: DataFrame, key: str, budget: int) -> DataFrame:
-    """The best run of successive blocks (key, pos, cost, hits, distinct) within a budget: most hits + 10 * distinct, then
-    the first. A block's running sums reach forward only as far as the budget, so runs are bounded by it."""
+def best_window(blocks: DataFrame, key: str, budget: int, coverage: float = 10.0) -> DataFrame:
+    """The best run of successive blocks (key, pos, cost, hits, terms: the query terms in it) within a budget: hits and
+    ``coverage`` for each distinct term of the run, less a thousandth of its start; ties go to the first. A block beyond the
+    budget is a run by itself. A run reaches only as far as the budget, so what a start meets is bounded by it."""
     w = Window.partitionBy(key).orderBy("pos")
-    s = blocks.withColumn("c", F.sum("cost").over(w)).withColumn("h", F.sum("hits").over(w)).withColumn("c0", F.col("c") - F.col("cost")).withColumn("h0", F.col("h") - F.col("hits"))
-    a = s.select(key, F.col("pos").alias("start"), "c0", "h0", F.floor(F.col("c0") / budget).alias("cell"))
-    b = s.select(key, F.col("pos").alias("stop"), "c", "h", F.explode(F.array(F.floor(F.col("c") / budget), F.floor(F.col("c") / budget) - 1)).alias("cell"))
-    runs = a.join(b, [key, "cell"]).filter((F.col("stop") >= F.col("start")) & (F.col("c") - F.col("c0") <= budget))
-    scored = runs.select(key, "start", "stop", (F.col("h") - F.col("h0") - 0.001 * F.col("start")).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "start", "stop")
-    return scored.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    s = blocks.withColumn("end", F.sum(F.least("cost", F.lit(budget))).over(w)).withColumn("begin", F.col("end") - F.least("cost", F.lit(budget)))
+    a = s.select(key, F.col("pos").alias("start"), "begin", F.floor(F.col("begin") / budget).alias("cell"))
+    b = s.select(key, F.col("pos").alias("stop"), "end", "cost", "hits", "terms", F.explode(F.array_distinct(F.array(F.floor(F.col("end") / budget), F.floor(F.col("end") / budget) - 1))).alias("cell"))
+    runs = a.join(b, [key, "cell"]).filter((F.col("stop") >= F.col("start")) & (F.col("end") - F.col("begin") <= budget))
+    upto = Window.partitionBy(key, "start").orderBy("stop")
+    runs = runs.withColumn("held", F.sum("hits").over(upto)).withColumn("met", F.size(F.array_distinct(F.flatten(F.collect_list("terms").over(upto)))))
+    scored = runs.select(key, "start", "stop", F.round(F.col("held") + coverage * F.col("met") - 0.001 * F.col("start"), 6).alias("score"))
+    order = Window.partitionBy(key, "start").orderBy(F.desc("stop"))  # a start takes all that fits
+    longest = scored.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    best = longest.groupBy(key).agg(F.max(F.struct("score", (-F.col("start")).alias("first"), "stop")).alias("b"))
+    return best.select(key, (-F.col("b.first")).alias("start"), "b.stop", "b.score")
 
 
 def chapters(rows: DataFrame, key: str, cut: int = 4000, least: int = 300) -> DataFrame:
@@ -97,8 +102,8 @@ def chapters(rows: DataFrame, key: str, cut: int = 4000, least: int = 300) -> Da
 
 
 def seen_before(rows: DataFrame, doc: str, page: str, line: str, pages: int = 4) -> DataFrame:
-    """Marks a heading that stood on one of the pages just before."""
-    w = Window.partitionBy(doc).orderBy(page).rowsBetween(-pages, -1)
+    """Marks a heading that stood on one of the ``pages`` pages just before; a page may have several."""
+    w = Window.partitionBy(doc).orderBy(page).rangeBetween(-pages, -1)
     return rows.withColumn("repeats", F.array_contains(F.collect_set(line).over(w), F.col(line)))
 
 
@@ -112,12 +117,16 @@ def links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
 
 
 def sentence_chunks(text: Column, most: int = 600) -> Column:
-    """Sentences packed greedily into texts of at most ``most`` characters; a longer sentence stands alone."""
-    s = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", "$1\n"), "\n"), lambda x: F.trim(x) != "")
+    """Sentences packed greedily into texts of at most ``most`` characters; a longer sentence is cut between words first, and
+    only a single longer word stands alone."""
+    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    sentences = F.filter(F.split(clean, r"(?<=[.!?;:])\s+"), lambda x: x != "")
+    none = F.array().cast("array<string>")
 
     def pack(acc, x):
         last = F.try_element_at(acc, F.lit(-1))
         fits = (F.size(acc) > 0) & (F.char_length(last) + F.char_length(x) + 1 <= most)
         return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last, x)))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(s, F.array().cast("array<string>"), pack)
+    pieces = F.flatten(F.transform(sentences, lambda s: F.when(F.char_length(s) <= most, F.array(s)).otherwise(F.aggregate(F.split(s, " "), none, pack))))
+    return F.aggregate(pieces, none, pack)

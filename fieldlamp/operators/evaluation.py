@@ -13,14 +13,12 @@ def first_rank(results: DataFrame, gold: DataFrame, key: str = "doc_id") -> Data
     return gold.select("qid").distinct().join(hit, "qid", "left")
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """A percentile that is one of the values: the ceil(share * n)-th; null of nothing."""
-    s = F.sort_array(F.collect_list(values))
-    n = F.ceil(F.lit(share) * F.size(s)).cast("int")
-    return F.when(F.size(s) > 0, F.get(s, F.greatest(F.lit(1), n) - 1))
+def nearest_rank(values: str, share: float) -> Column:
+    """A percentile that is one of the values: the ceil(share * n)-th. Values are counted before they are shuffled."""
+    return F.expr(f"percentile_disc({share}) within group (order by {values})")
 
 
-def metrics(rank: Column, latency: Column | None = None) -> list[Column]:
+def metrics(rank: Column, latency: str | None = None) -> list[Column]:
     rate = lambda k: F.round(F.avg(F.when(rank <= k, 1.0).otherwise(0.0)), 6).alias(f"hit{k}")
     within = rank <= 10
     out = [
@@ -77,3 +75,40 @@ def paired_bootstrap(pairs: DataFrame, by: str = "set", resamples: int = 4000, s
 def halves(rows: DataFrame, part: str = "set", key: str = "qid") -> DataFrame:
     """Even and odd rows of each set, in order of the key."""
     return rows.withColumn("half", F.pmod(F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1, F.lit(2)).cast("long"))
+
+
+def first_match(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, rank) like ``first_rank`` where gold names urls: a result matches one of its query's urls or lies under it."""
+    from ..functions import text as T
+
+    pairs = results.join(gold.select("qid", F.col("url").alias("wanted")).distinct(), "qid").filter(T.url_matches(F.col("url"), F.col("wanted")))
+    return gold.select("qid").distinct().join(pairs.groupBy("qid").agg(F.min("rank").alias("rank")), "qid", "left")
+
+
+def covered(results: DataFrame, gold: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """(qid, relevant, found, coverage, ndcg) with many relevant rows a query; the ideal list begins with k of them at most."""
+    gain = F.ln(F.lit(2.0)) / F.ln(F.col("rank") + 1.0)
+    wanted = gold.select("qid", key).distinct()
+    hit = results.filter(F.col("rank") <= k).join(wanted, ["qid", key]).groupBy("qid").agg(F.count(F.lit(1)).alias("found"), F.sum(gain).alias("dcg"))
+    size = wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("relevant").cast("int"))), F.lit(0.0), lambda s, i: s + F.ln(F.lit(2.0)) / F.ln(i + 1.0))
+    x = size.join(hit, "qid", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return x.select("qid", "relevant", "found", F.round(F.col("found") / F.col("relevant"), 6).alias("coverage"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
+
+
+def profile(scores: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """Interpolated percentiles of each kind of score."""
+    return scores.groupBy(by).agg(*[F.round(F.percentile(value, p), 6).alias(f"p{round(100 * p)}") for p in shares], F.count(F.lit(1)).alias("n"))
+
+
+def shares_by_kind(results: DataFrame, kind: str = "kind", length: str = "length") -> DataFrame:
+    """Per kind: its share of first places and of the first ten, and the middle length of its texts."""
+    one, ten = F.sum((F.col("rank") == 1).cast("long")), F.sum((F.col("rank") <= 10).cast("long"))
+    x = results.groupBy(kind).agg(one.alias("one"), ten.alias("ten"), F.percentile(length, 0.5).alias("middle"))
+    share = lambda c: F.round(F.try_divide(F.col(c), x.agg(F.sum(c)).scalar()), 6)
+    return x.select(kind, share("one").alias("top1"), share("ten").alias("top10"), "middle")
+
+
+def rate(good: Column, of: Column) -> Column:
+    """A share to six places, null without cases."""
+    return F.round(F.try_divide(good, of), 6)

@@ -42,6 +42,42 @@ def relevance(in_title: Column, in_snippet: Column, exact: Column, ideas: Column
     return base * F.when(exact, c.exact_title).when(zero, c.boilerplate).when(weak, c.weak_penalty).otherwise(1.0)
 
 
+def class_weight(source: Column, weights: dict[str, float], item: Column | None = None) -> Column:
+    """The weight of a row's class, an item's own where it has one, else 1."""
+    known = F.coalesce(*[F.when(source == k, F.lit(v)) for k, v in weights.items()], F.lit(1.0))
+    return known if item is None else F.coalesce(item, known)
+
+
+def furniture(url: Column, sections: tuple[str, ...] = ("go-deeper", "source"), factor: float = 0.5) -> Column:
+    """The factor of a passage: sections that every page has count less."""
+    return F.when(F.substring_index(url, "#", -1).isin(*sections) & F.contains(url, F.lit("#")), factor).otherwise(1.0)
+
+
+def medical_boost(asks: Column, medical: Column, factor: float = 1.5) -> Column:
+    return F.when(asks & medical, factor).otherwise(1.0)
+
+
+def evidence_order(rows: DataFrame, part: list[str], title: str, body: str, rank: str = "rank") -> DataFrame:
+    """Rows by the ideas in title and body and once more in the title; equals keep their rank."""
+    w = Window.partitionBy(*part).orderBy(F.round(-(F.col(title) + F.col(body)), 9), rank)
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def with_evidence(rows: DataFrame, zero: Column, protected: Column, via: str = "via", kind: str = "kind") -> DataFrame:
+    """Without rows that hold nothing of the query, unless they are protected, found by meaning, places or books."""
+    return rows.filter(~zero | protected | (F.col(via) == "meaning") | F.col(kind).isin("place", "book"))
+
+
+def dedupe_pages(rows: DataFrame, part: list[str], page: str, authored: Column, key: str = "doc_id") -> DataFrame:
+    """Of an authored page's sections the best-scoring stays, at the place where the page first stood; other rows stay.
+    rows have pos, their place."""
+    group = F.when(authored, F.col(page)).otherwise(F.concat_ws("#", page, F.col(key).cast("string")))
+    x = rows.withColumn("page_group", group)
+    w = Window.partitionBy(*part, "page_group")
+    best = F.row_number().over(w.orderBy(F.desc("score"), "pos"))
+    return x.withColumn("first", F.min("pos").over(w)).withColumn("nth", best).filter("nth = 1").withColumn("pos", F.col("first")).drop("first", "nth", "page_group")
+
+
 def dedupe(rows: DataFrame, by: list[str], key: str = "doc_id") -> DataFrame:
     """The best-scoring row of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), key)
@@ -105,6 +141,59 @@ def weighted_minmax(lists: DataFrame, weights: dict[str, float], key: str = "doc
     return lists.withColumn("part", scaled * weight).groupBy("qid", key).agg(F.round(F.sum("part"), 6).alias("fused"))
 
 
+def keyword_places(rows: DataFrame, page: str, authored: Column, key: str = "doc_id") -> DataFrame:
+    """(qid, key, place from 0): where rows found by words would stand if meaning had added nothing. rows: (qid, key, page,
+    source, kind, title, words: their score by words, via)."""
+    found = rows.filter(F.coalesce(F.col("via"), F.lit("")) != "meaning").withColumn("score", F.col("words"))
+    found = found.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
+    once = dedupe_pages(found, ["qid"], page, authored, key)
+    article = F.when(F.col("kind") == "article", F.col("title")).otherwise(F.concat_ws("#", "title", F.col(key).cast("string")))
+    once = dedupe(once.withColumn("article", article), ["qid", "source", "article"], key).drop("article")
+    shaped = diversify(once, ["qid"], key=key)
+    return shaped.select("qid", key, (F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)) - 1).alias("place"))
+
+
+def kept_cards(rows: DataFrame, near: DataFrame, page: str = "page", cards: int = 2, floor: float = 0.62, key: str = "doc_id") -> DataFrame:
+    """(qid, key) of cards that must stay in sight: the one that words rank first, and the best row of the ``cards`` nearest pages
+    with a cosine of floor or more. rows: (qid, key, page, kind, via, score, place); near: (qid, page, cos)."""
+    card = rows.filter("kind = 'card'")
+    first = card.filter((F.coalesce(F.col("via"), F.lit("")) != "meaning") & (F.col("place") == 0))
+    w = Window.partitionBy("qid").orderBy(F.desc("cos"), page)
+    pages = near.filter(F.col("cos") >= floor).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= cards)
+    best = card.join(pages.select("qid", page), ["qid", page]).withColumn("nth", F.row_number().over(Window.partitionBy("qid", page).orderBy(F.desc("score"), key))).filter("nth = 1")
+    return first.select("qid", key).unionByName(best.select("qid", key)).distinct()
+
+
+def kept_medicines(rows: DataFrame, source: str = "nhs", within: int = 3, share: float = 0.66, key: str = "doc_id") -> DataFrame:
+    """(qid, key) of medicine pages that the query names. rows have place and title_share."""
+    found = (F.coalesce(F.col("via"), F.lit("")) != "meaning") & (F.col("source") == source)
+    return rows.filter(found & (F.col("place") < within) & (F.col("title_share") >= share)).select("qid", key)
+
+
+def kept_books(rows: DataFrame, books: int = 5, floor: float = 0.70, key: str = "doc_id") -> DataFrame:
+    """(qid, key) of the best books that words found or that are near."""
+    sure = rows.filter((F.col("source") == "books") & (F.col("cos").isNull() | (F.col("cos") >= floor)))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), key)
+    return sure.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= books).select("qid", key)
+
+
+def promote_cards(rows: DataFrame, cards: int = 3, top: int = 3, key: str = "doc_id") -> DataFrame:
+    """(qid, key, place): the best card about the injury goes first, the next ones into the first ``top`` places, others keep their
+    order. rows: (qid, key, rank, kind, primary, alias, coverage, score), a short list a query."""
+
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", key]).reset_index(drop=True)
+        about = pdf[(pdf["kind"] == "card") & (pdf["primary"] > 0)].sort_values(["primary", "alias", "coverage", "score"], ascending=False, kind="stable")
+        order = pdf.index.tolist()
+        for n, row in enumerate(about.index[:cards]):
+            at = order.index(row)
+            order.insert(0 if n == 0 else min(max(at, n), top - 1), order.pop(at))
+        return pdf.loc[order].assign(place=range(1, len(order) + 1))[["qid", key, "place"]]
+
+    kind = dict(rows.dtypes)
+    return rows.groupBy("qid").applyInPandas(move, f"qid {kind['qid']}, {key} {kind[key]}, place long")
+
+
 def protect(rows: DataFrame, top: int, prefix: int = 0, key: str = "doc_id") -> DataFrame:
     """Kept rows enter the first ``top`` places. rows: (qid, key, rank, kept), a short list a query; each kept row in turn
     takes the place of the lowest row there that is not kept and not among the first ``prefix``, which drops just below."""

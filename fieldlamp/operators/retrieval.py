@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import written
 
 K1, B = 1.2, 0.75
 
@@ -24,6 +25,43 @@ def positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, F.posexplode(T.all_tokens(F.col(text))).alias("pos", "term"))
 
 
+MARK = ""  # the term of the row that every document has in wanted_postings
+
+
+def wanted_postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", title_words: int = 0, title_weight: int = 1) -> DataFrame:
+    """(key, term, tf, dl) of the wanted terms only, and a row with the term MARK for each document. Tokens meet the terms before
+    they are counted, so what is shuffled are the hits, not the tokens of the corpus. The first title_words tokens count
+    title_weight times."""
+    t = docs.select(key, F.explode(F.array(T.all_tokens(F.col(text)))).alias("t"))
+    rows = t.select(key, F.size("t").cast("long").alias("dl"), F.posexplode(F.concat(F.array(F.lit(MARK)), F.col("t"))).alias("pos", "term"))
+    wanted = terms.select("term").unionByName(docs.sparkSession.createDataFrame([(MARK,)], "term string")).distinct()
+    tf = F.sum(F.when(F.col("pos") <= title_words, title_weight).otherwise(1))
+    return rows.join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(tf.alias("tf"))
+
+
+def lengths(posts: DataFrame) -> tuple[int, float]:
+    """Documents and their mean length, from wanted_postings."""
+    size = posts.filter(F.col("term") == MARK).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
+    return size.n, size.a or 1.0
+
+
+def phrases_in(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``phrase``, from texts: terms(qid, ord, term), ord from 0. A phrase begins to look where its rarest word stands; the
+    few documents with such a place are then compared as token arrays, so no positions of other words are shuffled."""
+    tokens = docs.select(key, T.all_tokens(F.col(text)).alias("t"))
+    places = tokens.select(key, F.posexplode("t").alias("pos", "term"))
+    df = places.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = terms.join(df, "term", "left").groupBy("qid").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "ord", "term")).alias("r"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("phrase")
+    )
+    rare = written(whole.filter("r.df > 0").select("qid", "phrase", "r.ord", "r.term"), "rarest-words")
+    starts = places.join(rare.select("qid", "ord", "term"), "term").select(key, "qid", (F.col("pos") - F.col("ord")).alias("start")).filter("start >= 0")
+    by_doc = starts.groupBy(key).agg(F.collect_set(F.struct("qid", "start")).alias("starts"))
+    met = tokens.join(by_doc, key).select(key, "t", F.explode("starts").alias("s")).select(key, "t", "s.*").join(rare.select("qid", "phrase"), "qid")
+    same = F.slice("t", F.col("start") + 1, F.size("phrase")) == F.col("phrase")
+    return met.filter(same).groupBy("qid", key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, term, ord, n_terms) of queries(qid, terms)."""
     return queries.select("qid", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("ord", "term"))
@@ -53,6 +91,13 @@ def phrase(pos: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     return met.filter("found = n_terms").groupBy("qid", key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def prefix_postings(docs: DataFrame, prefixes: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """Postings of the words that share their first letters with a prefix."""
+    rows = docs.select(key, F.explode(T.all_tokens(F.col(text))).alias("term")).withColumn("head", F.left("term", F.lit(size)))
+    wanted = prefixes.select(F.left("prefix", F.lit(size)).alias("head")).distinct()
+    return rows.join(wanted, "head", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def prefix(posts: DataFrame, prefixes: DataFrame, key: str = "doc_id", size: int = 3) -> DataFrame:
     """Documents with a word that begins so: prefixes(qid, prefix) of size letters or more; an equi-join on the first
     letters comes before the test."""

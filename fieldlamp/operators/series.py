@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-NEWEST = [F.desc, F.desc]
-
-
 def newest(part: str, at: str = "ts", id: str = "event_id"):
     return Window.partitionBy(part).orderBy(F.desc(at), F.desc(id))
 

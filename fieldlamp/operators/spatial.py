@@ -12,17 +12,27 @@ from ..session import written
 
 def near_pairs(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """Rows of a beside rows of b within a distance, by an equi-join of grid cells: each row of b is laid into its cell
-    and the eight around it. Columns must differ but for lat and lon, which become alat, alon, blat, blon."""
+    and the eight around it; cells go round the globe, so places on both sides of 180 degrees meet. Columns must differ but for lat and lon, which become alat, alon, blat, blon."""
     degrees = metres / 111_195.0 * 1.001
     # columns of the grid are as wide as the distance at the row's own latitude band, so high latitudes need no more neighbours
     band = lambda lat: F.floor(lat / degrees)
     def column(lon: Column, y: Column) -> Column:
         edge = F.least(F.abs(y), F.abs(y + 1)) * degrees
         widest = F.greatest(edge, F.greatest(F.abs(y), F.abs(y + 1)) * degrees)
-        return F.floor(lon / (degrees / F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.0)))), F.lit(math.cos(math.radians(89.0))))))
-    x = a.withColumnsRenamed({"lat": "alat", "lon": "alon"}).withColumn("cy", band(F.col("alat"))).withColumn("cx", column(F.col("alon"), F.col("cy")))
+        wide = degrees / F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.0)))), F.lit(math.cos(math.radians(89.0))))
+        return F.floor((lon + 180) / wide), F.greatest(F.lit(1), F.floor(F.lit(360.0) / wide))  # the last cell is wider
+    def own(lon: Column, y: Column) -> Column:
+        at, n = column(F.pmod(lon + 180, F.lit(360.0)) - 180, y)
+        return F.least(at, n - 1)
+
+    def around(lon: Column, y: Column) -> Column:
+        n = column(lon, y)[1]
+        return F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(own(lon, y) + d, n)))
+
+    x = a.withColumnsRenamed({"lat": "alat", "lon": "alon"}).withColumn("cy", band(F.col("alat")))
+    x = x.withColumn("cx", own(F.col("alon"), F.col("cy")))
     y = b.withColumnsRenamed({"lat": "blat", "lon": "blon"}).withColumn("cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band(F.col("blat")) + d)))
-    y = y.withColumn("cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: column(F.col("blon"), F.col("cy")) + d)))
+    y = y.withColumn("cx", F.explode(around(F.col("blon"), F.col("cy"))))
     d = geo.haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
     return x.join(y, ["cy", "cx"]).withColumn("metres", d).filter(F.col("metres") <= metres).drop("cy", "cx")
 

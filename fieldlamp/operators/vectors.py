@@ -1,16 +1,19 @@
 """Vectors: validation, exact and approximate nearest neighbours, truncation, pooling.
 
-Exact search is a block product: queries are a stated, bounded set that every task holds as a matrix; the collection
-streams by in Arrow batches and each task keeps its k best a query, so the shuffle carries k rows a query and task.
+Exact search multiplies blocks: the collection is dealt into buckets of about BUCKET_ROWS vectors, the queries into blocks of about
+BLOCK_QUERIES, and every bucket meets every block in a task of bounded size, which keeps its k best a query. Neither side
+reaches the driver, and the shuffle after it carries k rows a query and bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-QUERIES_MOST = 20_000
+BUCKET_ROWS, BLOCK_QUERIES = 20_000, 1_024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,28 +40,37 @@ def truncate(v: Column, dims: int) -> Column:
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v: str = "embedding") -> DataFrame:
-    """(qid, key, cos, rank) of the k nearest by cosine; queries (qid, v), QUERIES_MOST at most in one call."""
-    rows = queries.select("qid", F.col(v).alias("v")).limit(QUERIES_MOST + 1).collect()
-    if len(rows) > QUERIES_MOST:
-        raise ValueError(f"more than {QUERIES_MOST} queries; search them in blocks")
-    qids = np.array([r.qid for r in rows], np.int64)
-    q = np.array([r.v for r in rows], np.float64)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-
-    def best(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            m = np.array(batch.column(1).to_pylist(), np.float64)
-            length = np.linalg.norm(m, axis=1)
-            ids, m = batch.column(0).to_numpy(zero_copy_only=False)[length > 0], (m[length > 0].T / length[length > 0]).T
-            cos = np.round(q @ m.T, 6)
-            n = min(k, cos.shape[1])
-            edge = -np.partition(-cos, n - 1, axis=1)[:, n - 1 : n] if n else np.zeros((len(q), 1))
-            i, j = np.nonzero(cos >= edge)  # ties at the edge stay until keys decide
-            yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[j], pa.int64()), pa.array(cos[i, j])], ["qid", key, "cos"])
-
-    near = vectors.filter(F.col(v).isNotNull()).select(key, v).mapInArrow(best, f"qid long, {key} long, cos double")
+    """(qid, key, cos, rank) of the k nearest by cosine; queries (qid, v). Null and zero vectors are left out."""
+    spark = vectors.sparkSession
+    rows = vectors.filter(F.col(v).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(v).cast("array<double>").alias("v"))
+    asked = queries.filter(F.col(v).isNotNull()).select(F.col("qid").cast("long").alias("qid"), F.col(v).cast("array<double>").alias("v"))
+    n = rows.count()
+    buckets = max(1, math.ceil(n / BUCKET_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(n / 256)))
+    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    deal = lambda x, m: F.pmod(F.xxhash64(x), F.lit(m)).cast("int")
+    copies = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.withColumn("bucket", deal("key", buckets)).withColumn("block", copies(blocks))
+    right = asked.withColumn("block", deal("qid", blocks)).withColumn("bucket", copies(buckets))
+
+    def matrix(table: pa.Table, ids: str) -> tuple[np.ndarray, np.ndarray]:
+        m = np.array(table.column("v").to_pylist(), np.float64).reshape(table.num_rows, -1)
+        length = np.linalg.norm(m, axis=1)
+        return table.column(ids).to_numpy()[length > 0], m[length > 0] / length[length > 0, None]
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        none = pa.table({"qid": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "cos": pa.array([], pa.float64())})
+        if not a.num_rows or not b.num_rows:
+            return none
+        (ids, m), (qids, q) = matrix(a, "key"), matrix(b, "qid")
+        if not len(ids) or not len(qids):
+            return none
+        cos = np.round(q @ m.T, 6)
+        few = min(k, cos.shape[1])
+        edge = -np.partition(-cos, few - 1, axis=1)[:, few - 1 : few]
+        i, j = np.nonzero(cos >= edge)  # ties at the edge stay until keys decide
+        return pa.table({"qid": pa.array(qids[i]), key: pa.array(ids[j]), "cos": pa.array(cos[i, j])})
+
+    near = left.groupBy("bucket", "block").cogroup(right.groupBy("bucket", "block")).applyInArrow(best, f"qid long, {key} long, cos double")
     w = Window.partitionBy("qid").orderBy(F.desc("cos"), key)
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
@@ -86,6 +98,29 @@ def rerank(hits: DataFrame, vectors: DataFrame, query: str = "q", key: str = "do
     return got.withColumn("cos", F.when(known, F.round(dot(F.col(query), F.col("own")), 5))).drop("own")
 
 
+def pooled_vector(windows: Column, k: int) -> Column:
+    """The mean of the first k window vectors, at unit length."""
+    first = F.slice(windows, 1, k)
+    size = F.size(F.get(windows, F.lit(0)))
+    total = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(first, F.lit(0.0), lambda s, w: s + F.get(w, i).cast("double")))
+    return unit(total)
+
+
+def collection_problems(rows: DataFrame, before: int, key: str, text: str, least_chars: int = 200, most_shrink: float = 0.5) -> DataFrame:
+    """What stops the build of a collection: (problem, n). Repeated keys, or a collection that is much smaller than before; texts
+    that are too short for a vector are counted and only skipped."""
+    long_enough = F.char_length(F.coalesce(F.col(text), F.lit(""))) >= least_chars
+    by_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(long_enough.cast("long")).alias("kept"))
+    x = by_key.agg(
+        F.sum((F.col("n") > 1).cast("long")).alias("repeated"), F.sum(F.col("n") - F.col("kept")).alias("skipped"), F.sum("kept").alias("kept")
+    )
+    found = F.array(
+        F.struct(F.lit("repeated key").alias("problem"), F.coalesce("repeated", F.lit(0)).alias("n")), F.struct(F.lit("skipped").alias("problem"), F.coalesce("skipped", F.lit(0)).alias("n")),
+        F.struct(F.lit("shrunk").alias("problem"), F.when(F.coalesce("kept", F.lit(0)) < most_shrink * before, before - F.coalesce("kept", F.lit(0))).otherwise(F.lit(0).cast("long")).alias("n")),
+    )
+    return x.select(F.explode(found).alias("p")).select("p.*").filter("n > 0")
+
+
 def pooled(cosines: Column, k: int) -> Column:
     """Of a document's window scores: max, mean and the mean of the two best among the first k."""
     c = F.sort_array(F.slice(cosines, 1, k), asc=False)

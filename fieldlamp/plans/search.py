@@ -52,12 +52,15 @@ scored as (
   from hit h join dfs using (term) join q using (term), stat group by qid, h.doc_id)"""
 
 
+def terms_of(queries: DataFrame) -> DataFrame:
+    return queries.select(F.explode("terms").alias("term"))
+
+
 def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, postings, BM25 scores)."""
-    docs, q = table(spark, d, "documents"), batch(spark, d)
-    posts = written(S.postings(docs), "postings")
-    size = docs.select(F.size(T.all_tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
-    return q, posts, S.bm25(posts, q, size.n, size.a or 1.0)
+    """(queries, postings of their terms, BM25 scores). One pass over the documents."""
+    q = batch(spark, d)
+    posts = written(S.wanted_postings(table(spark, d, "documents"), terms_of(q)), "postings")
+    return q, posts, S.bm25(posts, q, *S.lengths(posts))
 
 
 @query("o20_tokens_distinct", f"with a as (select doc_id, {tok('text')} t from documents) select doc_id, array_to_string({DISTINCT.format('t')}, ' ') as tokens from a")
@@ -81,31 +84,33 @@ def content_terms_all(spark, d):
 
 @query("o23_boolean_and", f"with {BATCH}, {POSTS} select qid, doc_id from posts join q using (term) group by qid, doc_id, n_terms having count(distinct term) = n_terms")
 def boolean_and(spark, d):
-    return S.boolean(S.postings(table(spark, d, "documents")), batch(spark, d), "and")
+    q = batch(spark, d)
+    return S.boolean(S.wanted_postings(table(spark, d, "documents"), terms_of(q)), q, "and")
 
 
 @query("o23_boolean_or", f"with {BATCH}, {POSTS} select distinct qid, doc_id from posts join q using (term)")
 def boolean_or(spark, d):
-    return S.boolean(S.postings(table(spark, d, "documents")), batch(spark, d), "or")
+    q = batch(spark, d)
+    return S.boolean(S.wanted_postings(table(spark, d, "documents"), terms_of(q)), q, "or")
 
 
 @query("o24_prefix_match", f"with {BATCH}, {POSTS}, p as (select qid, left(min(term), 4) pre from q group by qid) select qid, doc_id, cast(sum(tf) as bigint) n from posts join p on starts_with(term, pre) group by qid, doc_id")
 def prefix_match(spark, d):
     p = batch(spark, d).select("qid", F.left(F.array_min("terms"), F.lit(4)).alias("prefix"))
-    return S.prefix(S.postings(table(spark, d, "documents")), p)
+    return S.prefix(S.prefix_postings(table(spark, d, "documents"), p), p)
 
 
 @query("o25_phrase_match", f"with p as (select item_id qid, {tok('text')} t from benchmark), pairs as (select qid, t[1] a, t[2] b from p where len(t) > 1), dt as (select doc_id, {tok('text')} t from documents), pos as (select doc_id, unnest(t) term, generate_subscripts(t, 1) pos from dt) select qid, x.doc_id, count(*) n from pos x join pairs on x.term = a join pos y on y.doc_id = x.doc_id and y.pos = x.pos + 1 and y.term = b group by all")
 def phrase_match(spark, d):
     t = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.all_tokens(F.col("text")).alias("t")).filter("size(t) > 1")
-    return S.phrase(S.positions(table(spark, d, "documents")), t.select("qid", F.posexplode(F.slice("t", 1, 2)).alias("ord", "term")))
+    return S.phrases_in(table(spark, d, "documents"), t.select("qid", F.posexplode(F.slice("t", 1, 2)).alias("ord", "term")))
 
 
 @query("o25_phrase_match_all", f"with p as (select item_id qid, {tok('text')} p from benchmark), dt as (select doc_id, {tok('text')} t from documents), pos as (select doc_id, t, unnest(generate_series(1, len(t))) s from dt) select qid, doc_id, count(*) n from pos join p on t[s] = p[1] where t[s:s + len(p) - 1] = p group by all")
 def phrase_match_all(spark, d):
     """Whole passages."""
     t = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(T.all_tokens(F.col("text"))).alias("ord", "term"))
-    return S.phrase(S.positions(table(spark, d, "documents")), t)
+    return S.phrases_in(table(spark, d, "documents"), t)
 
 
 @query("o55_bm25_topk", f"with {BATCH}, {POSTS}, {BM25} select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from scored qualify rank <= 10")
@@ -121,12 +126,9 @@ posts as (select doc_id, term, dl, sum(case when pos <= 8 then 5 else 1 end) tf
 
 @query("o55_bm25_weighted_fields", f"with {BATCH}, {WEIGHTED}, {BM25} select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) rank from scored qualify rank <= 10")
 def bm25_weighted(spark, d):
-    docs, q = table(spark, d, "documents"), batch(spark, d)
-    t = docs.select("doc_id", T.all_tokens(F.col("text")).alias("t"))
-    rows = t.select("doc_id", F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    posts = rows.groupBy("doc_id", "term", "dl").agg(F.sum(F.when(F.col("pos") < 8, 5).otherwise(1)).alias("tf"))
-    size = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("a")).first()
-    return S.top(S.bm25(posts, q, size.n, size.a or 1.0), 10)
+    q = batch(spark, d)
+    posts = written(S.wanted_postings(table(spark, d, "documents"), terms_of(q), title_words=8, title_weight=5), "postings")
+    return S.top(S.bm25(posts, q, *S.lengths(posts)), 10)
 
 
 @query("o56_and_then_or", f"""with {BATCH}, {POSTS}, {BM25},
@@ -298,27 +300,7 @@ select qid, cast(ord as bigint) ord, g from e where ord > 0""")
 def expand_groups(spark, d):
     q = spark.sql("select * from values (1, array('power', 'cut', 'water')), (2, array('water', 'power', 'cut', 'cut')), (3, array('heart', 'power')) v(qid, terms)")
     phrases = {("power", "cut"): ["power cut", "blackout", "outage"]}
-    return R_expand(q, phrases, {"water": ["drinking"]}).select("qid", F.posexplode("groups").alias("i", "x")).select("qid", (F.col("i") + 1).cast("long").alias("ord"), F.array_join("x", "|").alias("g"))
-
-
-def R_expand(queries: DataFrame, phrases: dict[tuple[str, str], list[str]], synonyms: dict[str, list[str]]) -> DataFrame:
-    """queries with groups of alternatives: from the left, a known pair of neighbours is one group, any other term
-    stands first among its synonyms. The dictionaries are small written ones."""
-    lit = lambda xs: F.array(*map(F.lit, xs))
-    pair = F.create_map(*[y for (a, b), v in phrases.items() for y in (F.lit(f"{a} {b}"), lit(v))])
-    more = F.create_map(*[y for k, v in synonyms.items() for y in (F.lit(k), lit(v))])
-    t = F.col("terms")
-    init = F.struct(F.lit(False).alias("skip"), F.array().cast("array<array<string>>").alias("groups"))
-
-    def step(acc, i):
-        both = F.concat_ws(" ", F.get(t, i), F.get(t, i + 1))
-        found = F.try_element_at(pair, both)
-        own = F.concat(F.array(F.get(t, i)), F.coalesce(F.try_element_at(more, F.get(t, i)), F.array().cast("array<string>")))
-        return F.when(acc["skip"], F.struct(F.lit(False).alias("skip"), acc["groups"].alias("groups"))).otherwise(
-            F.struct(found.isNotNull().alias("skip"), F.concat(acc["groups"], F.array(F.coalesce(found, own))).alias("groups"))
-        )
-
-    return queries.withColumn("groups", F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), init, step)["groups"])
+    return T.expand(q, phrases, {"water": ["drinking"]}).select("qid", F.posexplode("groups").alias("i", "x")).select("qid", (F.col("i") + 1).cast("long").alias("ord"), F.array_join("x", "|").alias("g"))
 
 
 @query("o64_norm_title", r"""select n_nationkey, trim(regexp_replace(lower(regexp_replace(n_name || '  - NHS ', '(?i)\s*[-–—]\s*NHS\s*$', '')), '\s+', ' ', 'g')) title from nation""")

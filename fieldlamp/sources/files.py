@@ -4,6 +4,7 @@ returns a DataFrame with a declared schema; malformed rows are dropped or listed
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 
@@ -66,12 +67,49 @@ def open_catalogue(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON sequences (a record separator may begin a line) or of whole collections: id, type, coords, props."""
+    """Features of GeoJSON sequences, one a line (a record separator may begin it): id, type, coordinates, props."""
     one = F.from_json(F.regexp_replace("value", "^\x1e", ""), GEOJSON)
     lines = spark.read.text(path).select(one.alias("f")).filter("f.geometry is not null and f.type = 'Feature'")
     return lines.select("f.id", F.col("f.geometry.type").alias("geom_type"), "f.geometry.coordinates", F.col("f.properties").alias("props"))
 
 
+def feature_collections(spark: SparkSession, path: str) -> DataFrame:
+    """Features of whole GeoJSON collections, each file one collection; files may break lines anywhere."""
+    whole = spark.read.option("multiLine", True).schema(f"type string, features array<{GEOJSON}>").json(path)
+    one = whole.filter("type = 'FeatureCollection'").select(F.explode("features").alias("f")).filter("f.geometry is not null and f.type = 'Feature'")
+    return one.select("f.id", F.col("f.geometry.type").alias("geom_type"), "f.geometry.coordinates", F.col("f.properties").alias("props"))
+
+
+def rules(spark: SparkSession, path: str) -> DataFrame:
+    """(file, entry, value): the entries of small YAML files of rules, kits or places, as JSON. JSON is YAML too, so files of
+    JSON need no parser; others need the yaml package."""
+    rows = []
+    for r in spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").orderBy("file").collect():
+        try:
+            whole = json.loads(r.value)
+        except ValueError:
+            import yaml
+
+            whole = yaml.safe_load(r.value)
+        rows += [(r.file, str(k), json.dumps(v, sort_keys=True)) for k, v in (whole.items() if isinstance(whole, dict) else enumerate(whole or []))]
+    return spark.createDataFrame(rows, "file string, entry string, value string")
+
+
+def unchanged(spark: SparkSession, path: str, signature: str | None) -> tuple[bool, str]:
+    """Whether files have the signature (names, sizes and times) of an earlier load, and their signature now."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    now = files.agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(":", "path", "length", "at")))), 256)).first()[0]
+    return now == signature, now
+
+
+def write_json(df: DataFrame, path: str, most_bytes: int | None = None, text: str | None = None) -> None:
+    """Rows as JSON lines. With most_bytes, a text that makes its row longer is cut to what is left for it."""
+    if most_bytes:
+        rest = F.octet_length(F.to_json(F.struct(*[c for c in df.columns if c != text])))
+        df = df.withColumn(text, F.left(text, F.greatest(F.lit(0), F.lit(most_bytes) - rest)))
+    df.write.mode("overwrite").json(path)
+
+
 def representative_point(geom_type: Column, coordinates: Column) -> Column:
     """A point itself, or the mean of a polygon's outer vertices, as (lat, lon)."""
     point = F.from_json(coordinates, "array<double>")
@@ -104,7 +142,7 @@ def text_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, meta, body): the front matter between --- lines as a map of its plain keys, and what follows."""
-    x = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     front = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1)
     pairs = F.transform(F.filter(F.split(front, "\r?\n"), lambda s: s.rlike(r"^[\w-]+:")), lambda s: F.struct(F.regexp_extract(s, r"^([\w-]+):", 1).alias("k"), F.trim(F.regexp_replace(s, r"^[\w-]+:\s*", "")).alias("v")))
     return x.select("file", F.map_from_entries(pairs).alias("meta"), F.regexp_replace("value", r"(?s)\A---\r?\n.*?\r?\n---\r?\n", "").alias("body"))
@@ -121,7 +159,11 @@ def epub_texts(spark: SparkSession, path: str) -> DataFrame:
                     opf = re.search(r'full-path="([^"]+)"', container)[1]
                     text = z.read(opf).decode("utf-8", "replace")
                     base = opf.rpartition("/")[0]
-                    hrefs = {i: h for tag in re.findall(r"<item\b[^>]*>", text) if (i := re.search(r'\bid="([^"]+)"', tag)) and (h := re.search(r'\bhref="([^"]+)"', tag)) for i, h in [(i[1], h[1])]}
+                    hrefs = {}
+                    for tag in re.findall(r"<item\b[^>]*>", text):
+                        name_of, place = re.search(r'\bid="([^"]+)"', tag), re.search(r'\bhref="([^"]+)"', tag)
+                        if name_of and place:
+                            hrefs[name_of[1]] = place[1]
                     docs = [hrefs[i] for i in re.findall(r'<itemref\b[^>]*\bidref="([^"]+)"', text) if i in hrefs]
                     pages = [z.read(f"{base}/{d}" if base else d).decode("utf-8", "replace") for d in docs]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(pages)), pa.array(range(len(pages)), pa.int32()), pa.array(pages, pa.string())], ["file", "pos", "html"])
@@ -139,11 +181,11 @@ def publish(df: DataFrame, root: str, generation: str, keep: int = 2) -> str:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
     fs = Path(root).getFileSystem(conf)
-    staged = Path(f"{root.rstrip('/')}/_current.new")
+    staged = Path(f"{root.rstrip('/')}/CURRENT.new")
     out = fs.create(staged, True)
     out.write(bytearray(generation.encode()))
     out.close()
-    current = Path(f"{root.rstrip('/')}/_current")
+    current = Path(f"{root.rstrip('/')}/CURRENT")
     fs.delete(current, False)
     fs.rename(staged, current)
     names = sorted((s.getPath().getName() for s in fs.listStatus(Path(root)) if s.getPath().getName().startswith("gen=")), reverse=True)
@@ -153,5 +195,5 @@ def publish(df: DataFrame, root: str, generation: str, keep: int = 2) -> str:
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    generation = spark.read.text(f"{root.rstrip('/')}/_current").first()[0]
+    generation = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
     return spark.read.parquet(f"{root.rstrip('/')}/gen={generation}")

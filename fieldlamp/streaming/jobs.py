@@ -10,10 +10,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..session import new_path
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, with event time ``at``."""
+def events(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+    """The events table as a stream, with event time ``at``; each event ``copies`` times."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    return rows if copies == 1 else rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
 
 
 def drained(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -25,7 +26,8 @@ def drained(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 
 def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
-    """Sessions by user; a session is written once the watermark passes its end."""
+    """Sessions by user; a session is written once the watermark passes its end, so the sessions that are open when the
+    stream stops come with the next run and not with this one."""
     w = stream.withWatermark("at", late).groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return w.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 

@@ -13,3 +13,4 @@ def test_phrases_of_any_length(spark):
             n = sum(t.split()[i : i + n] == p.split() for i in range(len(t.split())))
             want |= {(q, d): n} if n else {}
     assert {(r.qid, r.doc_id): r.n for r in S.phrase(S.positions(texts), terms).collect()} == want
+    assert {(r.qid, r.doc_id): r.n for r in S.phrases_in(texts, terms).collect()} == want
