@@ -3,7 +3,8 @@
 Tokens are runs of letters, lower-cased, wherever they stand in a word; a run longer than ``LONGEST`` is several tokens.
 Every prefix of 3 letters or more, and the whole token, is a feature. A feature's count is that of the documents that hold
 its tokens (a word that one document repeats is one observation), summed over its tokens; log-odds of the features
-between toxic and clean labelled documents have a Dirichlet prior proportional to the whole corpus. A feature counts as
+between toxic and clean labelled documents have a Dirichlet prior proportional to the whole corpus, which weighs
+``PRIOR_SHARE`` of the observations. A feature counts as
 evidence if the log-odds less ``deviations`` standard deviations stays above ``least_weight``; as the deviation falls with
 the counts, few labels keep the features that are clearest. A token weighs what its best feature does, every other token
 a small loss (the log-odds of a token that is no evidence). The maximal scoring segments of a document, all of them, come
@@ -40,6 +41,7 @@ from pyspark.sql.types import StructType
 from .common import bounded, small_batches, staged, unstage, words_of_batch
 
 SAMPLE, LEXICON_MOST = 150_000, 200_000
+PRIOR_SHARE = 0.05  # of the observations, so that a larger table is learnt from alike
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
@@ -136,7 +138,7 @@ def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return staged(rows.orderBy(F.xxhash64("known"), "known").limit(sample), "training-rows")
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_weight: float = 2.0, prior: float = 2000.0, deviations: float = 1.0, lexicon_most: int = LEXICON_MOST) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_weight: float = 2.0, prior: float | None = None, deviations: float = 1.0, lexicon_most: int = LEXICON_MOST) -> Model:
     bounded(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = training_rows(labels, sample)
@@ -154,6 +156,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     total = counts.filter("feature = ''").first()
     if not total or not total.toxic or not total.clean:
         return Model({}, 0.0)
+    prior = prior or PRIOR_SHARE * (total.toxic + total.clean)
     a = F.col("n") * F.lit(prior / total.n)
     odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
     sd = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
