@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ SETTINGS = {
 }
 ROOT, BATCH, CLEANUP = "spark.checkpoint.dir", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = 8 << 20
+INNER: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -48,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{INNER.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, path: str, block_bytes: int = 16 << 20) -> None:
@@ -86,11 +88,10 @@ def unstage(*frames: DataFrame) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Everything staged inside goes to one folder, which is deleted at the end."""
-    root = shared_dir(spark)
-    inner = f"{root}/scratch-{uuid.uuid4().hex}"
-    spark.conf.set(ROOT, inner)
+    inner = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = INNER.set(inner)
     try:
         yield
     finally:
-        spark.conf.set(ROOT, root)
+        INNER.reset(before)
         remove_path(spark, inner)
