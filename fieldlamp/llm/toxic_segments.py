@@ -13,7 +13,7 @@ n * exp(-S) segments of score S are expected in n tokens of clean text; the segm
 log of the sum of exp(S) / n, and a logistic function of it, fitted on a histogram of all training documents, gives the
 score.
 
-Passes: the toxic training documents give the candidates (features of two of them or more); one pass over all documents counts
+Passes: the toxic training documents give the candidates (features of ``LEAST_SHARE`` of them, two at least); one pass over all documents counts
 these and only these, so what is shuffled is their counts; labelled documents give the loss and the histogram; the last
 pass scores. The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels
 of the test tables), which are broadcast up to ``BROADCAST_MOST`` rows; the counts behind the prior cover every document.
@@ -42,6 +42,7 @@ from .common import bounded, small_batches, staged, unstage, words_of_batch
 
 SAMPLE, LEXICON_MOST = 150_000, 200_000
 PRIOR_SHARE = 0.05  # of the observations, so that a larger table is learnt from alike
+LEAST_SHARE = 0.005  # of the toxic documents, two at least, has to hold a feature
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
@@ -98,17 +99,24 @@ def _held(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
 COUNTED = "feature string, n long, toxic long, clean long"
 
 
+def heads_of(features) -> frozenset[str]:
+    """What tokens that have one of the features begin with."""
+    return frozenset(f.removesuffix("_")[:SHORTEST] for f in features)
+
+
 def _counts(wanted: set[str] | None):
     """Documents by feature, among all, toxic and clean ones; the feature "" has the sums over all tokens. With wanted, only of
     these features."""
 
+    heads = heads_of(wanted or ())
+
     def run(batches):
         for piece in small_batches(batches, "text"):
             of, codes, tokens = _held(piece)
             label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
             n = np.stack([np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]) if tokens else np.zeros((3, 0), np.int64)
             found: dict[str, int] = {"": 0}
-            pairs = [(found.setdefault(f, len(found)), i) for i, t in enumerate(tokens) for f in features_of(t) if wanted is None or f in wanted]
+            pairs = [(found.setdefault(f, len(found)), i) for i, t in enumerate(tokens) if wanted is None or t[:SHORTEST] in heads for f in features_of(t) if wanted is None or f in wanted]
             at, of_token = np.array(pairs, np.int64).reshape(-1, 2).T
             sums = [np.bincount(at, weights=x[of_token], minlength=len(found)).astype(np.int64) for x in n]
             for x, total in zip(sums, n.sum(1)):
@@ -120,11 +128,12 @@ def _counts(wanted: set[str] | None):
 
 def _evident(weights: dict[str, float]):
     """Documents' tokens that are evidence, by label."""
+    heads = heads_of(weights)
 
     def run(batches):
         for piece in small_batches(batches, "text"):
             of, codes, tokens = _held(piece)
-            known = np.array([any(f in weights for f in features_of(t)) for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
+            known = np.array([t[:SHORTEST] in heads and any(f in weights for f in features_of(t)) for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
             label = piece.column("label").to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([int((known & (label == y)).sum()) for y in (1, 0)])], ["label", "n"])
 
@@ -145,7 +154,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     near = F.broadcast(known) if sample <= BROADCAST_MOST else known
     labelled = texts.join(near, texts["doc_id"] == near["known"]).select("text", "label")
     add = lambda rows, wanted: rows.mapInArrow(_counts(wanted), COUNTED).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
-    candidates = staged(add(labelled.filter("label = 1"), None).filter("toxic > 1").select("feature"), "toxic-features")
+    least_docs = max(2, math.ceil(LEAST_SHARE * known.filter("label = 1").count()))
+    candidates = staged(add(labelled.filter("label = 1"), None).filter(F.col("toxic") >= least_docs).select("feature"), "toxic-features")
     marked = texts.join(near, texts["doc_id"] == near["known"], "left").select("text", "label")
     size = candidates.count()
     if size <= lexicon_most:
@@ -161,7 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
     sd = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     weight = odds("toxic", total.toxic) - odds("clean", total.clean) - deviations * sd
-    evidence = counts.filter("feature <> '' and toxic > 1").withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
+    evidence = counts.filter((F.col("feature") != "") & (F.col("toxic") >= least_docs)).withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
     evidence = staged(evidence, "evidence")
     unstage(counts)
     size = evidence.count()
@@ -251,10 +261,12 @@ def _rows(found: list[list[tuple[int, int, float]]], sizes, words) -> list[pa.Ar
 
 
 def _scan(weights: dict[str, float], loss: float):
+    heads = heads_of(weights)
+
     def run(batches):
         for piece in small_batches(batches, "text"):
             begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
-            best = [max((weights[f] for f in features_of(t) if f in weights), default=0.0) for t in tokens]
+            best = [max((weights[f] for f in features_of(t) if f in weights), default=0.0) if t[:SHORTEST] in heads else 0.0 for t in tokens]
             w = np.array(best)[codes] if len(codes) else np.zeros(0)
             hits = np.flatnonzero(w)
             cut = np.searchsorted(hits, begin)
