@@ -16,8 +16,10 @@ cost a pair a member. If x is not linked with its hub, it may still be linked wi
 from the hub then have to share elements: x and y differ in |dx| + |dy| - 2 |dx & dy| elements, which is too many if dx
 and dy are disjoint, as dx alone is too many. So differences are joined on the rarest elements of dx and dy (as many as
 the threshold asks for) and compared exactly; no link between different texts is lost, and no pair is formed that shares
-nothing beyond its hub. Where a hub's members fit one part, a failed member whose elements in the hub and elements outside it
-that any other member has are together too few for a link is done with at once; differences are kept only if others are left.
+nothing beyond its hub. Where a hub's members fit one part, its failed members are settled there: what x and y share is at most
+what each shares with the hub and what they share outside it, which an index of that part counts; pairs that this leaves and
+that are not connected yet are compared exactly. Only for hubs of several parts, and parts in which this would take more than
+``WORK`` steps, are differences kept and joined.
 
 Skew: a key held by a third of all rows sends one entry a piece of text. Verification gathers a first member
 with parts of its partners of about ``CHUNK`` shingles. Components come from labels that take the smallest neighbour
@@ -47,6 +49,7 @@ from .common import bounded, compact, mix64, small_batches, staged, unstage, wor
 CHUNK = 100_000
 REST_BITS = 40
 OWNERS = 1 << 16
+WORK = 20_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -246,18 +249,52 @@ def _local(batches):
 TRIED = "hub long, rep long, n long, linked boolean, delta array<long>"
 
 
-def _done_with(hub: np.ndarray, sets: list[np.ndarray], linked: list[bool], percent: int) -> list[bool]:
-    """Which members of a hub need no further look, as they can't link with another member, or all links are known. A failed member
-    shares with another at most what it shares with the hub and what of the rest any other member has."""
+def _settle(hub: np.ndarray, sets: list[np.ndarray], linked: list[bool], percent: int) -> tuple[bool, list[tuple[int, int]]]:
+    """Whether the failed members of a hub are settled, and links among members that connect all that is connected."""
     failed = [i for i, x in enumerate(linked) if not x]
-    if len(sets) < 2 or not failed:
-        return [True] * len(sets)
+    n = len(sets)
+    if n < 2 or not failed:
+        return True, []
+    if len(failed) * n > WORK:
+        return False, []
+    size = np.array([len(s) for s in sets])
     outside = [np.setdiff1d(s, hub, assume_unique=True) for s in sets]
-    elements, holders = np.unique(np.concatenate(outside), return_counts=True)
-    held = elements[holders > 1]
-    most = {i: len(sets[i]) - len(outside[i]) + len(np.intersect1d(outside[i], held, assume_unique=True)) for i in failed}
-    open_ = {i for i, n in most.items() if 100 * n >= percent * len(sets[i])}
-    return [not open_ or (not x and i not in open_) for i, x in enumerate(linked)]
+    inside = size - np.array([len(s) for s in outside])
+    elements, holders = np.concatenate(outside), np.repeat(np.arange(n), [len(s) for s in outside])
+    order = np.argsort(elements, kind="stable")
+    elements, holders = elements[order], holders[order]
+    starts = np.flatnonzero(np.diff(elements, prepend=elements[:1] ^ np.uint64(1))) if len(elements) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(starts, len(elements)))
+    distinct = elements[starts]
+    parent = [n if x else i for i, x in enumerate(linked)] + [n]  # the last is the hub
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    work, links = 0, []
+    for x in failed:
+        at = np.searchsorted(distinct, outside[x])
+        work += int(runs[at].sum()) + n
+        if work > WORK:
+            return False, []
+        own = holders[np.repeat(starts[at] - (np.cumsum(runs[at]) - runs[at]), runs[at]) + np.arange(int(runs[at].sum()))]
+        most = np.minimum(inside[x], inside) + np.bincount(own, minlength=n)
+        able = (100 + percent) * most >= percent * (size[x] + size)
+        able[x] = False
+        able &= 100 * np.minimum(size[x], size) >= percent * np.maximum(size[x], size)
+        for y in sorted(np.flatnonzero(able).tolist(), key=lambda y: -most[y]):
+            if find(x) == find(y):
+                continue
+            work += int(size[x] + size[y])
+            if work > WORK:
+                return False, []
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (size[x] + size[y] - both):
+                links.append((x, y))
+                parent[find(x)] = find(y)
+    return True, links
 
 
 def _verify(width: int, percent: int):
@@ -269,15 +306,13 @@ def _verify(width: int, percent: int):
         hub = group[0].as_py()
         by_class = dict(zip(table.column("rep").to_pylist(), sets))
         own = by_class.pop(hub, np.zeros(0, np.uint64))
-        rows = []
-        for rep, s in by_class.items():
-            delta = np.setxor1d(own, s, assume_unique=True)
-            both = (len(own) + len(s) - len(delta)) // 2
-            rows.append((hub, rep, len(s), 100 * both >= percent * (both + len(delta)), delta.astype(np.int64)))
+        reps, members = list(by_class), list(by_class.values())
+        both = [len(np.intersect1d(own, s, assume_unique=True)) for s in members]
+        linked = [100 * k >= percent * (len(own) + len(s) - k) for k, s in zip(both, members)]
         alone = table.num_rows > 0 and table.column("parts")[0].as_py() == 1
-        if alone:
-            gone = _done_with(own, list(by_class.values()), [r[3] for r in rows], percent)
-            rows = [(*r[:4], None if x else r[4]) for r, x in zip(rows, gone)]
+        settled, links = _settle(own, members, linked, percent) if alone else (False, [])
+        rows = [(hub, r, len(s), x, None if settled else np.setxor1d(own, s, assume_unique=True).astype(np.int64)) for r, s, x in zip(reps, members, linked)]
+        rows += [(reps[j], reps[i], len(members[i]), True, None) for i, j in links]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], [], [], []), schema)], schema=schema)
 
     return run
@@ -285,7 +320,7 @@ def _verify(width: int, percent: int):
 
 def verified(texts: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (hub, rep) of classes with the size of rep's set, whether they are linked, and the elements that only one of
-    them has (null where no member of the hub failed, or it has no other). texts: (doc_id, h, text), one row a pair of these."""
+    them has (null where the hub's members are settled; links among its members come as pairs of their own). texts: (doc_id, h, text), one row a pair of these."""
     sized = pairs.join(classes.select("rep", "n"), "rep")
     parts = sized.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("parts"))
     members = sized.join(parts, "hub").select("hub", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep")
