@@ -13,8 +13,9 @@ n * exp(-S) segments of score S are expected in n tokens of clean text; the segm
 log of the sum of exp(S) / n, and a logistic function of it, fitted on a histogram of all training documents, gives the
 score.
 
-Passes: the toxic training documents give the candidates (features of ``LEAST_SHARE`` of them, two at least); one pass over all documents counts
-these and only these, so what is shuffled is their counts; labelled documents give the loss and the histogram; the last
+Passes: the toxic training documents give the candidates (features of ``LEAST_SHARE`` of them, two at least); the labelled
+ones leave those that could be evidence whatever their share of the corpus; one pass over all documents counts these and
+only these, so what is shuffled is their counts; labelled documents give the loss and the histogram; the last
 pass scores. The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels
 of the test tables), which are broadcast up to ``BROADCAST_MOST`` rows; the counts behind the prior cover every document.
 Candidates and evidence of up to ``LEXICON_MOST`` features go to the executors as a dictionary; beyond that, features meet
@@ -156,24 +157,28 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     add = lambda rows, wanted: rows.mapInArrow(_counts(wanted), COUNTED).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
     least_docs = max(2, math.ceil(LEAST_SHARE * known.filter("label = 1").count()))
     candidates = staged(add(labelled.filter("label = 1"), None).filter(F.col("toxic") >= least_docs).select("feature"), "toxic-features")
-    marked = texts.join(near, texts["doc_id"] == near["known"], "left").select("text", "label")
-    size = candidates.count()
-    if size <= lexicon_most:
-        counts = staged(add(marked, {r.feature for r in candidates.collect()}), "feature-counts")
-    else:
-        counts = staged(add(marked, None).join(candidates, "feature", "left_semi"), "feature-counts")
+    seen = staged(_only(add, labelled, candidates, lexicon_most), "labelled-counts")
     unstage(candidates)
-    total = counts.filter("feature = ''").first()
+    total = seen.filter("feature = ''").first()
     if not total or not total.toxic or not total.clean:
         return Model({}, 0.0)
     prior = prior or PRIOR_SHARE * (total.toxic + total.clean)
-    a = F.col("n") * F.lit(prior / total.n)
-    odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
-    sd = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    weight = odds("toxic", total.toxic) - odds("clean", total.clean) - deviations * sd
-    evidence = counts.filter((F.col("feature") != "") & (F.col("toxic") >= least_docs)).withColumn("weight", weight).filter(F.col("weight") >= least_weight).select("feature", "weight")
+
+    def weight(a: Column) -> Column:
+        odds = lambda y, t: F.log((F.col(y) + a) / (F.lit(float(t + prior)) - F.col(y) - a))
+        return odds("toxic", total.toxic) - odds("clean", total.clean) - deviations * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
+
+    # whatever its share of the corpus, a feature weighs no more than this; steps of a twentieth change less than the margin
+    shares = [x for x in np.exp(np.arange(-9, math.log(prior), 0.05)).tolist() if x < prior] or [prior / 2]
+    most = F.array_max(F.transform(F.array(*map(F.lit, shares)), weight))
+    able = staged(seen.filter((F.col("feature") != "") & (F.col("toxic") >= least_docs)).filter(most + 0.1 >= least_weight), "able-features")
+    unstage(seen)
+    everywhere = texts.select("text", F.lit(None).cast("int").alias("label"))
+    counts = staged(_only(add, everywhere, able.select("feature"), lexicon_most).select("feature", "n"), "feature-counts")
+    n = counts.filter("feature = ''").first()["n"]
+    evidence = able.drop("n").join(counts, "feature").withColumn("weight", weight(F.col("n") * F.lit(prior / n))).filter(F.col("weight") >= least_weight).select("feature", "weight")
     evidence = staged(evidence, "evidence")
-    unstage(counts)
+    unstage(counts, able)
     size = evidence.count()
     if not size:
         return Model({}, 0.0)
@@ -205,6 +210,14 @@ def exploded(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("feature", F.expr("concat(left(token, k), case when char_length(token) > k then '_' else '' end)")).drop("k")
 
 
+def _only(add, rows: DataFrame, features: DataFrame, lexicon_most: int) -> DataFrame:
+    """Counts of these features and of all tokens together."""
+    if features.count() <= lexicon_most:
+        return add(rows, {r.feature for r in features.collect()})
+    wanted = features.unionByName(features.sparkSession.createDataFrame([("",)], "feature string"))
+    return add(rows, None).join(wanted, "feature", "left_semi")
+
+
 def logistic(bins: list[tuple[float, int, int]], ridge: float = 1e-2) -> tuple[float, float]:
     """Slope and shift of a logistic function by Newton's method on (x, rows, toxic rows)."""
     x, n, y = (np.array(c, float) for c in zip(*bins))
