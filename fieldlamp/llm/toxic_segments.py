@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,7 +118,13 @@ def _counts(wanted: set[str] | None):
             label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
             n = np.stack([np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]) if tokens else np.zeros((3, 0), np.int64)
             found: dict[str, int] = {"": 0}
-            pairs = [(found.setdefault(f, len(found)), i) for i, t in enumerate(tokens) if wanted is None or t[:SHORTEST] in heads for f in features_of(t) if wanted is None or f in wanted]
+            pairs = array("q")  # feature, token
+            for i, t in enumerate(tokens):
+                if wanted is None or t[:SHORTEST] in heads:
+                    for f in features_of(t):
+                        if wanted is None or f in wanted:
+                            pairs.append(found.setdefault(f, len(found)))
+                            pairs.append(i)
             at, of_token = np.array(pairs, np.int64).reshape(-1, 2).T
             sums = [np.bincount(at, weights=x[of_token], minlength=len(found)).astype(np.int64) for x in n]
             for x, total in zip(sums, n.sum(1)):
