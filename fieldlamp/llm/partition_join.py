@@ -46,10 +46,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded, compact, mix64, small_batches, staged, unstage, words_of_batch
 
-CHUNK = 100_000
+CHUNK = 1_000_000
 REST_BITS = 40
 OWNERS = 1 << 16
-WORK = 20_000_000
+WORK = 100_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
