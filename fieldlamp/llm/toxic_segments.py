@@ -101,16 +101,31 @@ def _held(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
 COUNTED = "feature string, n long, toxic long, clean long"
 
 
-def heads_of(features) -> frozenset[str]:
-    """What tokens that have one of the features begin with."""
-    return frozenset(f.removesuffix("_")[:SHORTEST] for f in features)
+def stems_of(features) -> frozenset[str]:
+    """All beginnings of the features, so that a token is left as soon as none can follow."""
+    bases = [f.removesuffix("_") for f in features]
+    return frozenset(x[:k] for x in bases for k in range(SHORTEST, len(x) + 1))
+
+
+def features_in(token: str, wanted, stems: frozenset[str]) -> list[str]:
+    """Those of a token's features that are wanted."""
+    out = []
+    for k in range(SHORTEST, len(token)):
+        begin = token[:k]
+        if begin not in stems:
+            return out
+        if begin + "_" in wanted:
+            out.append(begin + "_")
+    if token in wanted and token:
+        out.append(token)
+    return out
 
 
 def _counts(wanted: set[str] | None):
     """Documents by feature, among all, toxic and clean ones; the feature "" has the sums over all tokens. With wanted, only of
     these features."""
 
-    heads = heads_of(wanted or ())
+    stems = stems_of(wanted or ())
 
     def run(batches):
         for piece in small_batches(batches, "text"):
@@ -120,11 +135,9 @@ def _counts(wanted: set[str] | None):
             found: dict[str, int] = {"": 0}
             pairs = array("q")  # feature, token
             for i, t in enumerate(tokens):
-                if wanted is None or t[:SHORTEST] in heads:
-                    for f in features_of(t):
-                        if wanted is None or f in wanted:
-                            pairs.append(found.setdefault(f, len(found)))
-                            pairs.append(i)
+                for f in features_of(t) if wanted is None else features_in(t, wanted, stems):
+                    pairs.append(found.setdefault(f, len(found)))
+                    pairs.append(i)
             at, of_token = np.array(pairs, np.int64).reshape(-1, 2).T
             sums = [np.bincount(at, weights=x[of_token], minlength=len(found)).astype(np.int64) for x in n]
             for x, total in zip(sums, n.sum(1)):
@@ -136,12 +149,12 @@ def _counts(wanted: set[str] | None):
 
 def _evident(weights: dict[str, float]):
     """Documents' tokens that are evidence, by label."""
-    heads = heads_of(weights)
+    stems = stems_of(weights)
 
     def run(batches):
         for piece in small_batches(batches, "text"):
             of, codes, tokens = _held(piece)
-            known = np.array([t[:SHORTEST] in heads and any(f in weights for f in features_of(t)) for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
+            known = np.array([bool(features_in(t, weights, stems)) for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
             label = piece.column("label").to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([int((known & (label == y)).sum()) for y in (1, 0)])], ["label", "n"])
 
@@ -281,12 +294,12 @@ def _rows(found: list[list[tuple[int, int, float]]], sizes, words) -> list[pa.Ar
 
 
 def _scan(weights: dict[str, float], loss: float):
-    heads = heads_of(weights)
+    stems = stems_of(weights)
 
     def run(batches):
         for piece in small_batches(batches, "text"):
             begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
-            best = [max((weights[f] for f in features_of(t) if f in weights), default=0.0) if t[:SHORTEST] in heads else 0.0 for t in tokens]
+            best = [max(map(weights.__getitem__, features_in(t, weights, stems)), default=0.0) for t in tokens]
             w = np.array(best)[codes] if len(codes) else np.zeros(0)
             hits = np.flatnonzero(w)
             cut = np.searchsorted(hits, begin)
