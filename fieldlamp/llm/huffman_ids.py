@@ -37,7 +37,7 @@ KNOWN_MOST = 300_000  # words that a worker remembers before it starts anew; no
 HEAD = 64
 #: The parts of a tokenizer's definition that make words independent.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-NORMAL = ("NFC", "Replace", "Lowercase")
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PLAIN = r"^(?P<a>[A-Za-z]+)(?P<b>[.,;:!?]*)$"
 
 
@@ -47,7 +47,7 @@ def way_of(path: str) -> str:
         d = json.load(f)
     steps = lambda x, key: (x or {}).get(key, [x] if x else [])
     normal, split = steps(d.get("normalizer"), "normalizers"), steps(d.get("pre_tokenizer"), "pretokenizers")
-    same = tuple(x["type"] for x in normal) == NORMAL and len(split) == 2 and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"]
+    same = normal == NORMAL and len(split) == 2 and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"]
     same = same and split[0]["type"] == "Split" and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
     own = any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in d.get("added_tokens", []))
     return "letters" if same and not own else "texts"
@@ -116,7 +116,6 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _by_words(own: WordEncoder, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, one after the other, and where each ends."""
     begin, words = words_of_batch(texts)
     of = own.entries(words.dictionary)
     ends = 2 * begin[1:] + np.arange(1, len(begin))  # each word's two entries, and each document's end
@@ -131,12 +130,16 @@ def _by_texts(own: WordEncoder, texts: pa.Array, kind: str) -> tuple[np.ndarray,
     return np.fromiter(chain.from_iterable(ids), kind, sum(map(len, ids))), np.cumsum([len(x) for x in ids])
 
 
+def ids_of(own: WordEncoder, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with its end id, one after the other, and where each ends."""
+    return (_by_words if own.way == "letters" else _by_texts)(own, texts, kind)
+
+
 def _encode(tokenizer: str, end_id: int, kind: str):
     def run(batches):
         own = encoder(tokenizer, end_id)
-        encode = _by_words if own.way == "letters" else _by_texts
         for piece in small_batches(batches, "text", 4 << 20):
-            tokens, ends = encode(own, piece.column("text"), kind)
+            tokens, ends = ids_of(own, piece.column("text"), kind)
             cut = np.concatenate([[0], ends]) * tokens.itemsize
             data = tokens.tobytes()
             yield pa.RecordBatch.from_arrays(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, html_extract, huffman_ids, line_frequency, mixing, partition_join, spaced_seed, toxic_segments, trie_unigram, warc
+from . import chat_format, html_extract, huffman_ids, line_frequency, mixing, packing, partition_join, resampling, spaced_seed, spelling, toxic_segments, trie_unigram, warc
 from .common import new_path, staged, table
 
 
@@ -74,11 +74,26 @@ def op10_trie_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_unigram.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=0, most=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_frequency, op2_tag_path_ratio, op3_temperature_mixing, op4_huffman_ids, op5_chat_format, op6_toxic_segments,
         op7_ngram_join, op8_spaced_seeds, op9_warc_revisits, op10_trie_unigram,
+        op11_spelling_variants, op12_importance_resampling, op13_sum_of_squares_packing,
     )
 }
 
