@@ -1,5 +1,5 @@
 """Chat formatting as relational expressions: sort the collected turns, merge neighbours of one role by array
-aggregation, concatenate; every step is a Spark expression.
+aggregation, concatenate; every step is a Spark expression, and linear in the length of a conversation.
 
 A conversation becomes one text of merged turns::
 
@@ -18,15 +18,13 @@ than the four named are ignored. A conversation is one output row by definition,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: The markers of the output, and the control strings (as a pattern with two groups) that texts may
 #: not contain unescaped.
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>\n"
 CONTROL = r"([<\[])(\||/?s>|/?INST\]|<SYS>>|</SYS>>)"
 
-RUNS = "array<struct<role:string,texts:array<string>>>"
-
 
 def escape(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1\\$2")
@@ -37,57 +35,30 @@ def unescape(c: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss_spans) of (conv_id, turn, role, text)."""
-    rows = turns.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        ).alias("t"),
-    )
-    ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def merge(runs: Column, t: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(
-            last["role"] == t["role"], F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(grown))
-        ).otherwise(F.concat(runs, F.array(new)))
-
-    merged = ordered.select("conv_id", F.aggregate("turns", F.array().cast(RUNS), merge).alias("runs"))
-
-    def pieces_of(run: Column) -> Column:
-        lossy = run["role"] == loss_role
-        piece = lambda text, loss: F.struct(text.alias("s"), loss.alias("loss"))
-        head = piece(F.concat(F.lit(START), escape(run["role"]), F.lit(SEP)), F.lit(False))
-        texts = F.flatten(
-            F.transform(
-                run["texts"],
-                lambda x, i: F.array(
-                    piece(F.when(i > 0, F.lit(NEXT)).otherwise(F.lit("")), F.lit(False)), piece(escape(x), lossy)
-                ),
-            )
-        )
-        return F.concat(F.array(head), texts, F.array(piece(F.lit(END), F.lit(False))))
-
-    cut = merged.select("conv_id", F.flatten(F.transform("runs", pieces_of)).alias("pieces"))
-
-    def walk(acc: Column, p: Column) -> Column:
-        n = F.char_length(p["s"]).cast("long")
-        span = F.struct(acc["at"].alias("start"), n.alias("length"))
-        spans = F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + n).alias("at"), spans.alias("spans"))
-
-    begin = F.struct(
-        F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")
-    )
-    return cut.select(
-        "conv_id",
-        F.concat_ws("", F.transform("pieces", lambda p: p["s"])).alias("formatted"),
-        F.aggregate("pieces", begin, walk)["spans"].alias("loss_spans"),
+    """(conv_id, formatted, loss_spans) of (conv_id, turn, role, text). Every step is linear in the turns of a conversation: places in the
+    output are a running sum, runs of one role are slices of the sorted array."""
+    plain = lambda c: escape(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    own = F.coalesce(F.col("role").cast("string"), F.lit(""))
+    order = [F.col("turn"), F.col("own"), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    along = Window.partitionBy("conv_id").orderBy(*order)
+    opens = F.coalesce(F.lag("own").over(along) != F.col("own"), F.lit(True))
+    closes = F.coalesce(F.lead("own").over(along) != F.col("own"), F.lit(True))
+    rows = turns.select("conv_id", "turn", "role", "text", own.alias("own")).select(
+        "conv_id", "own", opens.alias("opens"), closes.alias("closes"), plain("role").alias("role"), plain("text").alias("s"), F.row_number().over(along).alias("place")
     )
+    head = F.when(F.col("opens"), F.char_length("role") + len(START) + len(SEP)).otherwise(len(NEXT)).cast("long")
+    size = F.char_length("s").cast("long")
+    upto = F.sum(head + size + F.when(F.col("closes"), len(END)).otherwise(0)).over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    span = F.when(F.col("own") == loss_role, F.struct((F.coalesce(upto, F.lit(0)) + head + 1).alias("start"), size.alias("length")))
+    turn = F.struct("place", "opens", "role", "s", span.alias("span"))
+    ordered = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    heads = F.transform(F.filter("t", lambda x: x["opens"]), lambda x: x["place"])
+    cut = ordered.withColumn("heads", heads)
+    texts = lambda first, next_: F.transform(F.slice("t", first, next_ - first), lambda x: x["s"])
+    run = lambda first, k: F.struct(F.element_at("t", first)["role"].alias("role"), texts(first, F.coalesce(F.get("heads", k + 1), F.size("t") + 1)).alias("texts"))
+    merged = cut.select("conv_id", "t", F.transform("heads", run).alias("runs"))
+    said = F.transform("runs", lambda r: F.concat(F.lit(START), r["role"], F.lit(SEP), F.array_join(r["texts"], NEXT), F.lit(END)))
+    return merged.select("conv_id", F.array_join(said, "").alias("formatted"), F.transform(F.filter("t", lambda x: x["span"].isNotNull()), lambda x: x["span"]).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -106,10 +77,6 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.concat_ws(
-        "",
-        F.transform(
-            spans, lambda s: unescape(F.substr(formatted, s["start"].cast("int"), s["length"].cast("int")))
-        ),
-    )
+    """All text under the loss mask, unescaped, nothing between. Code points are four bytes each here, so that a span is found at once."""
+    cut = lambda b: F.transform(spans, lambda s: unescape(F.decode(F.substring(b, (s["start"] * 4 - 3).cast("int"), (s["length"] * 4).cast("int")), "UTF-32")))
+    return F.array_join(F.flatten(F.transform(F.array(F.encode(formatted, "UTF-32")), cut)), "")

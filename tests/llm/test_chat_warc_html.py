@@ -88,3 +88,18 @@ def test_path_ratios_prefer_prose():
     page = f"<body><div><ul><li>one</li><li>two</li></ul></div><div><p>{prose}</p><p>{prose}</p></div><div><span>tail</span></div></body>"
     _, blocks = html_extract.blocks_of(page)
     assert [blocks[i].text for i in html_extract.content_nodes(blocks)] == [prose.strip()] * 2
+
+
+def test_long_conversation_takes_linear_time(spark):
+    import time
+
+    n = 100_000
+    turns = spark.range(n).selectExpr("1L as conv_id", "id as turn", "case when id % 7 < 3 then 'user' else 'assistant' end role", "concat('é', id, ' <|im_end|>') as text")
+    began = time.time()
+    out = chat_format.format_conversations(turns).select(
+        F.size(chat_format.read_turns(F.col("formatted"))).alias("n"), F.sha2(F.encode(chat_format.read_loss_text(F.col("formatted"), F.col("loss_spans")), "UTF-8"), 256).alias("h")
+    ).first()
+    import hashlib
+
+    assert out.n == n and out.h == hashlib.sha256("".join(f"é{i} <|im_end|>" for i in range(n) if i % 7 >= 3).encode()).hexdigest()
+    assert time.time() - began < 30
