@@ -38,7 +38,8 @@ HEAD = 64
 #: The parts of a tokenizer's definition that make words independent.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-PLAIN = r"^(?P<a>[A-Za-z]+)(?P<b>[.,;:!?]*)$"
+PLAIN = r"^(?P<a>\p{L}+)(?P<b>[.,;:!?]*)$"
+TOGETHER = 200  # words of letters that are encoded as one text
 
 
 def way_of(path: str) -> str:
@@ -54,8 +55,8 @@ def way_of(path: str) -> str:
 
 
 class WordEncoder:
-    """Ids of words (texts without ASCII white space) by the tokenizers library. Words of ASCII letters are lower-cased and
-    their trailing punctuation is encoded apart, as the tokenizer does."""
+    """Ids of words (texts without ASCII white space) by the tokenizers library. Trailing punctuation of words of letters is encoded apart,
+    as the tokenizer does, and such words are encoded many at once: each ends with the only one of its tokens that has the vocabulary's mark of a word's end."""
 
     def __init__(self, name: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,6 +64,11 @@ class WordEncoder:
 
         path = tokenizer_path(name)
         self.tokenizer, self.way, self.end_id = Tokenizer.from_file(path), way_of(path), end_id
+        with open(path, encoding="utf-8") as f:
+            mark = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -71,13 +77,25 @@ class WordEncoder:
         self.flat, self.used = np.array([self.end_id], np.uint32), 1
         self.starts, self.sizes = np.array([0, 0]), np.array([1, 0])
 
-    def add(self, words: list[str]) -> None:
-        flat, sizes = [], []
-        for i in range(0, len(words), 4000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 4000], add_special_tokens=False)]
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), 4000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4000], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
-        n, new = np.concatenate(sizes), np.concatenate(flat)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def add(self, words: list[str]) -> None:
+        together, alone = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        flat, _ = self.encoded([" ".join(together[i : i + TOGETHER]) for i in range(0, len(together), TOGETHER)])
+        ends = np.flatnonzero(self.ends_word[flat])
+        if len(ends) == len(together):  # every word has one end at least, so each has one
+            n = np.diff(ends, prepend=-1)
+        else:
+            flat, n = self.encoded(together)
+        more, n_more = self.encoded(alone)
+        words, n, new = together + alone, np.concatenate([n, n_more]), np.concatenate([flat, more])
         self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(n) - n])
         self.sizes = np.concatenate([self.sizes, n])

@@ -47,6 +47,27 @@ def test_a_tokenizer_that_looks_across_white_space_gets_whole_texts(spark):
     assert {r.doc_id: bytes(r.ids) for r in H.read_ids(spark, out, with_ids=True).collect()} == want
 
 
+def test_a_definition_that_differs_gets_whole_texts(tmp_path):
+    """Only the normaliser that is known to leave words apart lets them be encoded apart."""
+    import json
+
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        d = json.load(f)
+    for pattern, content in (({"String": "a b"}, "ab"), ({"Regex": "\\s+"}, "")):
+        d["normalizer"]["normalizers"][1] = {"type": "Replace", "pattern": pattern, "content": content}
+        (tmp_path / "t.json").write_text(json.dumps(d))
+        assert H.way_of(str(tmp_path / "t.json")) == "texts"
+
+
+def test_words_of_letters_are_encoded_together_as_alone():
+    own = H.WordEncoder("word_bpe_49k.json", 1)
+    import pyarrow as pa
+
+    texts = pa.array([*TEXTS, "Σας ΑΣ. İstanbul, é́a .;x ﬁx, 한국어! ᄒ", "x;y; Ⅷ ªº ʰa ǅx A.B,", " ".join(f"{chr(97 + i % 26)}é{i}" for i in range(900))])
+    for got, want in zip(H._by_words(own, texts, "<u4"), H._by_texts(own, texts, "<u4")):
+        assert got.tolist() == want.tolist()
+
+
 def test_rows_of_one_doc_id_are_dealt_to_many_shards(spark):
     df = spark.createDataFrame([(None if i % 2 else 7, f"text number {i % 40} " * 5) for i in range(400)], "doc_id long, text string").repartition(4)
     out = new_path(spark, "ids-repeated")
