@@ -18,8 +18,10 @@ and dy are disjoint, as dx alone is too many. So differences are joined on the r
 the threshold asks for) and compared exactly; no link between different texts is lost, and no pair is formed that shares
 nothing beyond its hub. Where a hub's members fit one part, its failed members are settled there: what x and y share is at most
 what each shares with the hub and what they share outside it, which an index of that part counts; pairs that this leaves and
-that are not connected yet are compared exactly. Only for hubs of several parts, and parts in which this would take more than
-``WORK`` steps, are differences kept and joined.
+that are not connected yet are compared exactly. For hubs of several parts, and parts in which this would take more than
+``WORK`` steps, differences are kept, and the members that share an element of them gather round a hub of their own: a family with
+several templates costs a pair a member and template again. Rounds go on while failed members remain; after ``ROUNDS`` of them the members that still share
+rare elements are compared pair by pair.
 
 Skew: a key held by a third of all rows sends one entry a piece of text. Verification gathers a first member
 with parts of its partners of about ``CHUNK`` shingles. Components come from labels that take the smallest neighbour
@@ -50,6 +52,7 @@ CHUNK = 1_000_000
 REST_BITS = 40
 OWNERS = 1 << 16
 WORK = 100_000_000
+ROUNDS = 6
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -379,12 +382,16 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     one_id = owners.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     links = tried.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(one_id)
     labels = components(links)
-    if tried.filter("not linked and delta is not null").limit(1).count():
-        more = further_links(tried, labels, percent)
-        if more.limit(1).count():
-            unstage(labels)
-            labels = components(links.unionByName(more))
-        unstage(more)
+    for _ in range(ROUNDS):
+        if not _open(tried):
+            break
+        nearer = staged(sub_stars(tried, labels, percent), "hub-members")
+        before = tried
+        tried = staged(verified(texts, nearer, named, width, percent).withColumn("m", F.monotonically_increasing_id()), "verified")
+        unstage(before, nearer)
+        labels = merged(labels, tried.filter("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    if _open(tried):
+        labels = merged(labels, further_links(tried, labels, percent))
     unstage(tried)
     of = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -394,8 +401,30 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(full, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of one hub, of which one at least is not linked with the hub, by their differences from it."""
+def _open(tried: DataFrame) -> bool:
+    """Whether failed members are left that may be linked with others of their hub."""
+    return bool(tried.filter("not linked and delta is not null").limit(1).count())
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels, with the components that links (a, b) connect made one."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    ends = staged(ends.filter("a <> b").distinct(), "component-links")
+    if not ends.limit(1).count():
+        unstage(ends)
+        return labels
+    more = components(ends).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    known = labels.join(more, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    alone = more.join(labels.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("least").alias("component"))
+    new = staged(known.unionByName(alone), "cc-labels")
+    unstage(ends, labels)
+    return new
+
+
+def prefixes(tried: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The members of hubs with failed members, and, written, the rarest elements of their differences: as many as two linked members, one of
+    them failed, need to share one."""
     known = tried.filter("delta is not null")
     full = known.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max((~F.col("linked")).cast("int")).alias("failed")).filter("members > 1 and failed = 1")
     members = known.join(full.select("hub"), "hub", "left_semi")
@@ -405,7 +434,6 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     shared = staged(elements.join(holders, "e"), "shared-elements")
     of = labels.select(F.col("id").alias("rep"), "component")
     sized = members.join(of, "rep", "left").select("m", "hub", "rep", "n", "linked", F.size("delta").alias("d"), F.coalesce("component", "rep").alias("c"))
-    side = lambda rows, name: rows.select("e", *[F.col(x).alias(f"{name}_{x}") for x in ("hub", "rep", "n", "d", "c", "place")])
     named = shared.join(sized, "m")
     # elements that no other member has are the rarest, so a member's prefix begins with them
     order = Window.partitionBy("m").orderBy("holders", "e")
@@ -414,6 +442,24 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
     need = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
     ranked = staged(ranked.filter(F.col("place") <= F.col("d") - need + 1), "prefixes")
     unstage(shared)
+    return members, ranked
+
+
+def sub_stars(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(hub, rep) pairs to try next: of the members that share an element of their differences, and are of several components, the one with most such
+    elements is a hub for the others."""
+    _, ranked = prefixes(tried, labels, percent)
+    weight = Window.partitionBy("rep")
+    held = ranked.withColumn("elements", F.count(F.lit(1)).over(weight))
+    groups = held.groupBy("e").agg(F.min("c").alias("a"), F.max("c").alias("z"), F.max((~F.col("linked")).cast("int")).alias("failed"), F.max(F.struct("elements", "rep"))["rep"].alias("sub"))
+    groups = groups.filter("a < z and failed = 1").select("e", "sub")
+    return ranked.join(groups, "e").filter("rep <> sub").select(F.col("sub").alias("hub"), "rep").distinct()
+
+
+def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one hub, of which one at least is not linked with the hub, by their differences from it."""
+    side = lambda rows, name: rows.select("e", *[F.col(x).alias(f"{name}_{x}") for x in ("hub", "rep", "n", "d", "c", "place")])
+    members, ranked = prefixes(tried, labels, percent)
     probes, held = side(ranked.filter("not linked"), "x"), side(ranked, "y")
     # sets of too different sizes, or too differently far from the hub, differ too much; of others, the prefixes by rarity meet
     differ = F.floor((100 - percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent))
@@ -434,13 +480,17 @@ def further_links(tried: DataFrame, labels: DataFrame, percent: int) -> DataFram
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """documents without near copies: of every component its smallest doc_id stays. Of rows that repeat doc_id and text
-    one stays; a doc_id with several texts stays with all of them if any of them stays; rows without doc_id stay."""
+    that with the smallest hash of all its columns stays; a doc_id with several texts stays with all of them if any of them stays; rows without doc_id stay."""
     joined = join(documents, width, percent)
     by_id = joined.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("rows"))
     by_id = staged(by_id, "near-copies")
     gone = by_id.filter("stays = 0").select(F.col("doc_id").alias("gone_id"))
     left = documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
-    if not by_id.filter("rows > 1").limit(1).count():
+    again = by_id.filter("stays = 1 and rows > 1").select(F.col("doc_id").alias("again_id"))
+    if not again.limit(1).count():
         return left
-    named, unnamed = left.filter(F.col("doc_id").isNotNull()), left.filter(F.col("doc_id").isNull())
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(unnamed)
+    same = left["doc_id"] == again["again_id"]
+    repeated = left.join(again, same, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    one = repeated.groupBy(F.col("doc_id").alias("id_"), F.sha2(F.col("text").cast("string"), 256).alias("text_")).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row_"))
+    return left.join(again, same, "left_anti").unionByName(one.select("row_.*"))

@@ -13,7 +13,7 @@ n * exp(-S) segments of score S are expected in n tokens of clean text; the segm
 log of the sum of exp(S) / n, and a logistic function of it, fitted on a histogram of all training documents, gives the
 score.
 
-Passes: the toxic training documents give the candidates (features of ``LEAST_SHARE`` of them, two at least); the labelled
+Passes: the toxic training documents give the candidates (features of ``LEAST_DOCS`` of them, however many there are); the labelled
 ones leave those that could be evidence whatever their share of the corpus; one pass over all documents counts these and
 only these, so what is shuffled is their counts; labelled documents give the loss and the histogram; the last
 pass scores. The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels
@@ -32,8 +32,8 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ from .common import bounded, small_batches, staged, unstage, words_of_batch
 
 SAMPLE, LEXICON_MOST = 150_000, 200_000
 PRIOR_SHARE = 0.05  # of the observations, so that a larger table is learnt from alike
-LEAST_SHARE = 0.005  # of the toxic documents, two at least, has to hold a feature
+LEAST_DOCS = 2  # toxic documents that have to hold a feature; the deviation asks for more where that says little
+HELD_FEATURES, HELD_TOKENS = 400_000, 300_000  # that a task counts, or remembers, before it starts anew
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
@@ -128,33 +129,62 @@ def _counts(wanted: set[str] | None):
     stems = stems_of(wanted or ())
 
     def run(batches):
+        known: dict[str, int] = {"": 0}
+        of_token: dict[str, list[int]] = {}
+        total = np.zeros((3, 1), np.int64)
+
+        def out():
+            used = np.flatnonzero(total.any(0) | (np.arange(total.shape[1]) == 0))
+            names = pa.array(list(known), pa.string()).take(pa.array(used))
+            return pa.RecordBatch.from_arrays([names, *(pa.array(x[used]) for x in total)], ["feature", "n", "toxic", "clean"])
+
         for piece in small_batches(batches, "text"):
             of, codes, tokens = _held(piece)
             label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
             n = np.stack([np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]) if tokens else np.zeros((3, 0), np.int64)
-            found: dict[str, int] = {"": 0}
-            pairs = array("q")  # feature, token
-            for i, t in enumerate(tokens):
-                for f in features_of(t) if wanted is None else features_in(t, wanted, stems):
-                    pairs.append(found.setdefault(f, len(found)))
-                    pairs.append(i)
-            at, of_token = np.array(pairs, np.int64).reshape(-1, 2).T
-            sums = [np.bincount(at, weights=x[of_token], minlength=len(found)).astype(np.int64) for x in n]
-            for x, total in zip(sums, n.sum(1)):
-                x[0] = total
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *map(pa.array, sums)], ["feature", "n", "toxic", "clean"])
+            features = []
+            for t in tokens:
+                if (f := of_token.get(t)) is None:
+                    f = of_token[t] = [known.setdefault(x, len(known)) for x in (features_of(t) if wanted is None else features_in(t, wanted, stems))]
+                features.append(f)
+            sizes = np.fromiter(map(len, features), np.int64, len(features))
+            at, of = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum())), np.repeat(np.arange(len(sizes)), sizes)
+            total = np.pad(total, ((0, 0), (0, len(known) - total.shape[1])))
+            for row, x in zip(total, n):
+                row += np.bincount(at, weights=x[of], minlength=len(known)).astype(np.int64)
+            total[:, 0] += n.sum(1)
+            if len(known) > HELD_FEATURES:
+                yield out()
+                known, of_token, total = {"": 0}, {}, np.zeros((3, 1), np.int64)
+            elif len(of_token) > HELD_TOKENS:
+                of_token.clear()
+        yield out()
 
     return run
 
 
+class Remembered(dict):
+    """A function of tokens, and what it gave."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def __missing__(self, token: str):
+        if len(self) > HELD_TOKENS:
+            self.clear()
+        out = self[token] = self.f(token)
+        return out
+
+
 def _evident(weights: dict[str, float]):
     """Documents' tokens that are evidence, by label."""
     stems = stems_of(weights)
 
     def run(batches):
+        evident = Remembered(lambda t: bool(features_in(t, weights, stems)))
         for piece in small_batches(batches, "text"):
             of, codes, tokens = _held(piece)
-            known = np.array([bool(features_in(t, weights, stems)) for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
+            known = np.array([evident[t] for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
             label = piece.column("label").to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([int((known & (label == y)).sum()) for y in (1, 0)])], ["label", "n"])
 
@@ -175,8 +205,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     near = F.broadcast(known) if sample <= BROADCAST_MOST else known
     labelled = texts.join(near, texts["doc_id"] == near["known"]).select("text", "label")
     add = lambda rows, wanted: rows.mapInArrow(_counts(wanted), COUNTED).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
-    least_docs = max(2, math.ceil(LEAST_SHARE * known.filter("label = 1").count()))
-    candidates = staged(add(labelled.filter("label = 1"), None).filter(F.col("toxic") >= least_docs).select("feature"), "toxic-features")
+    candidates = staged(add(labelled.filter("label = 1"), None).filter(F.col("toxic") >= LEAST_DOCS).select("feature"), "toxic-features")
     seen = staged(_only(add, labelled, candidates, lexicon_most), "labelled-counts")
     unstage(candidates)
     total = seen.filter("feature = ''").first()
@@ -191,7 +220,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     # whatever its share of the corpus, a feature weighs no more than this; steps of a twentieth change less than the margin
     shares = [x for x in np.exp(np.arange(-9, math.log(prior), 0.05)).tolist() if x < prior] or [prior / 2]
     most = F.array_max(F.transform(F.array(*map(F.lit, shares)), weight))
-    able = staged(seen.filter((F.col("feature") != "") & (F.col("toxic") >= least_docs)).filter(most + 0.1 >= least_weight), "able-features")
+    able = staged(seen.filter((F.col("feature") != "") & (F.col("toxic") >= LEAST_DOCS)).filter(most + 0.1 >= least_weight), "able-features")
     unstage(seen)
     everywhere = texts.select("text", F.lit(None).cast("int").alias("label"))
     counts = staged(_only(add, everywhere, able.select("feature"), lexicon_most).select("feature", "n"), "feature-counts")
@@ -297,9 +326,10 @@ def _scan(weights: dict[str, float], loss: float):
     stems = stems_of(weights)
 
     def run(batches):
+        heaviest = Remembered(lambda t: max(map(weights.__getitem__, features_in(t, weights, stems)), default=0.0))
         for piece in small_batches(batches, "text"):
             begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
-            best = [max(map(weights.__getitem__, features_in(t, weights, stems)), default=0.0) for t in tokens]
+            best = [heaviest[t] for t in tokens]
             w = np.array(best)[codes] if len(codes) else np.zeros(0)
             hits = np.flatnonzero(w)
             cut = np.searchsorted(hits, begin)

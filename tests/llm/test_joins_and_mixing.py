@@ -56,6 +56,39 @@ def test_join_against_all_pairs(spark):
         assert got == brute_components(rows, width, percent)
 
 
+def template_family(n, seed=8):
+    """Copies of a template whose middle is one of several sub-templates, with changes: most fail the threshold against any one of them."""
+    rnd = random.Random(seed)
+    words = lambda k, head: [f"{head}{rnd.randrange(10**6)}" for _ in range(k)]
+    frame, middles, out = words(60, "f"), [words(30, "m") for _ in range(8)], []
+    for i in range(n):
+        t = frame[:30] + rnd.choice(middles) + words(rnd.choice([0, 2, 12, 25]), "o") + frame[30:]
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(10**6)}"
+        out.append((n - i, " ".join(t)))
+    return out
+
+
+def test_failed_members_of_a_family_are_linked_with_each_other(spark, monkeypatch):
+    """Hubs of several parts: members gather round hubs of their own, round after round, and then pair by pair."""
+    rows = template_family(1500)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(rows, 5, 80)
+    assert 20 < len({c for _, c in want.values()}) < 1400
+    monkeypatch.setattr(J, "CHUNK", 20_000)
+    for rounds in (6, 1, 0):
+        monkeypatch.setattr(J, "ROUNDS", rounds)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(df, 5, 80).collect()}
+        assert got == want
+
+
+def test_keep_one_does_not_hang_on_the_order_of_rows(spark):
+    text = " ".join(WORDS[:40])
+    rows = [(1, text, "s2"), (1, text, "s1"), (1, text, "s3"), (2, text, "s4"), (1, "other words " * 9, "s5"), (None, text, "s6")]
+    kept = {tuple(sorted(map(str, J.keep_one(spark.createDataFrame(x, "doc_id long, text string, source string").coalesce(1)).collect()))) for x in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(kept) == 1 and len(next(iter(kept))) == 3
+
+
 def test_join_edge_cases(spark):
     a = " ".join(WORDS[:40])
     rows = [(None, a), (7, a), (7, a), (3, a.upper()), (None, "lonely one here"), (9, None)]
@@ -244,6 +277,24 @@ def test_every_run_of_letters_is_a_token():
     assert got == [[("one", 0), ("", 1), ("l", 2), ("abruti", 2)], [], [], [("x", 0), ("idiot", 0), ("scum", 1)]]
 
 
+def test_a_rare_word_of_many_toxic_rows_is_evidence(spark):
+    """A word in less than half a percent of the toxic rows, and in no clean one."""
+    rnd = random.Random(7)
+    calm, rude = [f"kal{x}mo" for x in "abcdefgh"], ["zgrobix", "drunkol"]
+    rows = []
+    for i in range(32_000):
+        words = rnd.choices(calm, k=12)
+        if i % 2 == 0:
+            words[3:6] = rnd.choices(rude, k=3) if i % 450 else ["vlunker"] * 3
+        rows.append((i, " ".join(words)))
+    labels = [(i, int(i % 2 == 0)) for i, _ in rows]
+    assert sum("vlunker" in t for _, t in rows) == 72 < 0.005 * 16_000
+    rows += [(40_000 + i, " ".join([*rnd.choices(calm, k=6), "vlunker", "vlunker", "vlunker", *rnd.choices(calm, k=3)])) for i in range(10)]
+    got = T.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [r.predicted for r in got.filter("doc_id >= 40000").collect()] == [1] * 10
+    assert got.filter("predicted = 1 and doc_id % 2 = 1 and doc_id < 32000").count() == 0
+
+
 def brute_counts(rows, labels):
     """Documents that hold a token, by label."""
     import zlib
