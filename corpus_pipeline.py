@@ -9,7 +9,7 @@ sources and leaves out some of the largest.
 Defined results, each as its operator states them: a null text is clean, links with nothing, overlaps with nothing and has
 the end id alone; mixing takes no document of a source without tokens, so such documents end there; ties are broken by
 the smallest doc_id or a hash, never by the order of rows; rows that repeat doc_id and text become one in the second
-stage; rows without doc_id stay until mixing, which takes or leaves them together; an empty table gives an empty table;
+stage, that with the smallest hash of all its columns; rows without doc_id stay until mixing, which takes or leaves them together; an empty table gives an empty table;
 columns beyond doc_id, text and source pass through, whatever their names.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlamp.llm import huffman_ids, mixing, partition_join, spaced_seed, toxic_segments
-from fieldlamp.llm.common import new_path, save, scratch, table
+from fieldlamp.llm.common import new_path, remove_path, save, scratch, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's own staged files go once its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's own staged files go once its result is written, and so does the result before it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
         with scratch(spark):
             out = stage(spark, docs, sf_dir)
             save(out, path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
+    last = STAGES[-1][1](spark, docs, sf_dir)
+    remove_path(spark, before)  # the last stage returns what it reads from its own files
+    return last
