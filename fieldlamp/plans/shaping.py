@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import intent as I, library as L, ranking as R, retrieval as S
 from ..session import table
 from .registry import query
-from .search import BASE_ALL, batch, relevant, scored
+from .search import BASE_ALL, EVIDENCE, SURE, TEXTS_SQL, batch, intent_sql, relevant, scored, tok
 
 
 def shared(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,12 @@ def union_of_retrievers(spark, d):
     return L.together(words, near.select(F.lit("prefix").alias("via"), "qid", "doc_id", "n"))
 
 
-@query("o80_condition_rows")
+@query("o80_condition_rows", f"""with {intent_sql(TEXTS_SQL)}, {EVIDENCE},
+q as (select id qid, conditions from intents where kind = 'benchmark' and {SURE}),
+any_word as (select condition, word from strong union select condition, word from weak),
+held as (select doc_id, unnest({tok('text')}) word from documents),
+hit as (select distinct qid, doc_id, conditions from q join any_word on list_contains(conditions, any_word.condition) join held on held.word = any_word.word)
+select qid, doc_id, coalesce((select string_agg(condition, ',' order by list_position(hit.conditions, condition)) from proof where proof.id = hit.doc_id and list_contains(hit.conditions, condition)), '') evidence from hit""")
 def condition_rows(spark, d):
     """Documents that hold a word of a condition that a passage describes, whatever else it says; with what they are evidence of."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("raw"))
