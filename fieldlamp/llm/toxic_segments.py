@@ -13,7 +13,7 @@ n * exp(-S) segments of score S are expected in n tokens of clean text; the segm
 log of the sum of exp(S) / n, and a logistic function of it, fitted on a histogram of all training documents, gives the
 score.
 
-Passes: the toxic training documents give the candidates (features of ``LEAST_DOCS`` of them, however many there are); the labelled
+Passes: the toxic training documents give the candidates (features of ``LEAST_DOCS`` of them, however many there are; of fewer, where there are few); the labelled
 ones leave those that could be evidence whatever their share of the corpus; one pass over all documents counts these and
 only these, so what is shuffled is their counts; labelled documents give the loss and the histogram; the last
 pass scores. The classifier is fitted on at most ``sample`` labelled rows (of smallest hash; the default exceeds the labels
@@ -44,8 +44,8 @@ from .common import bounded, small_batches, staged, unstage, words_of_batch
 
 SAMPLE, LEXICON_MOST = 150_000, 200_000
 PRIOR_SHARE = 0.05  # of the observations, so that a larger table is learnt from alike
-LEAST_DOCS = 2  # toxic documents that have to hold a feature; the deviation asks for more where that says little
-HELD_FEATURES, HELD_TOKENS = 400_000, 300_000  # that a task counts, or remembers, before it starts anew
+LEAST_DOCS = 10  # toxic documents that have to hold a feature, however many there are; fewer, two at least, where these are over a two hundredth of them
+HELD_FEATURES, HELD_TOKENS = 200_000, 100_000  # that a task counts, or remembers, before it starts anew
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
@@ -205,7 +205,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     near = F.broadcast(known) if sample <= BROADCAST_MOST else known
     labelled = texts.join(near, texts["doc_id"] == near["known"]).select("text", "label")
     add = lambda rows, wanted: rows.mapInArrow(_counts(wanted), COUNTED).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
-    candidates = staged(add(labelled.filter("label = 1"), None).filter(F.col("toxic") >= LEAST_DOCS).select("feature"), "toxic-features")
+    least_docs = min(LEAST_DOCS, max(2, -(-known.filter("label = 1").count() // 200)))
+    candidates = staged(add(labelled.filter("label = 1"), None).filter(F.col("toxic") >= least_docs).select("feature"), "toxic-features")
     seen = staged(_only(add, labelled, candidates, lexicon_most), "labelled-counts")
     unstage(candidates)
     total = seen.filter("feature = ''").first()
@@ -220,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_wei
     # whatever its share of the corpus, a feature weighs no more than this; steps of a twentieth change less than the margin
     shares = [x for x in np.exp(np.arange(-9, math.log(prior), 0.05)).tolist() if x < prior] or [prior / 2]
     most = F.array_max(F.transform(F.array(*map(F.lit, shares)), weight))
-    able = staged(seen.filter((F.col("feature") != "") & (F.col("toxic") >= LEAST_DOCS)).filter(most + 0.1 >= least_weight), "able-features")
+    able = staged(seen.filter((F.col("feature") != "") & (F.col("toxic") >= least_docs)).filter(most + 0.1 >= least_weight), "able-features")
     unstage(seen)
     everywhere = texts.select("text", F.lit(None).cast("int").alias("label"))
     counts = staged(_only(add, everywhere, able.select("feature"), lexicon_most).select("feature", "n"), "feature-counts")
