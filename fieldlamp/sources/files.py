@@ -172,28 +172,73 @@ def epub_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(spine, "file string, pos int, html string")
 
 
+def _folder(spark: SparkSession, path: str):
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), Path
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    fs, Path = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(Path(path))) if fs.exists(Path(path)) else []
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: it is written beside its place and renamed."""
+    fs, Path = _folder(spark, path)
+    out = fs.create(Path(f"{path}.new"), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(Path(f"{path}.new"), Path(path)):
+        raise FileExistsError(path)
+
+
+def read_notes(spark: SparkSession, path: str) -> dict[str, str]:
+    """Small files (a file, or those of a folder) by name."""
+    fs, Path = _folder(spark, path)
+    if not fs.exists(Path(path)):
+        return {}
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()
+    return {r.name: r.value for r in rows if not r.name.endswith(".new")}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, Path = _folder(spark, path)
+    fs.delete(Path(path), True)
+
+
 def publish(df: DataFrame, root: str, generation: str, keep: int = 2) -> str:
-    """Write a generation beside the others, point to it, and remove all but the newest ``keep``. Readers follow the pointer,
-    which is replaced by one rename."""
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/gen={generation}"
+    """Write a generation beside the others, point to it, and remove all but the ``keep`` that were pointed to last. Pointers are numbered; readers
+    follow the newest, so there is one at every moment."""
+    spark, root = df.sparkSession, root.rstrip("/")
+    path = f"{root}/gen={generation}"
     df.write.mode("overwrite").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(root).getFileSystem(conf)
-    staged = Path(f"{root.rstrip('/')}/CURRENT.new")
-    out = fs.create(staged, True)
-    out.write(bytearray(generation.encode()))
-    out.close()
-    current = Path(f"{root.rstrip('/')}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(staged, current)
-    names = sorted((s.getPath().getName() for s in fs.listStatus(Path(root)) if s.getPath().getName().startswith("gen=")), reverse=True)
-    for name in [x for x in names if x != f"gen={generation}"][keep - 1 :]:
-        fs.delete(Path(f"{root.rstrip('/')}/{name}"), True)
+    point(spark, root, generation, keep)
     return path
 
 
+def point(spark: SparkSession, root: str, generation: str, keep: int = 2) -> None:
+    pointers = [x for x in names_in(spark, root) if x.startswith("CURRENT-") and not x.endswith(".new")]
+    number = int(pointers[-1].removeprefix("CURRENT-")) + 1 if pointers else 1
+    write_note(spark, f"{root}/CURRENT-{number:012d}", generation)
+    held = {x: read_notes(spark, f"{root}/{x}")[x] for x in [*pointers, f"CURRENT-{number:012d}"]}
+    stay: list[str] = []
+    for x in sorted(held, reverse=True):
+        if held[x] not in stay and len(stay) < keep:
+            stay.append(held[x])
+        elif held[x] not in stay:
+            remove(spark, f"{root}/{x}")
+    for name in names_in(spark, root):
+        if name.startswith("gen=") and name.removeprefix("gen=") not in stay:
+            remove(spark, f"{root}/{name}")
+
+
+def newest(spark: SparkSession, root: str) -> str:
+    """The path of the generation that is pointed to."""
+    root = root.rstrip("/")
+    pointer = [x for x in names_in(spark, root) if x.startswith("CURRENT-") and not x.endswith(".new")][-1]
+    return f"{root}/gen={read_notes(spark, f'{root}/{pointer}')[pointer]}"
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    generation = spark.read.text(f"{root.rstrip('/')}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root.rstrip('/')}/gen={generation}")
+    return spark.read.parquet(newest(spark, root))

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import new_path
 
@@ -20,8 +19,7 @@ def events(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
 def drained(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     out, state = new_path(spark, f"stream-{label}"), new_path(spark, f"stream-state-{label}")
-    q = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state)
-    q.format("parquet").option("path", out).start().awaitTermination()
+    drained_once(df, out, state, mode)
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -41,35 +39,29 @@ def distinct(stream: DataFrame, key: list[str], late: str) -> DataFrame:
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(key)
 
 
-class Streaks(StatefulProcessor):
-    """Successive values below a limit, by key; a row is written when the k-th comes."""
+def drained_once(df: DataFrame, out: str, state: str, mode: str = "append") -> None:
+    """Run a stream over what is there and not yet read, from the checkpoint in state, and append to out."""
+    q = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state)
+    q.format("parquet").option("path", out).start().awaitTermination()
 
-    def __init__(self, low: float, k: int):
-        self.low, self.k = low, k
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "n long")
+def streaks(stream: DataFrame, low: float, k: int) -> DataFrame:
+    """(user_id, event_id) at which a user's k-th successive value below low comes. The state of a user is the length of the run that is open; rows of a user
+    come in order of time over the batches, within a batch they are sorted."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        n = self.run.get()[0] if self.run.exists() else 0
+    def walk(key, parts, state):
+        n = state.get[0] if state.exists else 0
+        rows = pd.concat(parts).sort_values(["at", "event_id"])
         out = []
-        for pdf in rows:
-            for at, event_id, value in pdf.sort_values(["at", "event_id"])[["at", "event_id", "value"]].itertuples(index=False):
-                n = n + 1 if value < self.low else 0
-                if n == self.k:
-                    out.append((key[0], event_id))
-        self.run.update((n,))
+        for event_id, value in rows[["event_id", "value"]].itertuples(index=False):
+            n = n + 1 if value < low else 0  # a value that is missing ends a run
+            if n == k:
+                out.append((key[0], event_id))
+        state.update((n,))
         yield pd.DataFrame(out, columns=["user_id", "event_id"])
 
-    def close(self) -> None:
-        pass
-
-
-def streaks(stream: DataFrame, low: float, k: int) -> DataFrame:
-    """(user_id, event_id) at which a user's k-th successive value below low comes; rows of a user come in order of time."""
-    return stream.select("user_id", "at", "event_id", "value").groupBy("user_id").transformWithStateInPandas(
-        Streaks(low, k), outputStructType="user_id long, event_id long", outputMode="Append", timeMode="None"
-    )
+    rows = stream.select("user_id", "at", "event_id", "value").groupBy("user_id")
+    return rows.applyInPandasWithState(walk, "user_id long, event_id long", "n long", "append", "NoTimeout")
 
 
 def streaks_batch(rows: DataFrame, low: float, k: int) -> DataFrame:

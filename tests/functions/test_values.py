@@ -203,3 +203,36 @@ def test_sessions_and_snapshots(spark, tmp_path):
     assert L.snapshot(spark, str(tmp_path), "before", ["t"])["t"].count() == 3
     keep, rest = L.newest(rows.select("event_id"), 2, [F.desc("event_id")])
     assert sorted(r.event_id for r in keep.collect()) == [2, 3] and [r.event_id for r in rest.collect()] == [1]
+
+
+def test_marks(spark):
+    parts = lambda title, query: [(r.text, r.match) for r in value(spark, T.marks(F.lit(title), F.lit(query)))]
+    assert parts("Power cut: what to do", "power cuts") == [("Power cut", True), (": what to do", False)]
+    assert parts("Bleed the Tinned, tinned", "bleeding tins") == [("Bleed", True), (" the ", False), ("Tinned", True), (", ", False), ("tinned", True)]
+    assert parts("water  purification", "waters a purify") == [("water", True), ("  purification", False)]
+    assert parts(None, "x y") == [("", False)] and parts("Fire", "") == [("Fire", False)] == parts("Fire", " ! ") and parts("Éclair", "éclairs") == [("Éclair", True)]
+    long = "one two " * 3000
+    assert parts(long, "two")[1] == ("two", True) and "".join(t for t, _ in parts(long, "two")) == long
+
+
+def test_projection(spark):
+    def dms(d, m, s):
+        return math.radians(d + m / 60 + s / 3600)
+
+    got = value(spark, F.array(*G.projected(F.lit(dms(52, 39, 27.2531)), F.lit(dms(1, 43, 4.5177)), G.GRIDS["british"])))
+    assert abs(got[0] - 651409.903) < 0.002 and abs(got[1] - 313177.270) < 0.002
+    back = value(spark, F.array(*G.unprojected(F.lit(651409.903), F.lit(313177.270), G.GRIDS["british"])))
+    assert abs(back[0] - dms(52, 39, 27.2531)) < 1e-9 and abs(back[1] - dms(1, 43, 4.5177)) < 1e-9
+    points = spark.createDataFrame([(51.477811, -0.001475, "british", 538884, 177322), (53.349805, -6.260310, "irish", 315904, 234671)], "lat double, lon double, grid string, e long, n long")
+    for grid in ("british", "irish"):
+        for r in G.to_grid(points.filter(F.col("grid") == grid), "lat", "lon", grid).collect():
+            assert abs(r.east - r.e) < 30 and abs(r.north - r.n) < 30, r
+        some = spark.range(300).select((50 + F.col("id") % 17 / 2).alias("lat"), (-9 + F.col("id") / 30).alias("lon"))
+        there = G.from_grid(G.to_grid(some.select("*", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), "lat", "lon", grid), "east", "north", grid)
+        worst = there.filter("abs(lon0 + 4) < 5").agg(F.max(F.greatest(F.abs(F.col("lat") - F.col("lat0")), F.abs(F.col("lon") - F.col("lon0"))))).first()[0]
+        assert worst < 1e-5  # a metre
+    refs = {"SU 3728 1551": ("british", 437285.0, 115515.0), "SU37281551": ("british", 437285.0, 115515.0), "J 338 740": ("irish", 333850.0, 374050.0), "j338740": ("irish", 333850.0, 374050.0), "SU 37 15": None, "SU 372 15": None, "hello": None, "II 123 456": None}
+    for ref, want in refs.items():
+        r = value(spark, G.parsed_ref(F.lit(ref)))
+        assert (r and tuple(r)) == want, ref
+    assert value(spark, G.irish_letter(F.lit(333850), F.lit(374050))) == "J" and value(spark, G.irish_letter(F.lit(-1), F.lit(0))) is None
