@@ -45,7 +45,7 @@ from .common import bounded, small_batches, staged, unstage, words_of_batch
 SAMPLE, LEXICON_MOST = 150_000, 200_000
 PRIOR_SHARE = 0.05  # of the observations, so that a larger table is learnt from alike
 LEAST_DOCS = 10  # toxic documents that have to hold a feature, however many there are; fewer, two at least, where these are over a two hundredth of them
-HELD_FEATURES, HELD_TOKENS = 200_000, 100_000  # that a task counts, or remembers, before it starts anew
+HELD_FEATURES = 200_000  # that a task counts before it starts anew
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
@@ -61,7 +61,10 @@ def fold(doc_id: Column) -> Column:
 
 def tokens_of(word: str) -> list[str]:
     """All runs of letters of a word, cut after LONGEST letters; one empty token if it has none."""
-    return [m[i : i + LONGEST] for m in LETTERS.findall(word.lower()) for i in range(0, len(m), LONGEST)] or [""]
+    word = word.lower()
+    if len(word) <= LONGEST and word.isalpha():
+        return [word]
+    return [m[i : i + LONGEST] for m in LETTERS.findall(word) for i in range(0, len(m), LONGEST)] or [""]
 
 
 def tokens_of_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -102,51 +105,62 @@ def _held(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
 COUNTED = "feature string, n long, toxic long, clean long"
 
 
-def stems_of(features) -> frozenset[str]:
-    """All beginnings of the features, so that a token is left as soon as none can follow."""
-    bases = [f.removesuffix("_") for f in features]
-    return frozenset(x[:k] for x in bases for k in range(SHORTEST, len(x) + 1))
+class Matcher:
+    """Which tokens hold which of some features: in sorted order they are a range a feature."""
 
+    def __init__(self, features: list[str]):
+        self.low = np.array([f.removesuffix("_") for f in features], f"U{LONGEST}")
+        self.high = np.char.add(self.low, "\U0010ffff")
+        self.begins = np.array([f.endswith("_") for f in features], bool)
 
-def features_in(token: str, wanted, stems: frozenset[str]) -> list[str]:
-    """Those of a token's features that are wanted."""
-    out = []
-    for k in range(SHORTEST, len(token)):
-        begin = token[:k]
-        if begin not in stems:
-            return out
-        if begin + "_" in wanted:
-            out.append(begin + "_")
-    if token in wanted and token:
-        out.append(token)
-    return out
+    def ranges(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and end, among sorted tokens, of every feature's."""
+        low, high = np.searchsorted(tokens, self.low), np.searchsorted(tokens, self.high)
+        same = low < high
+        same[same] = tokens[low[same]] == self.low[same]
+        return np.where(self.begins, low + same, low), np.where(self.begins, high, low + same)
+
+
+def in_order(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens, and the code of each."""
+    array = np.array(tokens, f"U{LONGEST}")
+    order = np.argsort(array, kind="stable")
+    return array[order], order
 
 
 def _counts(wanted: set[str] | None):
     """Documents by feature, among all, toxic and clean ones; the feature "" has the sums over all tokens. With wanted, only of
     these features."""
 
-    stems = stems_of(wanted or ())
+    matcher = None if wanted is None else Matcher(sorted(wanted))
+    names = [] if wanted is None else ["", *sorted(wanted)]
 
-    def run(batches):
-        known: dict[str, int] = {"": 0}
-        of_token: dict[str, list[int]] = {}
-        total = np.zeros((3, 1), np.int64)
+    def documents(piece):
+        """(3, tokens) documents that hold a token: all, toxic and clean ones; and the tokens."""
+        of, codes, tokens = _held(piece)
+        label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
+        return np.stack([np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]), tokens
 
-        def out():
-            used = np.flatnonzero(total.any(0) | (np.arange(total.shape[1]) == 0))
-            names = pa.array(list(known), pa.string()).take(pa.array(used))
-            return pa.RecordBatch.from_arrays([names, *(pa.array(x[used]) for x in total)], ["feature", "n", "toxic", "clean"])
+    def out(names, total):
+        used = np.flatnonzero(total.any(0) | (np.arange(total.shape[1]) == 0))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(used)), *(pa.array(x[used]) for x in total)], ["feature", "n", "toxic", "clean"])
 
+    def run(batches):
+        total = np.zeros((3, len(names)), np.int64)
         for piece in small_batches(batches, "text"):
-            of, codes, tokens = _held(piece)
-            label = piece.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[of]
-            n = np.stack([np.bincount(codes[keep], minlength=len(tokens)) for keep in (slice(None), label == 1, label == 0)]) if tokens else np.zeros((3, 0), np.int64)
-            features = []
-            for t in tokens:
-                if (f := of_token.get(t)) is None:
-                    f = of_token[t] = [known.setdefault(x, len(known)) for x in (features_of(t) if wanted is None else features_in(t, wanted, stems))]
-                features.append(f)
+            n, tokens = documents(piece)
+            array, order = in_order(tokens)
+            low, high = matcher.ranges(array)
+            upto = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(n[:, order], axis=1)], axis=1)
+            total[:, 1:] += upto[:, high] - upto[:, low]
+            total[:, 0] += n.sum(1)
+        yield out(names, total)
+
+    def run_all(batches):
+        known, total = {"": 0}, np.zeros((3, 1), np.int64)
+        for piece in small_batches(batches, "text"):
+            n, tokens = documents(piece)
+            features = [[known.setdefault(x, len(known)) for x in features_of(t)] for t in tokens]
             sizes = np.fromiter(map(len, features), np.int64, len(features))
             at, of = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum())), np.repeat(np.arange(len(sizes)), sizes)
             total = np.pad(total, ((0, 0), (0, len(known) - total.shape[1])))
@@ -154,37 +168,27 @@ def _counts(wanted: set[str] | None):
                 row += np.bincount(at, weights=x[of], minlength=len(known)).astype(np.int64)
             total[:, 0] += n.sum(1)
             if len(known) > HELD_FEATURES:
-                yield out()
-                known, of_token, total = {"": 0}, {}, np.zeros((3, 1), np.int64)
-            elif len(of_token) > HELD_TOKENS:
-                of_token.clear()
-        yield out()
-
-    return run
-
-
-class Remembered(dict):
-    """A function of tokens, and what it gave."""
-
-    def __init__(self, f):
-        self.f = f
+                yield out(list(known), total)
+                known, total = {"": 0}, np.zeros((3, 1), np.int64)
+        yield out(list(known), total)
 
-    def __missing__(self, token: str):
-        if len(self) > HELD_TOKENS:
-            self.clear()
-        out = self[token] = self.f(token)
-        return out
+    return run_all if wanted is None else run
 
 
 def _evident(weights: dict[str, float]):
     """Documents' tokens that are evidence, by label."""
-    stems = stems_of(weights)
+    matcher = Matcher(list(weights))
 
     def run(batches):
-        evident = Remembered(lambda t: bool(features_in(t, weights, stems)))
         for piece in small_batches(batches, "text"):
             of, codes, tokens = _held(piece)
-            known = np.array([evident[t] for t in tokens] or [False])[codes] if len(codes) else np.zeros(0, bool)
+            array, order = in_order(tokens)
+            edges = np.zeros(len(tokens) + 1, np.int64)
+            for places, step in zip(matcher.ranges(array), (1, -1)):
+                np.add.at(edges, places, step)
+            evident = np.zeros(len(tokens), bool)
+            evident[order] = np.cumsum(edges[:-1]) > 0
+            known = evident[codes]
             label = piece.column("label").to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([pa.array([1, 0], pa.int32()), pa.array([int((known & (label == y)).sum()) for y in (1, 0)])], ["label", "n"])
 
@@ -324,14 +328,20 @@ def _rows(found: list[list[tuple[int, int, float]]], sizes, words) -> list[pa.Ar
 
 
 def _scan(weights: dict[str, float], loss: float):
-    stems = stems_of(weights)
+    features = sorted(weights, key=weights.__getitem__)
+    matcher, heavy = Matcher(features), [weights[f] for f in features]
 
     def run(batches):
-        heaviest = Remembered(lambda t: max(map(weights.__getitem__, features_in(t, weights, stems)), default=0.0))
         for piece in small_batches(batches, "text"):
             begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
-            best = [heaviest[t] for t in tokens]
-            w = np.array(best)[codes] if len(codes) else np.zeros(0)
+            array, order = in_order(tokens)
+            in_place = np.zeros(len(tokens))
+            low, high = matcher.ranges(array)
+            for i in np.flatnonzero(low < high).tolist():  # the heaviest feature of a token comes last
+                in_place[low[i] : high[i]] = heavy[i]
+            best = np.zeros(len(tokens))
+            best[order] = in_place
+            w = best[codes]
             hits = np.flatnonzero(w)
             cut = np.searchsorted(hits, begin)
             at = [(hits[a:z] - s).tolist() for a, z, s in zip(cut, cut[1:], begin)]
