@@ -103,8 +103,8 @@ def chapters(rows: DataFrame, key: str, cut: int = 4000, least: int = 300) -> Da
 
 def seen_before(rows: DataFrame, doc: str, page: str, line: str, pages: int = 4) -> DataFrame:
     """Marks a heading that stood on one of the ``pages`` pages just before; a page may have several."""
-    w = Window.partitionBy(doc).orderBy(page).rangeBetween(-pages, -1)
-    return rows.withColumn("repeats", F.array_contains(F.collect_set(line).over(w), F.col(line)))
+    w = Window.partitionBy(doc, line).orderBy(page).rangeBetween(-pages, -1)
+    return rows.withColumn("repeats", F.count(F.lit(1)).over(w) > 0)
 
 
 def links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
@@ -116,6 +116,9 @@ def links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
     return pages.select(key, F.posexplode(clean).alias("pos", "link"))
 
 
+PACKED = 64
+
+
 def sentence_chunks(text: Column, most: int = 600) -> Column:
     """Sentences packed greedily into texts of at most ``most`` characters; a longer sentence is cut between words first, and
     only a single longer word stands alone."""
@@ -129,4 +132,13 @@ def sentence_chunks(text: Column, most: int = 600) -> Column:
         return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last, x)))).otherwise(F.concat(acc, F.array(x)))
 
     pieces = F.flatten(F.transform(sentences, lambda s: F.when(F.char_length(s) <= most, F.array(s)).otherwise(F.aggregate(F.split(s, " "), none, pack))))
-    return F.aggregate(pieces, none, pack)
+    # pieces are packed in groups, so that what is copied at each step stays short
+    many = lambda p: F.transform(F.filter(F.sequence(F.lit(0), F.size(p)), lambda i: (i % PACKED == 0) & (i < F.size(p))), lambda i: F.slice(p, i + 1, F.lit(PACKED)))
+    groups = F.flatten(F.transform(F.array(pieces), many))
+    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("last"))
+
+    def further(acc, group):
+        both = F.transform(F.array(F.aggregate(group, acc["last"], pack)), lambda r: F.struct(F.slice(r, F.lit(1), F.size(r) - 1).alias("done"), F.slice(r, F.size(r), F.lit(1)).alias("last")))[0]
+        return F.transform(F.array(both), lambda x: F.struct(F.concat(acc["done"], F.array(x["done"])).alias("done"), x["last"].alias("last")))[0]
+
+    return F.aggregate(groups, begin, further, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order import numbered
+
 
 def first_rank(results: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
     """(qid, rank): the first place at which a relevant row stands; null for a miss. gold: (qid, key)."""
@@ -74,7 +76,7 @@ def paired_bootstrap(pairs: DataFrame, by: str = "set", resamples: int = 4000, s
 
 def halves(rows: DataFrame, part: str = "set", key: str = "qid") -> DataFrame:
     """Even and odd rows of each set, in order of the key."""
-    return rows.withColumn("half", F.pmod(F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1, F.lit(2)).cast("long"))
+    return numbered(rows, part, [key]).withColumn("half", F.pmod(F.col("place") - 1, F.lit(2)).cast("long")).drop("place")
 
 
 def first_match(results: DataFrame, gold: DataFrame) -> DataFrame:

@@ -26,15 +26,16 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, problems (line, problem)) of a JSONL file of queries with what they should find."""
-    raw = spark.read.text(path).filter("trim(value) <> '' and not startswith(trim(value), '#')")
-    x = raw.select("value", F.from_json("value", GOLD, {"mode": "PERMISSIVE"}).alias("r")).select("value", "r.*")
+    """(good rows, problems (file, number, line, problem)) of JSONL files of queries with what they should find; lines are numbered from 1."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    raw = whole.filter("trim(value) <> '' and not startswith(trim(value), '#')").withColumn("number", (F.col("at") + 1).cast("long"))
+    x = raw.select("file", "number", "value", F.from_json("value", GOLD, {"mode": "PERMISSIVE"}).alias("r")).select("file", "number", "value", "r.*")
     problem = (
         F.when(F.col("id").isNull(), "no id").when(F.coalesce("query", F.lit("")) == "", "no query").when(F.col("set").isNull(), "no set")
         .when(F.coalesce(F.size("expected"), F.lit(0)) <= 0, "nothing expected")
     )
     x = x.withColumn("problem", problem)
-    return x.filter("problem is null").drop("value", "problem"), x.filter("problem is not null").select(F.col("value").alias("line"), "problem")
+    return x.filter("problem is null").drop("file", "number", "value", "problem"), x.filter("problem is not null").select("file", "number", F.col("value").alias("line"), "problem")
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
