@@ -68,3 +68,4 @@ def small_batches(batches, column: str, most_bytes: int = 8 << 20):
                 begin, total = i, 0
             total += int(n)
         yield batch.take(pa.array(np.arange(begin, batch.num_rows))) if begin else batch
+        pa.default_memory_pool().release_unused()  # workers live on between tasks

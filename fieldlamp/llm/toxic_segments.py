@@ -45,7 +45,8 @@ from .common import bounded, small_batches, staged, unstage, words_of_batch
 SAMPLE, LEXICON_MOST = 150_000, 200_000
 PRIOR_SHARE = 0.05  # of the observations, so that a larger table is learnt from alike
 LEAST_DOCS = 10  # toxic documents that have to hold a feature, however many there are; fewer, two at least, where these are over a two hundredth of them
-HELD_FEATURES = 200_000  # that a task counts before it starts anew
+PIECE = 4 << 20  # bytes of text that a task looks at together
+HELD_FEATURES = 100_000  # that a task counts before it starts anew
 BROADCAST_MOST = 1_000_000  # rows of 12 bytes
 LETTERS = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 12
@@ -147,7 +148,7 @@ def _counts(wanted: set[str] | None):
 
     def run(batches):
         total = np.zeros((3, len(names)), np.int64)
-        for piece in small_batches(batches, "text"):
+        for piece in small_batches(batches, "text", PIECE):
             n, tokens = documents(piece)
             array, order = in_order(tokens)
             low, high = matcher.ranges(array)
@@ -158,7 +159,7 @@ def _counts(wanted: set[str] | None):
 
     def run_all(batches):
         known, total = {"": 0}, np.zeros((3, 1), np.int64)
-        for piece in small_batches(batches, "text"):
+        for piece in small_batches(batches, "text", PIECE):
             n, tokens = documents(piece)
             features = [[known.setdefault(x, len(known)) for x in features_of(t)] for t in tokens]
             sizes = np.fromiter(map(len, features), np.int64, len(features))
@@ -180,7 +181,7 @@ def _evident(weights: dict[str, float]):
     matcher = Matcher(list(weights))
 
     def run(batches):
-        for piece in small_batches(batches, "text"):
+        for piece in small_batches(batches, "text", PIECE):
             of, codes, tokens = _held(piece)
             array, order = in_order(tokens)
             edges = np.zeros(len(tokens) + 1, np.int64)
@@ -332,7 +333,7 @@ def _scan(weights: dict[str, float], loss: float):
     matcher, heavy = Matcher(features), [weights[f] for f in features]
 
     def run(batches):
-        for piece in small_batches(batches, "text"):
+        for piece in small_batches(batches, "text", PIECE):
             begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
             array, order = in_order(tokens)
             in_place = np.zeros(len(tokens))
@@ -356,7 +357,7 @@ WORDS = "row long, place int, word int, token string"
 
 
 def _words(batches):
-    for piece in small_batches(batches, "text"):
+    for piece in small_batches(batches, "text", PIECE):
         begin, codes, word, tokens = tokens_of_batch(piece.column("text"))
         of = np.repeat(np.arange(piece.num_rows), np.diff(begin))
         places = pa.array(np.arange(len(codes)) - begin[:-1][of], pa.int32())
