@@ -38,6 +38,17 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least_word
     return out.withColumn("damaged", (F.col("words") < least_words) | (F.col("garble") > most_garble))
 
 
+def tasks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Items of Markdown task lists outside fenced code, in order: (key, nth, done, task)."""
+    x = lines(docs, key, text)
+    along = Window.partitionBy(key).orderBy("pos")
+    x = x.withColumn("inside", F.sum(F.startswith("line", F.lit("```")).cast("int")).over(along) % 2 == 1)
+    item = r"^\s*[-*+] \[([ xX])\] +(\S.*)$"
+    found = x.filter(~F.col("inside") & F.col("line").rlike(item))
+    done, task = (F.regexp_extract("line", item, i) for i in (1, 2))
+    return found.select(key, F.row_number().over(along).cast("long").alias("nth"), (F.lower(done) == "x").alias("done"), F.trim(task).alias("task"))
+
+
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sections of Markdown at '## ' outside fenced code: (key, section, title, body)."""
     x = lines(docs, key, text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo as G, text as T
-from ..operators import builds as U, directives as D, index as X, pages as H, reflow as R, vectors as V
+from ..operators import builds as U, corpus as P, directives as D, index as X, pages as H, reflow as R, vectors as V
 from ..session import new_path, table
 from ..sources import files
 from ..streaming import jobs
@@ -107,7 +107,36 @@ def reflow_blocks(spark, d):
     return R.blocks(printed(spark, d))
 
 
-@query("o161_page_paragraphs")
+def attr_sql(name: str) -> str:
+    found = rf"""regexp_extract(s, '(?i)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 0)"""
+    return rf"""regexp_replace(regexp_replace({found}, '(?i)^\s{name}\s*=\s*', ''), '^["'']|["'']$', '', 'g')"""
+
+
+def names_sql(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+BEFORE = "over (partition by page_id order by pos rows between unbounded preceding and 1 preceding)"
+RAW_REGION = """{0} as (select * replace (hidden or (coalesce(last_value(case when name = '{2}' and not hidden then not ending end ignore nulls) """ + BEFORE + """, false) and coalesce(name <> '{2}', true)) as hidden) from {1})"""
+PARAGRAPHS = rf"""
+k0 as (select page_id, regexp_extract_all(coalesce(html, ''), '{H.TOKEN}') l from pages), k1 as (select page_id, unnest(l) s, generate_subscripts(l, 1) pos from k0),
+k2 as (select *, case when regexp_matches(s, '^</?[A-Za-z]') then lower(regexp_extract(s, '^</?([A-Za-z][^\s/>]*)', 1)) end as name, regexp_matches(s, '^</[A-Za-z]') ending from k1),
+k3 as (select *, coalesce(last_value(case s when '<!--' then true when '-->' then false end ignore nulls) {BEFORE}, false) hidden from k2),
+{RAW_REGION.format('k4', 'k3', 'script')}, {RAW_REGION.format('k5', 'k4', 'style')},
+k6 as (select page_id, pos, s, name, name is not null and name not in ({names_sql(H.VOID)}) and not ends_with(s, '/>') counted, ending from k5 where not hidden and s not in ('<!--', '-->') and not regexp_matches(s, '^<[!?].*>$')),
+k7 as (select *, sum(case when counted then case when ending then -1 else 1 end else 0 end) over (partition by page_id, name order by pos) total from k6),
+k8 as (select *, least(0, min(total) over (partition by page_id, name order by pos)) low, least(0, coalesce(min(total) over (partition by page_id, name order by pos rows between unbounded preceding and 1 preceding), 0)) low_before from k7),
+k9 as (select *, case when counted and not ending then total - low when counted and total >= low_before then total - low + 1 end level from k8),
+e as (select *, case when counted and not ending then coalesce(lead(pos) over (partition by page_id, name, level order by pos), 1 << 30) end over_at,
+  counted and not ending and (name in ({names_sql(H.DROPPED)}) or {attr_sql('role')} = 'navigation' or {" or ".join(f"contains({attr_sql('class')}, '{c}')" for c in H.DROPPED_CLASSES)}) drops from k9),
+f as (select *, coalesce(max(case when drops then over_at end) {BEFORE} > pos, false) gone from e),
+g as (select *, counted and not ending and not gone and not drops and (name = 'main' or {attr_sql('id')} = 'maincontent') mains from f),
+h as (select *, coalesce(max(case when mains then over_at end) {BEFORE} > pos, false) in_main, max(mains) over (partition by page_id) has_main, count_if(coalesce(name in ({names_sql(H.BLOCKS)}), false)) over (partition by page_id order by pos) para from g),
+raw as (select page_id, para, string_agg(s, '' order by pos) r from h where name is null and not gone and (in_main or not has_main) group by all),
+t as (select page_id, para, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(r, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{{A0}}]+', ' ', 'g')) text from raw)"""
+
+
+@query("o161_page_paragraphs", f"with {PARAGRAPHS} select page_id, row_number() over (partition by page_id order by para) nth, text from t where length(text) >= 2")
 def page_paragraphs(spark, d):
     return H.paragraphs(table(spark, d, "pages"))
 
@@ -234,3 +263,13 @@ def projection(spark, d):
         x = x.select(F.lit(grid).alias("grid"), "c_custkey", F.round("east", 2).alias("east"), F.round("north", 2).alias("north"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
         out = x if out is None else out.unionByName(x)
     return out
+
+
+@query("o163_tasks", r"""with l as (select doc_id, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) l from documents), r as (select doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 i from l),
+t as (select doc_id, i, trim(line) task from r where i % 3 < 2 and trim(line) <> '')
+select doc_id, row_number() over (partition by doc_id order by i) nth, t.i % 3 = 1 done, task from t""")
+def tasks(spark, d):
+    """Lines of documents as items of task lists, open and done ones in turn, every third line as it is."""
+    split = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), "\n")
+    made = F.transform(split, lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("- [ ] "), x)).when(i % 3 == 1, F.concat(F.lit("* [x] "), x)).otherwise(x))
+    return P.tasks(table(spark, d, "documents").select("doc_id", F.array_join(made, "\n").alias("md")), "doc_id", "md")

@@ -236,3 +236,9 @@ def test_projection(spark):
         r = value(spark, G.parsed_ref(F.lit(ref)))
         assert (r and tuple(r)) == want, ref
     assert value(spark, G.irish_letter(F.lit(333850), F.lit(374050))) == "J" and value(spark, G.irish_letter(F.lit(-1), F.lit(0))) is None
+
+
+def test_tasks(spark):
+    md = "- [ ] boil water\n* [X]  fill jars \n```\n- [x] not this\n```\n- [y] nor this\n- [ ]\n  + [x] nested"
+    rows = spark.createDataFrame([(1, md), (2, None), (3, "")], "id long, md string")
+    assert [tuple(r) for r in P.tasks(rows, "id", "md").orderBy("id", "nth").collect()] == [(1, 1, False, "boil water"), (1, 2, True, "fill jars"), (1, 3, True, "nested")]
