@@ -4,8 +4,8 @@ from; a later run leaves ranges whose digest stands and makes the others anew.
 The identity of a build (model, dimensions, parameters) is written before anything else and has to be the same ever after. Notes are written after the range's rows, so a
 range that was cut off has no note and is made again. ``publish`` takes the whole build as a generation once every range stands.
 
-Defined results: keys may be null or repeated (their rows are one range's); rows are ordered by key in a range; a range that loses all its rows keeps an empty file; an empty
-table is a build without rows.
+Defined results: keys may be null or repeated (their rows are one range's); rows are ordered by key in a range; a range that loses all its rows loses its files; an empty
+table is a build without rows, which has nothing to read or publish.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import files
 
+
 class IdentityChanged(ValueError):
     """The build on disk is another one's."""
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import intent as I, library as L, ranking as R, retrieval as S
 from ..session import table
 from .registry import query
-from .search import BASE_ALL, EVIDENCE, SURE, TEXTS_SQL, batch, intent_sql, relevant, scored, tok
+from .search import BASE_ALL, EVIDENCE, SURE, TEXTS_SQL, batch, intent_sql, relevant, tok
 
 
 def shared(spark: SparkSession, d: str) -> DataFrame:
