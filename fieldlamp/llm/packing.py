@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, small_batches, staged, unstage
+from .common import bounded, small_batches, staged
 from .huffman_ids import encoder, ids_of
 
 SHARD_PIECES = 100_000
