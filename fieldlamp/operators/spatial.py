@@ -38,10 +38,13 @@ def near_pairs(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
 
 
 def nearest(origins: DataFrame, features: DataFrame, n: int, metres: float, kind: str, origin: str, feature: str) -> DataFrame:
-    """The n nearest features of each kind within a distance of every origin."""
-    w = Window.partitionBy(origin, kind).orderBy(F.round("metres", 0), feature)
-    near = near_pairs(origins, features, metres)
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
+    """The n nearest features of each kind within a distance of every origin. Origins at one place have the same features, and of one kind's features at
+    one place only the first n can be among them, so places are compared, not rows; the origins come back by their place."""
+    first = Window.partitionBy("lat", "lon", kind).orderBy(feature)
+    some = features.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= n).drop("nth")
+    w = Window.partitionBy("alat", "alon", kind).orderBy(F.round("metres", 0), feature)
+    near = near_pairs(origins.select("lat", "lon").distinct(), some, metres).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
+    return origins.withColumnsRenamed({"lat": "alat", "lon": "alon"}).join(near, ["alat", "alon"])
 
 
 def clusters(points: DataFrame, metres: float, by: list[str], key: str = "id") -> DataFrame:
