@@ -92,7 +92,8 @@ def protect(spark, d):
 def rrf(spark, d):
     x = relevant(spark, d, None)
     other = x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")).cast("long"))
-    return R.rrf(x.unionByName(other)).withColumn("rrf", F.round("rrf", 6))
+    # sums of two unit fractions often lie half-way; they are rounded once, and as the SQL does it, on the scaled double
+    return R.rrf(x.unionByName(other)).withColumn("rrf", F.round(F.col("rrf") * 1e6) / 1e6)
 
 
 @query("o97_weighted_minmax", f"""{BASE_ALL}, l as (select qid, doc_id, 'a' list, score from rel union all select qid, doc_id, 'b', doc_id % 97 from rel), m as (select *, min(score) over w lo, max(score) over w hi from l window w as (partition by qid, list))
