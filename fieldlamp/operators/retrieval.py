@@ -6,7 +6,7 @@ terms leave the join with the (small) batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..session import written
@@ -28,15 +28,16 @@ def positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 MARK = ""  # the term of the row that every document has in wanted_postings
 
 
-def wanted_postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", title_words: int = 0, title_weight: int = 1) -> DataFrame:
-    """(key, term, tf, dl) of the wanted terms only, and a row with the term MARK for each document. Tokens meet the terms before
-    they are counted, so what is shuffled are the hits, not the tokens of the corpus. The first title_words tokens count
-    title_weight times."""
-    t = docs.select(key, F.explode(F.array(T.all_tokens(F.col(text)))).alias("t"))
-    rows = t.select(key, F.size("t").cast("long").alias("dl"), F.posexplode(F.concat(F.array(F.lit(MARK)), F.col("t"))).alias("pos", "term"))
-    wanted = terms.select("term").unionByName(docs.sparkSession.createDataFrame([(MARK,)], "term string")).distinct()
+def wanted_postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", title_words: int = 0, title_weight: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, tf, dl, first) of the wanted terms only, first being the term's first place from 1, and a row with the term MARK for each document.
+    Tokens meet the terms before they are counted, so what is shuffled are the hits, not the tokens of the corpus. The first title_words tokens count
+    title_weight times. Columns of the document in carry come along."""
+    t = docs.select(key, *carry, F.explode(F.array(T.all_tokens(F.col(text)))).alias("t"))
+    rows = t.select(key, *carry, F.size("t").cast("long").alias("dl"), F.posexplode(F.concat(F.array(F.lit(MARK)), F.col("t"))).alias("pos", "term"))
+    # a range has a known size, so that a small batch is broadcast and the tokens stay where they are
+    wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("term"))).distinct()
     tf = F.sum(F.when(F.col("pos") <= title_words, title_weight).otherwise(1))
-    return rows.join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(tf.alias("tf"))
+    return rows.join(wanted, "term", "left_semi").groupBy(key, "term", "dl", *carry).agg(tf.alias("tf"), F.min("pos").alias("first"))
 
 
 def lengths(posts: DataFrame) -> tuple[int, float]:
@@ -107,8 +108,9 @@ def prefix(posts: DataFrame, prefixes: DataFrame, key: str = "doc_id", size: int
     return hit.groupBy("qid", key).agg(F.sum("tf").alias("n"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, key: str = "doc_id", tf: str = "tf") -> DataFrame:
-    """(qid, key, score): sum over the terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avg))."""
+def bm25(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, key: str = "doc_id", tf: str = "tf", carry: tuple[str, ...] = (), also: tuple[Column, ...] = ()) -> DataFrame:
+    """(qid, key, score): sum over the terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avg)). With the documents'
+    columns in carry, and other aggregates over a query's postings (and its n_terms) in a document."""
     q = query_terms(queries)
     wanted = q.select("term").distinct()
     hit = posts.join(wanted, "term")
@@ -116,7 +118,7 @@ def bm25(posts: DataFrame, queries: DataFrame, n_docs: int, avg_len: float, key:
     idf = F.ln(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col(tf) + K1 * (1 - B + B * F.col("dl") / F.lit(avg_len))
     scored = hit.join(df, "term").withColumn("s", idf * F.col(tf) * (K1 + 1) / norm)
-    return scored.join(q.select("qid", "term"), "term").groupBy("qid", key).agg(F.round(F.sum("s"), 6).alias("score"))
+    return scored.join(q.select("qid", "term", "n_terms"), "term").groupBy("qid", key, *carry).agg(F.round(F.sum("s"), 6).alias("score"), *also)
 
 
 def top(scored: DataFrame, k: int | None, by: str = "score", key: str = "doc_id", part: str = "qid") -> DataFrame:

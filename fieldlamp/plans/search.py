@@ -187,13 +187,19 @@ rel as (
 def relevant(spark, d, limit: int | None = 40) -> DataFrame:
     """(qid, doc_id, source, rank, score) of the ``limit`` best by BM25 of each query, of every scored document without
     one, rescored by evidence."""
-    q, _, s = scored(spark, d)
-    hits = S.top(s, limit).select("qid", "doc_id", "rank").join(q, "qid").join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
-    t = T.all_tokens(F.col("text"))
-    share = lambda have: F.size(F.array_intersect(F.col("terms"), have)) / F.size("terms")
-    hits = hits.withColumn("it", share(F.slice(t, 1, 8))).withColumn("ib", share(t))
-    score = R.rank_score(F.lit(1.0), F.col("rank")) * R.relevance(F.col("it"), F.col("ib"), F.lit(False), F.size("terms"))
-    return hits.select("qid", "doc_id", "source", "rank", F.round(score, 6).alias("score"))
+    return evidence(spark, d, limit).select("qid", "doc_id", "source", "rank", "score")
+
+
+def evidence(spark, d, limit: int | None = 40) -> DataFrame:
+    """``relevant`` with the shares of its query's terms in title and body. A posting knows its first place, so evidence comes
+    from the postings that BM25 reads, and no text meets a query."""
+    q = batch(spark, d)
+    posts = written(S.wanted_postings(table(spark, d, "documents"), terms_of(q), carry=("source",)), "postings")
+    share = lambda n: n / F.first("n_terms")
+    also = (F.first("n_terms").alias("ideas"), share(F.count_if(F.col("first") <= 8)).alias("title"), share(F.count(F.lit(1))).alias("body"))
+    hits = S.top(S.bm25(posts, q, *S.lengths(posts), carry=("source",), also=also), limit)
+    score = R.rank_score(F.lit(1.0), F.col("rank")) * R.relevance(F.col("title"), F.col("body"), F.lit(False), F.col("ideas"))
+    return hits.select("qid", "doc_id", "source", "rank", F.round(score, 6).alias("score"), "title", "body")
 
 
 BASE = f"with {BATCH}, {POSTS}, {BM25}, {RELEVANT}"
@@ -256,9 +262,7 @@ def source_filter(spark, d, limit: int | None = 40):
 
 @ranking("o75_zero_evidence_drop", f"{BASE} select qid, doc_id from rel where it > 0")
 def zero_evidence(spark, d, limit: int | None = 40):
-    q = batch(spark, d)
-    titles = table(spark, d, "documents").select("doc_id", F.slice(T.all_tokens(F.col("text")), 1, 8).alias("title"))
-    return relevant(spark, d, limit).join(q, "qid").join(titles, "doc_id").filter(F.arrays_overlap("terms", "title")).select("qid", "doc_id")
+    return evidence(spark, d, limit).filter("title > 0").select("qid", "doc_id")
 
 
 SUGGEST = """with p as (select distinct left(lower(p_name), 3) pre from part where p_partkey % 50 = 0), c as (select pre, p_partkey as id, lower(p_name) title, 1 kind from p join part on starts_with(lower(p_name), pre) union all select pre, s_suppkey, lower(s_name), 2 from p join supplier on starts_with(lower(s_name), pre)),

@@ -8,21 +8,12 @@ from ..functions import text as T
 from ..operators import intent as I, library as L, ranking as R, retrieval as S
 from ..session import table
 from .registry import query
-from .search import BASE_ALL, EVIDENCE, SURE, TEXTS_SQL, batch, intent_sql, relevant, tok
-
-
-def shared(spark: SparkSession, d: str) -> DataFrame:
-    """Every scored row with the shares of its query's terms in title and body."""
-    t = T.all_tokens(F.col("text"))
-    share = lambda have: F.size(F.array_intersect(F.col("terms"), have)) / F.size("terms")
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    x = relevant(spark, d, None).join(batch(spark, d), "qid").join(texts, "doc_id")
-    return x.select("qid", "doc_id", "source", "rank", "score", share(F.slice(t, 1, 8)).alias("title"), share(t).alias("body"))
+from .search import BASE_ALL, EVIDENCE, SURE, TEXTS_SQL, batch, evidence, intent_sql, relevant, tok
 
 
 @query("o60_evidence_order", f"{BASE_ALL} select qid, doc_id, row_number() over (partition by qid order by round(-(it + ib), 9), rank) place from rel")
 def evidence_order(spark, d):
-    return R.evidence_order(shared(spark, d), ["qid"], "title", "body").select("qid", "doc_id", "place")
+    return R.evidence_order(evidence(spark, d, None), ["qid"], "title", "body").select("qid", "doc_id", "place")
 
 
 WEIGHTS = {"src0": 1.6, "src1": 2.0, "src2": 0.6}
@@ -54,7 +45,7 @@ def dedupe_pages(spark, d):
 
 @query("o75_with_evidence", f"{BASE_ALL} select qid, doc_id from rel where it > 0 or source = 'src0' or doc_id % 7 = 0 or source = 'src1'")
 def with_evidence(spark, d):
-    x = shared(spark, d)
+    x = evidence(spark, d, None)
     x = x.withColumn("via", F.when(F.col("source") == "src0", "meaning").otherwise("words")).withColumn("kind", F.when(F.col("source") == "src1", "book").otherwise("page"))
     return R.with_evidence(x, F.col("title") == 0, F.col("doc_id") % 7 == 0).select("qid", "doc_id")
 
@@ -76,7 +67,7 @@ def kept_books(spark, d):
 
 @query("o93_kept_medicines", f"{BASE_ALL} select qid, doc_id from rel where source in ('src1', 'src2', 'src3', 'src4') and rank <= 3 and it >= 0.25")
 def kept_medicines(spark, d):
-    x = shared(spark, d).withColumn("via", F.lit("words")).withColumn("place", F.col("rank") - 1).withColumn("title_share", F.col("title"))
+    x = evidence(spark, d, None).withColumn("via", F.lit("words")).withColumn("place", F.col("rank") - 1).withColumn("title_share", F.col("title"))
     x = x.withColumn("source", F.when(F.col("source").isin("src1", "src2", "src3", "src4"), "nhs").otherwise(F.col("source")))
     return R.kept_medicines(x, share=0.25)
 
