@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import BATCH_BYTES
+
 
 def last_writer_wins(local: DataFrame, incoming: DataFrame, key: list[str], at: str) -> DataFrame:
     """The newer row of each key; the local one on a tie, a missing time is the oldest. taken: from the incoming side."""
@@ -44,22 +47,33 @@ def checksum(payload: Column) -> Column:
 EXPORT = "part long, parts long, digest string, body string"
 
 
-def export(payloads: DataFrame, size: int = 800) -> DataFrame:
-    """(key, part, parts, digest, body) of (key, payload): gzip, base64, pieces of size characters."""
-    kind = dict(payloads.dtypes)["key"]
+def cut_pieces(batches, size: int):
+    """Batches of (key, part, parts, digest, body) of batches of (key, payload): many rows each, of about BATCH_BYTES at most."""
 
-    def run(batches):
-        import hashlib
+    def told(batch, rows):
+        at, part, parts, digest, body = zip(*rows)
+        return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(part, pa.int64()), pa.array(parts, pa.int64()), pa.array(digest), pa.array(body)], ["key", "part", "parts", "digest", "body"])
 
-        for batch in batches:
-            for k, p in zip(batch.column("key"), batch.column("payload").to_pylist()):
-                raw = (p or "").encode()
-                body = base64.b64encode(gzip.compress(raw, mtime=0)).decode()
-                cut = [body[i : i + size] for i in range(0, len(body), size)]
-                n = len(cut)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, k.type), pa.array(range(1, n + 1), pa.int64()), pa.array([n] * n, pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()] * n), pa.array(cut)], ["key", "part", "parts", "digest", "body"])
+    for batch in batches:
+        rows, held = [], 0
+        for at, p in enumerate(batch.column("payload").to_pylist()):
+            raw = (p or "").encode()
+            body = base64.b64encode(gzip.compress(raw, mtime=0)).decode()
+            cut = [body[i : i + size] for i in range(0, len(body), size)]
+            digest = hashlib.sha256(raw).hexdigest()
+            rows += [(at, i, len(cut), digest, x) for i, x in enumerate(cut, 1)]
+            held += len(body)
+            if held >= BATCH_BYTES:
+                yield told(batch, rows)
+                rows, held = [], 0
+        if rows:
+            yield told(batch, rows)
 
-    return payloads.select("key", "payload").mapInArrow(run, f"key {kind}, {EXPORT}")
+
+def export(payloads: DataFrame, size: int = 800) -> DataFrame:
+    """(key, part, parts, digest, body) of (key, payload): gzip, base64, pieces of size characters."""
+    kind = dict(payloads.dtypes)["key"]
+    return payloads.select("key", "payload").mapInArrow(lambda batches: cut_pieces(batches, size), f"key {kind}, {EXPORT}")
 
 
 def restore(pieces: DataFrame) -> DataFrame:
@@ -69,8 +83,6 @@ def restore(pieces: DataFrame) -> DataFrame:
     joined = whole.select("key", F.concat_ws("", F.transform("p", lambda x: x["body"])).alias("body"), "digest", (F.size("p") == F.col("parts")).alias("complete"))
 
     def run(batches):
-        import hashlib
-
         for batch in batches:
             out = []
             for body, digest, complete in zip(*(batch.column(c).to_pylist() for c in ("body", "digest", "complete"))):
