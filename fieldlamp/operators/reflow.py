@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 CHUNK_LINES = 256
 LONGEST_HEADING = 90
 SHORT, ITEM_SHORT = 0.55, 0.8  # of a page's usual width
@@ -178,8 +180,10 @@ def numbered_blocks(x: DataFrame, key: str) -> DataFrame:
 
 def blocks(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, block, kind, text), blocks in order from 1, of lines (key, n, page, line)."""
-    titled = titles(with_neighbours(described(lines, key), key))
-    x = numbered_blocks(steps(with_neighbours(titled, key)), key)
+    # each step joins its lines with a row a chunk of them, so they are written: else every step would do all before it twice
+    described_lines = written(described(written(lines, "printed-lines"), key), "described-lines")
+    titled = written(titles(with_neighbours(described_lines, key)), "titled-lines")
+    x = numbered_blocks(written(steps(with_neighbours(titled, key)), "line-steps"), key)
     mended = F.col("p.broken") & F.col("lower")
     glue = F.when(F.col("opens"), "").when(mended, MENDED).when(F.col("p.hyphen"), "").otherwise(" ")
     words = F.when(F.col("step") == "li", F.regexp_replace("line", ITEM, "")).otherwise(F.col("line"))
