@@ -167,8 +167,8 @@ FOUR = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')"
 
 def conditional(spark, d) -> DataFrame:
     """(doc_id, text): four words of each document under nested conditions."""
-    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("-"))
+    first = r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++)?" + r"(?:[^\p{L}\p{N}]++([\p{L}\p{N}]++))?" * 3  # looks no further than the fourth word
+    word = lambda i: F.coalesce(F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), first, i + 1), F.lit("")), F.lit("-"))
     made = F.concat(F.lit("{{#if even}}"), word(0), F.lit(" {{#unless long}}"), word(1), F.lit("{{else}}"), word(2), F.lit("{{/unless}}{{else}}"), word(3), F.lit("{{/if}} [[call "), F.col("doc_id").cast("string"), F.lit("]]"))
     return table(spark, d, "documents").select("doc_id", "n_chars", made.alias("text"))
 

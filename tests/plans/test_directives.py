@@ -76,3 +76,19 @@ def test_errors_and_where_they_are(spark):
     assert {r.doc_id: r.text for r in D.resolved(df, known).collect()} == {7: "", 8: ""}
     many = spark.createDataFrame([(1, "".join("{{#if f%d}}x{{/if}}" % i for i in range(7)))], "doc_id long, text string")
     assert D.flag_sets(many).count() == 0
+
+
+def test_tokens_are_looked_at_once_for_all_branches(spark):
+    deep = "{{#if a}}" * 40 + "x" + "{{/if}}" * 40 + "{{#unless a}}y{{else}}z{{#if b}}[[call 7]]{{/if}}{{/unless}}"
+    texts = {1: deep, 2: "no marks", 3: None, 4: "{{#if a}}", 5: "{{/if}} {{#if b}}x{{/if}}", 6: "".join("{{#if f%d}}%d{{else}}-{{/if}}" % (i, i) for i in range(6)), 7: "".join("{{#if f%d}}x{{/if}}" % i for i in range(7))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shown = D.branches(docs)
+    got = {}
+    for r in shown.collect():
+        got.setdefault(r.doc_id, []).append((r.set, dict(r.flags), r.text))
+    assert {i: len(x) for i, x in got.items()} == {1: 8, 2: 1, 3: 1, 6: 64}
+    for i, rows in got.items():
+        assert sorted(s for s, _, _ in rows) == list(range(len(rows)))
+        assert all(t == walked(texts[i], f) for _, f, t in rows)
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1 and "Join" not in plan
