@@ -1,7 +1,7 @@
 """A persistent inverted index: written once from the texts, read by every later batch of queries.
 
-Documents are numbered and cut into segments of ``SEGMENT`` documents. A block holds one term's postings of one segment, so no
-block grows beyond a segment, however common its term. Blocks lie in files by bucket of the term, sorted by term, with the number of their postings and the most
+Documents are cut into segments: runs of a partition's documents, ``SEGMENT`` of them or as many as hold ``SEGMENT_BYTES`` of tokens. A block holds one term's
+postings of one segment, so no block grows beyond a segment, however common its term. The task that reads a segment counts its terms, so tokens are not shuffled; blocks are, once. Blocks lie in files by bucket of the term, sorted by term, with the number of their postings and the most
 that any of them can add to a score. A search reads the heads of its terms' blocks first; what a segment can reach at most follows from
 them. Segments are scored from the most promising; the k best so far give each query a score to surpass, and segments that can't reach it are never read.
 
@@ -11,13 +11,19 @@ the smaller key; an empty table gives an index without blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..session import written
-from .retrieval import B, K1, query_terms
+from ..session import bounded, unstage, written
+from .retrieval import B, K1, MARK, query_terms
 
 SEGMENT = 4096
+SEGMENT_BYTES = 32 << 20  # of tokens, and four more a token
 FIRST_SEGMENTS = 2  # of each query, in the first round
 
 
@@ -25,21 +31,59 @@ def impact(tf: Column, dl: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
+def counted(documents: pa.Table, number: int) -> pa.RecordBatch:
+    """A row a term of the documents (doc, t), which are a segment: its documents, how often it stands in each, and their lengths; and one row of them all, of the term MARK."""
+    tokens = documents["t"].combine_chunks()
+    terms, sizes = tokens.flatten().dictionary_encode(), tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    n, codes = len(sizes), terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, tf = np.unique(codes * n + np.repeat(np.arange(n), sizes), return_counts=True)
+    code, at = np.divmod(pairs, n)
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    at, tf = np.concatenate([np.arange(n), at]), np.concatenate([np.zeros(n, np.int64), tf])
+    cuts = pa.array(np.concatenate([[0], n + starts, [len(at)]]).astype(np.int32))
+    words = pa.concat_arrays([pa.array([MARK]), terms.dictionary.take(pa.array(code[starts])).cast(pa.string())])
+    lists = [documents["doc"].combine_chunks().take(pa.array(at)), pa.array(tf.astype(np.int32)), pa.array(sizes[at].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), number)), *[pa.ListArray.from_arrays(cuts, x) for x in lists]], ["term", "segment", "doc", "tf", "dl"])
+
+
+def in_segments(segment: int, most: int = SEGMENT_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        number, held, docs, size = TaskContext.get().partitionId() << 33, [], 0, 0
+        for batch in batches:
+            tokens = batch.column("t")
+            strings, at = tokens.values.cast(pa.large_string()), tokens.offsets.to_numpy()
+            ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset :][at] + 4 * at if len(strings) else 0 * at
+            start = 0
+            while start < len(batch):
+                fits = int(np.searchsorted(ends, ends[start] + most - size, "right")) - 1
+                end = min(len(batch), start + segment - docs, max(start + 1, fits))
+                held.append(batch.slice(start, end - start))
+                docs, size, start = docs + end - start, size + ends[end] - ends[start], end
+                if docs >= segment or size >= most:
+                    yield counted(pa.Table.from_batches(held), number)
+                    number, held, docs, size = number + 1, [], 0, 0
+        if held:
+            yield counted(pa.Table.from_batches(held), number)
+
+    return run
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64, segment: int = SEGMENT) -> None:
     """Write the index of docs (key, text) under path: blocks by bucket, and one row of totals."""
-    # monotonic ids count up within a partition of the texts, so segments are runs of documents that were read together
+    spark = bounded(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc"), T.all_tokens(F.col(text)).alias("t"))
-    numbered = written(rows.withColumn("n", F.monotonically_increasing_id()), "numbered-texts")
-    counts = numbered.select("doc", F.floor(F.col("n") / segment).alias("segment"), "n", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    posts = written(counts.groupBy("segment", "n", "doc", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), "numbered-postings")
-    totals = numbered.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg(F.size("t")), F.lit(1.0)).alias("mean"))
+    lists = written(rows.mapInArrow(in_segments(segment), "term string, segment long, doc array<long>, tf array<int>, dl array<int>"), "segment-lists")
+    all_ = lists.filter(F.col("term") == MARK).select(F.size("doc").cast("long").alias("docs"), F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
+    totals = all_.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens") / F.sum("docs"), F.lit(1.0)).alias("mean"))
     totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    mean = F.lit(float(docs.sparkSession.read.parquet(f"{path}/totals").first().mean or 1.0))
-    block = posts.groupBy("term", "segment").agg(
-        F.count(F.lit(1)).alias("n"), F.max(impact(F.col("tf"), F.col("dl"), mean)).alias("most"), F.sort_array(F.collect_list(F.struct("doc", "tf", "dl"))).alias("postings")
-    )
-    laid = block.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    laid.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "segment").write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/blocks")
+    mean = F.lit(float(spark.read.parquet(f"{path}/totals").first().mean or 1.0))
+    laid = lists.filter(F.col("term") != MARK).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    laid = laid.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "segment")
+    postings = F.sort_array(F.arrays_zip("doc", F.col("tf").cast("array<long>").alias("tf"), F.col("dl").cast("array<long>").alias("dl")))
+    block = laid.select("term", "segment", F.size("doc").cast("long").alias("n"), postings.alias("postings"), "bucket")
+    block = block.select("term", "segment", "n", F.array_max(F.transform("postings", lambda p: impact(p["tf"], p["dl"], mean))).alias("most"), "postings", "bucket")
+    block.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", str(4 << 20)).parquet(f"{path}/blocks")
+    unstage(lists)
 
 
 class Index:

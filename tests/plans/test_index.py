@@ -106,3 +106,32 @@ def test_streaks_of_a_stream_that_is_restarted(spark, tmp_path):
         run[user] = run.get(user, 0) + 1 if value is not None and value < 20 else 0
         want += [(str(user), i)] * (run[user] == 3)
     assert got == sorted(want) and len(want) > 20
+
+
+def test_blocks_are_shuffled_once_and_segments_end_by_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(since):
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), None)
+        found = {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+        return found, sum(n for i, n in found.items() if i not in since)
+
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(60)) + " also" * 3 for i in range(400)] + [None, "", "é" * 4000, "a " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path, (since, _) = new_path(spark, "index"), shuffled({})
+    X.build(df, path, buckets=4, segment=64)
+    # 7 segments of at most 93 terms; 400 documents of 61 terms were shuffled before they were counted and twice after
+    assert shuffled(since)[1] <= 7 * 93 + 10
+    index = X.Index(spark, path)
+    assert (index.docs, index.mean) == (404, (400 * 63 + 1 + 5000) / 404)
+    assert index.blocks.agg(F.sum("n")).first()[0] == 400 * 61 + 2
+    queries = spark.createDataFrame([(1, ["w3", "also"]), (2, ["a", "é" * 4000])], "qid long, terms array<string>")
+    assert {tuple(r) for r in index.top(queries, 500).collect()} == plain_top(spark, df, queries, 500)
+    schema = "term string, segment long, doc array<long>, tf array<int>, dl array<int>"
+    small = df.select(F.col("doc_id").alias("doc"), X.T.all_tokens(F.col("text")).alias("t")).mapInArrow(X.in_segments(64, 2000), schema).collect()
+    segments = {}
+    for r in small:
+        segments.setdefault(r.segment, []).append(r)
+    assert len(segments) > 50 and all([r.term for r in rows].count("") == 1 for rows in segments.values())
+    assert sorted(d for r in small if r.term == "" for d in r.doc) == list(range(404))
+    assert sum(sum(r.tf) for r in small) == 400 * 63 + 1 + 5000
