@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import bounded, save, small_batches, staged, tokenizer_path, unstage, words_of_batch
 
 MAX_BITS, EVERY = 18, 256
-KNOWN_MOST = 150_000  # words that a worker remembers before it starts anew; no word is left out by it
+KNOWN_MOST = 400_000  # words that a worker remembers before it starts anew; no word is left out by it
 HEAD = 64
 #: The parts of a tokenizer's definition that make words independent.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,16 @@ def test_trie_equals_library_viterbi():
     for w, n in zip(words, u.counts(words)):
         own = [t.value for t in model.tokenize(w)]
         assert abs(sum(u.pieces[x] for x in own)) > 0 and n <= len(own)
+
+
+def test_words_of_an_earlier_batch_are_still_known():
+    """Two batches of 90,000 words each were more than an encoder kept, so it encoded the first one's words again."""
+    own, encoded = H.WordEncoder("word_bpe_49k.json", 1), []
+    add = own.add
+    own.add = lambda words: (encoded.append(len(words)), add(words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[k // 26**i % 26] for i in range(4))
+    first, second = (pa.array([word(k) for k in ks]) for ks in (range(90_000), range(90_000, 180_000)))
+    before = own.entries(first)
+    own.entries(second)
+    assert (own.entries(first) == before).all() and sum(encoded) == 180_000
